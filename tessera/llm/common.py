@@ -9,6 +9,7 @@ documents share travels once per chunk, never once per document.
 from __future__ import annotations
 
 import uuid
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -116,30 +117,29 @@ def packed(docs: DataFrame, total: int) -> DataFrame:
     return table(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(pack, PACKED))
 
 
-class Vocabulary(dict):
-    """word -> dense int, given in order of first sight."""
+def flat_words(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, list[bytes]]:
+    """(word ids of all texts one after the other, distinct words by id, bounds of texts, all words); words end at ASCII white space."""
+    every, bounds = words_of(texts)
+    return (*number(every), bounds, every)
 
-    def __missing__(self, word):
-        n = self[word] = len(self)
-        return n
 
+def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """(all words, bounds of texts)."""
+    split = [t.split() for t in texts]
+    return list(chain.from_iterable(split)), np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])
 
-def flat_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Vocabulary]:
-    """(word ids of all texts one after the other, bounds of texts, vocabulary); words are split at ASCII white space."""
-    vocab = Vocabulary()
-    bounds, parts = np.zeros(len(texts) + 1, dtype=np.int64), []
-    for k, t in enumerate(texts):
-        ws = t.split()
-        bounds[k + 1] = bounds[k] + len(ws)
-        parts.append(np.fromiter(map(vocab.__getitem__, ws), dtype=np.int64, count=len(ws)))
-    return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), bounds, vocab
 
+def number(every: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """(id of each word, distinct words by id), ids given in order of first sight."""
+    words = list(dict.fromkeys(every))
+    index = dict(zip(words, range(len(words))))
+    return np.fromiter(map(index.__getitem__, every), np.int64, len(every)), words
 
-def hashes(words, seed: int = 0) -> np.ndarray:
+
+def hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
     import xxhash
 
-    f = xxhash.xxh64_intdigest
-    return np.fromiter((f(w, seed) for w in words), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(seed)), dtype=np.uint64, count=len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

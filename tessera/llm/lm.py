@@ -27,13 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MB, NO_ID, arrow_schema, batch, flat_words, hashes, id_array, mix, packed, table, text_bytes, unpack_docs
+from .common import MB, NO_ID, arrow_schema, batch, hashes, id_array, mix, number, packed, table, text_bytes, unpack_docs, words_of
 from .simhash import LOWER
 
 ASKS = "shard long, chunk long, n int, blob binary"
 REPLIES = "chunk long, shard long, n long, v long, blob binary"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-END = b"\n"  # no word holds it
+END = b"\n"  # no word is it
 
 
 class Chunk:
@@ -41,30 +41,52 @@ class Chunk:
 
     def __init__(self, blob: bytes, mod: int, rest: int):
         self.ids, texts = unpack_docs(blob)
-        flat, bounds, vocab = flat_words([t.translate(LOWER) for t in texts])
-        end = vocab[END]
-        self.words = list(vocab)
-        self.tokens = np.insert(flat, bounds[1:], end)
-        self.bounds = bounds + np.arange(len(bounds))
+        words, bounds = words_of([t.translate(LOWER) + b"\n" for t in texts])
         self.held = np.fromiter((i != NO_ID and zlib.crc32(str(i).encode()) % mod == rest for i in self.ids.tolist()), bool, len(self.ids))
-        self.train = np.repeat(~self.held, np.diff(self.bounds))
-        self.hash = hashes(self.words, 1)
-        self.end = end
+        place = bounds + np.arange(len(bounds))
+        self.bounds, sizes = place, np.diff(place)
+        self.is_end = np.zeros(place[-1], bool)
+        self.is_end[place[1:] - 1] = True
+        self.words = words  # without the ends
+        self.hash = np.full(place[-1], hashes([END], 1)[0], np.uint64)
+        self.hash[~self.is_end] = hashes(words, 1)
+        self.train = np.repeat(~self.held, sizes)
+        self.place = np.arange(place[-1]) - np.repeat(place[:-1], sizes)
 
     def classes(self, n: int) -> np.ndarray:
-        return (hashes([w[:2] + b" " + w[-2:] for w in self.words], 5) % np.uint64(n)).astype(np.int64)
+        """Class of every token."""
+        out = np.full(len(self.is_end), classes_of([END], n)[0])
+        out[~self.is_end] = classes_of(self.words, n)
+        return out
+
+    def numbered(self) -> tuple[np.ndarray, list[bytes]]:
+        """(distinct word of each token, distinct words), END last."""
+        flat, words = number(self.words)
+        out = np.full(len(self.is_end), len(words))
+        out[~self.is_end] = flat
+        return out, [*words, END]
 
     def features(self, rows: int) -> np.ndarray:
         """3 x tokens: rows of bigram, skip and trigram features."""
-        h = self.hash[self.tokens]
-        place = np.arange(len(h)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
-        end = self.hash[self.end]
-        one = np.where(place >= 1, np.roll(h, 1), end)
-        two = np.where(place >= 2, np.roll(h, 2), end)
+        end = hashes([END], 1)[0]
+        one = np.where(self.place >= 1, np.roll(self.hash, 1), end)
+        two = np.where(self.place >= 2, np.roll(self.hash, 2), end)
         f = np.stack([mix(one + np.uint64(11)), mix(two + np.uint64(22)), mix(one * np.uint64(3) + mix(two))])
         return (f % np.uint64(rows)).astype(np.uint16 if rows <= 1 << 16 else np.int64)
 
 
+def classes_of(words: list[bytes], n: int) -> np.ndarray:
+    """Orthographic class of each word: a hash of its first two and last two bytes."""
+    if not words:
+        return np.zeros(0, np.int64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    start = np.cumsum(size) - size
+    flat = np.frombuffer(b"".join(words), np.uint8).astype(np.uint64)
+    second, before = start + np.minimum(1, size - 1), start + np.maximum(size - 2, 0)
+    key = flat[start] | flat[second] << np.uint64(8) | flat[before] << np.uint64(16) | flat[start + size - 1] << np.uint64(24)
+    return (mix(key + np.uint64(1)) % np.uint64(n)).astype(np.int64)
+
+
 def probabilities(w: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
     """tokens x classes."""
     p = w[f[0]]
@@ -78,7 +100,7 @@ def probabilities(w: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
 
 
 class Trainer:
-    def __init__(self, w: np.ndarray, bias: np.ndarray, rate: float, step: int = 8192):
+    def __init__(self, w: np.ndarray, bias: np.ndarray, rate: float, step: int = 2048):
         self.w, self.bias, self.rate, self.step = w.copy(), bias, rate, step
         self.square = np.full(len(w), 1e-2, np.float32)
         self.touched = np.zeros(len(w), bool)
@@ -107,10 +129,11 @@ def _ask(shards: int, mod: int, rest: int):
         for b in batches:
             for chunk, blob in zip(b.column("chunk").to_pylist(), b.column("blob").to_pylist()):
                 c = Chunk(blob, mod, rest)
-                counts = np.bincount(c.tokens[c.train], minlength=len(c.words))
-                shard = (c.hash % np.uint64(shards)).astype(np.int64)
+                tokens, words = c.numbered()
+                counts = np.bincount(tokens[c.train], minlength=len(words))
+                shard = (hashes(words, 1) % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
-                words = np.array(c.words, dtype=object)
+                words = np.array(words, dtype=object)
                 groups = np.split(order, np.flatnonzero(np.diff(shard[order])) + 1)
                 yield batch(schema, shard[[g[0] for g in groups]], [chunk] * len(groups), [len(g) for g in groups],
                             [press.compress(counts[g].astype("<i8").tobytes() + b" ".join(words[g])) for g in groups])
@@ -123,7 +146,7 @@ def _count(classes: int):
 
     def run(t: pa.Table) -> pa.Table:
         unpress, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        totals: dict[bytes, int] = {}
+        totals: dict[bytes, int] = {}  # END is a word of its own here
         asked = []
         for n, blob in zip(t.column("n").to_pylist(), t.column("blob").to_pylist()):
             raw = unpress.decompress(blob)
@@ -136,7 +159,7 @@ def _count(classes: int):
             n = np.fromiter(map(totals.__getitem__, words), "<i8", len(words))
             out.append((chunk, shard, None, None, press.compress(n.tobytes())))
         known = [w for w, n in totals.items() if n]
-        cls = (hashes([w[:2] + b" " + w[-2:] for w in known], 5) % np.uint64(classes)).astype(np.int64)
+        cls = classes_of(known, classes)
         n, v = np.bincount(cls, weights=[totals[w] for w in known], minlength=classes), np.bincount(cls, minlength=classes)
         out += [(-1, k, int(n[k]), int(v[k]), None) for k in np.flatnonzero(v).tolist()]
         return pa.Table.from_batches([batch(schema, *zip(*out))])
@@ -159,7 +182,7 @@ def train(corpus: DataFrame, class_counts: np.ndarray, rows: int, rounds: int, r
             for b in batches:
                 for blob in b.column("blob").to_pylist():
                     c = Chunk(blob, mod, rest)
-                    trainer.learn(c.features(rows)[:, c.train], c.classes(classes)[c.tokens[c.train]])
+                    trainer.learn(c.features(rows)[:, c.train], c.classes(classes)[c.train])
                     seen = True
             if seen:
                 for block in range(0, rows, size):
@@ -184,7 +207,7 @@ def train(corpus: DataFrame, class_counts: np.ndarray, rows: int, rounds: int, r
     return w, bias
 
 
-def score(docs: DataFrame, mod: int = 7, rest: int = 2, rows: int = 1 << 15, classes: int = 64, rounds: int = 2, rate: float = 0.15) -> DataFrame:
+def score(docs: DataFrame, mod: int = 7, rest: int = 2, rows: int = 1 << 15, classes: int = 64, rounds: int = 1, rate: float = 0.15) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; rows with crc32(id) mod `mod` = `rest` are held out."""
     spark, total = docs.sparkSession, text_bytes(docs)
     corpus = packed(docs, total)
@@ -204,20 +227,20 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, rows: int = 1 << 15, cla
         answers = dict(zip(right.column("shard").to_pylist(), right.column("blob").to_pylist()))
         for blob in left.column("blob").to_pylist():
             c = Chunk(blob, mod, rest)
-            order = np.argsort((c.hash % np.uint64(shards)).astype(np.int64), kind="stable")
-            count = np.empty(len(c.words), np.int64)
+            tokens, words = c.numbered()
+            order = np.argsort((hashes(words, 1) % np.uint64(shards)).astype(np.int64), kind="stable")
+            count = np.empty(len(words), np.int64)
             count[order] = np.concatenate([np.frombuffer(unpress.decompress(answers[s]), "<i8") for s in sorted(answers)])
-            cls = c.classes(classes)
-            in_class = np.log10((count + 1) / (n_class[cls] + v_class[cls] + 1))
-            base = np.log10((count + 1) / (n + v + 1))
-            f, each = c.features(rows), in_class[c.tokens]
-            target = cls[c.tokens]
-            for k in range(0, len(each), 8192):
-                p = probabilities(w, bias, f[:, k : k + 8192])
-                each[k : k + 8192] += np.log10(np.maximum(p[np.arange(len(p)), target[k : k + 8192]], 1e-30))
+            cls = classes_of(words, classes)
+            base = np.log10((count + 1) / (n + v + 1))[tokens]
+            each = np.log10((count + 1) / (n_class[cls] + v_class[cls] + 1))[tokens]
+            f, target = c.features(rows), cls[tokens]
+            for k in range(0, len(each), 4096):
+                p = probabilities(w, bias, f[:, k : k + 4096])
+                each[k : k + 4096] += np.log10(np.maximum(p[np.arange(len(p)), target[k : k + 4096]], 1e-30))
             a = c.bounds[:-1]
-            out.append(batch(schema, id_array(c.ids), c.held, np.diff(c.bounds), np.add.reduceat((count > 0)[c.tokens].astype(np.int64), a), np.full(len(a), int(n)),
-                             np.add.reduceat(base[c.tokens], a), np.add.reduceat(each, a)))
+            out.append(batch(schema, id_array(c.ids), c.held, np.diff(c.bounds), np.add.reduceat((count > 0)[tokens].astype(np.int64), a), np.full(len(a), int(n)),
+                             np.add.reduceat(base, a), np.add.reduceat(each, a)))
         return pa.Table.from_batches(out, schema=schema)
 
     return corpus.select("chunk", "blob").groupBy("chunk").cogroup(replies.where("chunk >= 0").select("chunk", "shard", "blob").groupBy("chunk")).applyInArrow(run, RESULT)

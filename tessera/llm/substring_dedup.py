@@ -1,7 +1,7 @@
 """Substring dedup with repeated-phrase automata.
 
 A window is `width` consecutive words of one document. Every window belongs to the
-shard that its minimiser names (the smallest hash among its 4-word pieces), and
+shard that its minimiser names (the smallest hash among its 3-word pieces), and
 consecutive windows of one minimiser travel as one segment, once per chunk.
 
 In a shard: windows that occur more than once are confirmed word by word and joined
@@ -26,12 +26,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import MB, NO_ID, arrow_schema, batch, flat_words, hashes, id_array, mix, packed, text_bytes, unpack_docs
+from .common import MB, NO_ID, arrow_schema, batch, hashes, id_array, mix, number, packed, text_bytes, unpack_docs, words_of
 
 SEGMENTS = "shard long, chunk long, n int, blob binary"
 REPLIES = "chunk long, shard long, blob binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-PIECE, ODD = 4, np.uint64(0x9E3779B97F4A7C15)
+PIECE, ODD = 3, np.uint64(0x9E3779B97F4A7C15)
 #: Words of passages in one automaton.
 AUTOMATON_WORDS = 1_000_000
 
@@ -56,18 +56,17 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def segments(texts: list[bytes], width: int, shards: int):
     """What both ends of the exchange derive from a chunk: words, windows, distinct segments and their shards."""
-    flat, bounds, vocab = flat_words(texts)
-    words = list(vocab)
-    h = hashes(words)[flat] if len(flat) else np.zeros(0, np.uint64)
-    if len(flat) < width:
-        return flat, bounds, words, None
+    every, bounds = words_of(texts)
+    if len(every) < width:
+        return every, bounds, None
+    h = hashes(every)
     low = sliding_min(rolling(h, PIECE), width - PIECE + 1)
     start = np.arange(len(low))
     doc = np.searchsorted(bounds, start, side="right") - 1
     inside = start + width <= bounds[doc + 1]
     start, doc, low = start[inside], doc[inside], low[inside]
     if not len(start):
-        return flat, bounds, words, None
+        return every, bounds, None
     first = np.ones(len(start), bool)
     first[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(first)
@@ -76,45 +75,43 @@ def segments(texts: list[bytes], width: int, shards: int):
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(full[start] + np.uint64(1) * (np.arange(len(start)) - np.repeat(at, size)).astype(np.uint64)), dtype=np.uint64)])
     key = mix(sums[at + size] - sums[at] + size.astype(np.uint64) * ODD)
     _, rep, of = np.unique(key, return_index=True, return_inverse=True)
-    # equal keys are confirmed word by word; a segment unlike its representative stands for itself
-    n, span = len(at), size + width - 1
-    own = np.arange(n)
+    # equal keys are confirmed byte by byte; a segment unlike its representative stands for itself
+    joined = b" ".join(every)
+    place = np.concatenate([[0], np.cumsum(np.fromiter(map(len, every), np.int64, len(every)) + 1)])
+    begin, end = place[start[at]], place[start[at] + size + width - 1] - 1
     rep_of = rep[of]
-    offs = np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
-    a, b = np.repeat(start[at], span) + offs, np.minimum(np.repeat(start[at[rep_of]], span) + offs, len(flat) - 1)
-    differ = np.unique(np.repeat(own, span)[flat[a] != flat[b]])
-    bad = np.union1d(differ, own[size != size[rep_of]])
-    rep_of[bad] = bad
+    twice = np.flatnonzero(rep_of != np.arange(len(at)))
+    for k, r, x, y, z, w in zip(*(v.tolist() for v in (twice, rep_of[twice], begin[twice], end[twice], begin[rep_of[twice]], end[rep_of[twice]]))):
+        if joined[x:y] != joined[z:w]:
+            rep_of[k] = k
     reps, of = np.unique(rep_of, return_inverse=True)
     shard = (mix(low[at[reps]]) % np.uint64(shards)).astype(np.int64)
-    return flat, bounds, words, (start, doc, at, size, of, reps, shard)
+    return every, bounds, (start, doc, at, size, of, reps, shard, [joined, begin[reps], end[reps]])
 
 
 def _send(width: int, shards: int):
     schema = arrow_schema(SEGMENTS)
 
     def run(batches):
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for b in batches:
             for chunk, blob in zip(b.column("chunk").to_pylist(), b.column("blob").to_pylist()):
                 ids, texts = unpack_docs(blob)
-                flat, _, words, got = segments(texts, width, shards)
+                _, _, got = segments(texts, width, shards)
                 if got is None:
                     continue
-                start, doc, at, size, of, reps, shard = got
+                start, doc, at, size, of, reps, shard, (joined, begin, end) = got
                 seg_doc = ids[doc[at]]
                 low = np.full(len(reps), NO_ID)
                 high = np.full(len(reps), np.iinfo(np.int64).min)
                 np.minimum.at(low, of, seg_doc)
                 np.maximum.at(high, of, seg_doc)
-                begin = start[at[reps]]
-                end = (begin + size[reps] + width - 1).tolist()
-                lines = np.array([b" ".join(map(words.__getitem__, flat[x:y].tolist())) for x, y in zip(begin.tolist(), end)], dtype=object)
+                lines = np.array([joined[x:y] for x, y in zip(begin.tolist(), end.tolist())], dtype=object)
                 order = np.argsort(shard, kind="stable")
                 cuts = np.flatnonzero(np.diff(shard[order])) + 1
                 groups = np.split(order, cuts)
                 yield batch(schema, shard[[g[0] for g in groups]], [chunk] * len(groups), [len(g) for g in groups],
-                            [press.compress(low[g].tobytes() + high[g].tobytes() + b"\n".join(lines[g])) for g in groups])
+                            [press.compress(np.diff(low[g], prepend=0).tobytes() + (high[g] - low[g]).tobytes() + b"\n".join(lines[g])) for g in groups])
 
     return run
 
@@ -123,6 +120,16 @@ def _by_key(sorted_of: np.ndarray, values: np.ndarray, f) -> np.ndarray:
     return f.reduceat(values, np.flatnonzero(np.append(True, sorted_of[1:] != sorted_of[:-1])))
 
 
+def _windows(words: list[bytes], texts: list[bytes], width: int):
+    """(bounds of texts, place, text and hash of every window)."""
+    bounds = np.concatenate([[0], np.cumsum(np.fromiter((x.count(b" ") for x in texts), np.int64, len(texts)) + 1)])
+    fp = rolling(hashes(words, 7), width)
+    pos = np.arange(len(fp))
+    text = np.searchsorted(bounds, pos, side="right") - 1
+    inside = pos + width <= bounds[text + 1]
+    return bounds, pos[inside], text[inside], fp[inside]
+
+
 def locate(lines: list[bytes], low: np.ndarray, high: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, window within it, owner) of every occurrence of a recurring window; low, high: smallest and largest document of each line."""
     import ahocorasick
@@ -133,15 +140,23 @@ def locate(lines: list[bytes], low: np.ndarray, high: np.ndarray, width: int) ->
     np.minimum.at(owner_of_text, of, low)
     copies = np.bincount(of, minlength=len(index))
     uses = np.bincount(of, weights=1 + (low < high), minlength=len(index))  # a line may stand for several documents of its chunk
-    flat, bounds, vocab = flat_words(list(index))
-    fp = rolling(hashes(list(vocab), 7)[flat], width)
-    pos = np.arange(len(fp))
-    text = np.searchsorted(bounds, pos, side="right") - 1
-    inside = pos + width <= bounds[text + 1]
-    pos, text, fp = pos[inside], text[inside], fp[inside]
     none = np.zeros(0, np.int64)
+    # by hash first: most texts hold no recurring window and go no further
+    bounds, pos, text, fp = _windows(b" ".join(index).split(), list(index), width)
     if not len(pos):
         return none, none, none
+    _, w_of = np.unique(fp, return_inverse=True)
+    live = np.unique(text[np.bincount(w_of, weights=uses[text])[w_of] > 1])
+    if not len(live):
+        return none, none, none
+    every = list(index)
+    every = [every[k] for k in live.tolist()]
+    new = np.full(len(index), -1)
+    new[live] = np.arange(len(live))
+    line_of = np.flatnonzero(new[of] >= 0)  # lines that take part
+    of, owner_of_text, copies, uses = new[of][line_of], owner_of_text[live], copies[live], uses[live]
+    flat, _ = number(b" ".join(every).split())
+    bounds, pos, text, fp = _windows(b" ".join(every).split(), every, width)
     _, rep, w_of = np.unique(fp, return_index=True, return_inverse=True)
     recurs = np.bincount(w_of, weights=uses[text])[w_of] > 1
     # confirm: the words of each recurring window against the first window of that hash
@@ -200,7 +215,7 @@ def locate(lines: list[bytes], low: np.ndarray, high: np.ndarray, width: int) ->
     begin = np.searchsorted(of[by_text], text[at])
     n = copies[text[at]]
     line = by_text[np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    return line, np.repeat(pos[at] - bounds[text[at]], n), np.repeat(owner[w_of[at]], n)
+    return line_of[line], np.repeat(pos[at] - bounds[text[at]], n), np.repeat(owner[w_of[at]], n)
 
 
 def _answer(width: int):
@@ -212,8 +227,8 @@ def _answer(width: int):
         lines, low, high = [], [], []
         for n, blob in zip(counts.tolist(), t.column("blob")):
             raw = unpress.decompress(blob.as_py())
-            low.append(np.frombuffer(raw, np.int64, n))
-            high.append(np.frombuffer(raw, np.int64, n, 8 * n))
+            low.append(np.cumsum(np.frombuffer(raw, np.int64, n)))
+            high.append(low[-1] + np.frombuffer(raw, np.int64, n, 8 * n))
             lines += raw[16 * n :].split(b"\n")
         low, high = np.concatenate(low), np.concatenate(high)
         line, window, owner = locate(lines, low, high, width)
@@ -239,10 +254,10 @@ def _apply(width: int, shards: int):
         unpress, out = zstandard.ZstdDecompressor(), []
         for blob in left.column("blob").to_pylist():
             ids, texts = unpack_docs(blob)
-            flat, bounds, _, got = segments(texts, width, shards)
-            covered = np.zeros(len(flat) + 1, np.int64)
+            every, bounds, got = segments(texts, width, shards)
+            covered = np.zeros(len(every) + 1, np.int64)
             if got is not None and right.num_rows:
-                start, doc, at, size, of, reps, shard = got
+                start, doc, at, size, of, reps, shard, _ = got
                 order = np.argsort(shard, kind="stable")  # as it was sent
                 first = np.searchsorted(shard[order], np.arange(shards + 1))
                 base = np.cumsum(size[reps]) - size[reps]
@@ -258,8 +273,8 @@ def _apply(width: int, shards: int):
             removed = np.concatenate([[0], np.cumsum(gone)])
             n_removed = removed[bounds[1:]] - removed[bounds[:-1]]
             shas = []
-            for t, a, b, r in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), n_removed.tolist()):
-                ws = t.split()
+            for a, b, r in zip(bounds[:-1].tolist(), bounds[1:].tolist(), n_removed.tolist()):
+                ws = every[a:b]
                 shas.append(hashlib.sha256(b" ".join(compress(ws, (~gone[a:b]).tolist()) if r else ws)).hexdigest())
             out.append(batch(schema, id_array(ids), np.diff(bounds), n_removed, shas))
         return pa.Table.from_batches(out, schema=schema)
