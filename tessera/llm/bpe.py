@@ -189,7 +189,7 @@ class Encoder:
         out = []
         for k in range(0, len(texts), group):
             cuts = [self.cut(t) for t in texts[k : k + group]]
-            new = {u for c in cuts for u in c if u not in self.units}
+            new = set().union(*(set(c).difference(self.units) for c in cuts))
             if new:
                 if len(self.units) + len(new) > self.most:
                     new = {u for c in cuts for u in c}

@@ -39,54 +39,48 @@ ROWS = "shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
 
 class CachedTokenizer:
-    """A tokenizers file behind a bounded cache of white-space separated units.
+    """A tokenizers file behind a bounded cache of its pieces.
 
-    White space ends every match of the file's pre-tokenizer and is dropped, so the units
-    of a text encode on their own. Units of plain Latin letters go straight to the model,
-    piece by piece; all others go through the whole pipeline of the library.
+    A text of plain Latin-1 letters, digits and signs is lower-cased and split as the file's
+    normaliser and pre-tokenizer would (for these characters both work sign by sign), and each
+    distinct piece is encoded once by the library's model. Any other text goes through the
+    library's whole pipeline, in units between single spaces: white space ends every piece.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
-        import json
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
-        self.tok, self.most, self.units = Tokenizer.from_file(path), most, {"": b""}
-        pre = json.loads(self.tok.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = regex.compile(pre).findall
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.tok, self.most = Tokenizer.from_file(path), most
+        # white space and '<', which may open a special token, are not plain; nor are signs whose class Latin-1 does not settle
+        self.plain = re.compile(r"[\n !-;=-~\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf-\u00ff]*").fullmatch
+        letter = "a-z\u00df-\u00f6\u00f8-\u00ff"
+        self.split = re.compile(rf"[{letter}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^ \n{letter}0-9]+").findall
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
-        self.chars = {b: chr(b) if b in printable else chr(next(rest)) for b in range(256)}
-        self.plain = re.compile(r"[!-;=-~À-ÿ]*").fullmatch  # no '<': it may open a special token
+        self.chars = [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
         self.pieces: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {"": b""}
 
     def unit(self, u: str) -> bytes:
-        if not self.plain(u):
-            return np.array(self.tok.encode(u, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.piece, self.split(u.lower())))
+        return np.array(self.tok.encode(u, add_special_tokens=False).ids, "<u4").tobytes()
 
     def piece(self, p: str) -> bytes:
-        if (got := self.pieces.get(p)) is None:
-            if len(self.pieces) >= self.most:
-                self.pieces.clear()
-            s = p if p.isascii() else "".join(self.chars[b] for b in p.encode())
-            got = self.pieces[p] = np.array([t.id for t in self.tok.model.tokenize(s)], "<u4").tobytes()
-        return got
+        s = p if p.isascii() else "".join([self.chars[b] for b in p.encode()])
+        return np.array([t.id for t in self.tok.model.tokenize(s)], "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a whole text."""
-        parts, units = text.replace("\n", " ").split(" "), self.units
-        try:
-            return b"".join(map(units.__getitem__, parts))
-        except KeyError:
-            if len(units) >= self.most:
-                units.clear()
-            for p in parts:
-                if p not in units:
-                    units[p] = self.unit(p)
-            return b"".join(map(units.__getitem__, parts))
+        if self.plain(text):
+            return self._cached(self.split(text.lower()), self.pieces, self.piece)
+        return self._cached(text.replace("\n", " ").split(" "), self.units, self.unit)
+
+    def _cached(self, parts: list[str], known: dict[str, bytes], encode) -> bytes:
+        if len(known) >= self.most:
+            known.clear()
+        for p in set(parts).difference(known):
+            known[p] = encode(p)
+        return b"".join(map(known.__getitem__, parts))
 
 
 _TOKENIZERS: dict[str, CachedTokenizer] = {}
