@@ -1,0 +1,153 @@
+"""Notes XML exports to documents: metadata, body as Markdown, images and attachments.
+
+Body text mixes text and elements, whose order Spark's XML source does not keep, so each
+file is parsed with ElementTree in a Python worker; bytes of images and attachments stay
+in columns, with their kind and hash.
+"""
+
+from __future__ import annotations
+
+import base64
+import binascii
+import hashlib
+import re
+import unicodedata
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+SCHEMA = ("doc_id string, metadata struct<database_title:string,replica_id:string,unid:string,noteid:string,form:string,subject:string,http_link:string,notes_link:string,"
+          "owner_department:string,categories:array<string>>, body_text string, images array<struct<image_id:string,mime:string,content_hash:string,size_bytes:bigint,data:binary>>, "
+          "attachments array<struct<attachment_id:string,filename:string,sha256:string,size_bytes:bigint,data:binary>>")
+MAGIC = ((b"GIF87a", "gif"), (b"GIF89a", "gif"), (b"\x89PNG\r\n\x1a\n", "png"), (b"\xff\xd8\xff", "jpg"), (b"BM", "bmp"), (b"II*\0", "tif"), (b"MM\0*", "tif"))
+
+
+def local(tag: str) -> str:
+    return tag.rpartition("}")[2]
+
+
+def item_name(name: str | None) -> str:
+    return unicodedata.normalize("NFKC", name or "").strip().lower()
+
+
+def clean(x: str | None) -> str | None:
+    return (x or "").strip() or None
+
+
+def unbase64(text: str, least: int = 64) -> bytes | None:
+    bare = re.sub(r"\s", "", text).rstrip("=")
+    if len(bare) < least or re.search(r"[^A-Za-z0-9+/]", bare):
+        return None
+    try:
+        return base64.b64decode(bare + "=" * (-len(bare) % 4))
+    except binascii.Error:
+        return None
+
+
+def kind_of(data: bytes) -> str | None:
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        return "webp"
+    return next((k for m, k in MAGIC if data.startswith(m)), None)
+
+
+class Renderer:
+    """Walks a body once; images met on the way are collected."""
+
+    def __init__(self):
+        self.images: list[dict] = []
+
+    def inline(self, e) -> str:
+        out = [e.text or ""]
+        for child in e:
+            out += [self.element(child), child.tail or ""]
+        return "".join(out)
+
+    def element(self, e) -> str:
+        tag = local(e.tag)
+        if tag in KINDS_OF_IMAGE:
+            data = unbase64("".join(e.itertext()))
+            kind = kind_of(data) if data else None
+            if kind is None:
+                return ""
+            name = f"image_{len(self.images) + 1}"
+            self.images.append({"image_id": name, "mime": f"image/{kind}", "content_hash": hashlib.sha256(data).hexdigest(), "size_bytes": len(data), "data": data})
+            return f"![{name}]({name}.{kind})"
+        if tag == "table":
+            return f"\n{self.table(e)}\n"
+        if tag == "break":
+            return "\n"
+        if tag == "urllink":
+            return f"[{label(self.inline(e))}]({target(e.get('href') or '')})"
+        if tag == "doclink":
+            return f"[{label(e.get('description') or self.inline(e) or 'link')}]({target('notes:///' + '/0/'.join(filter(None, (e.get('database'), e.get('document')))))})"
+        text = self.inline(e)
+        return f"{text}\n" if tag in ("par", "caption") else text
+
+    def table(self, e) -> str:
+        """Markdown; a cell's text is repeated in all that its spans cover."""
+        grid: dict[tuple[int, int], str] = {}
+        rows = [r for r in e.iter() if local(r.tag) == "tablerow"]
+        for y, r in enumerate(rows):
+            x = 0
+            for c in (c for c in r if local(c.tag) == "tablecell"):
+                while (y, x) in grid:
+                    x += 1
+                down, across = int(c.get("rowspan") or 1), int(c.get("columnspan") or 1)
+                text = re.sub(r"\r\n?", "\n", self.inline(c)).strip().replace("\n", "<br>").replace("|", "\\|")
+                grid.update({(y + dy, x + dx): text for dy in range(down) for dx in range(across)})
+                x += across
+        if not grid:
+            return ""
+        width = 1 + max(x for _, x in grid)
+        lines = [f"| {' | '.join(grid.get((y, x), '') for x in range(width))} |" for y in range(1 + max(y for y, _ in grid))]
+        return "\n".join([lines[0], f"|{' --- |' * width}", *lines[1:]])
+
+
+KINDS_OF_IMAGE = {"gif", "jpeg", "png", "notesbitmap", "picturedata"}
+
+
+def label(x: str) -> str:
+    return x.replace("[", "\\[").replace("]", "\\]")
+
+
+def target(x: str) -> str:
+    return x.replace("(", "%28").replace(")", "%29")
+
+
+def parse(xml: bytes | str, notes_base: str = "", http_base: str = "") -> list[dict]:
+    """Every note or document element, wherever it is."""
+    root = ElementTree.fromstring(xml)
+    replica, title = clean(root.get("replicaid")), clean(root.get("title"))
+    return [_document(e, replica, title, notes_base, http_base) for e in root.iter() if local(e.tag) in ("note", "document")]
+
+
+def _document(e, replica, title, notes_base, http_base) -> dict:
+    info = next((x for x in e.iter() if local(x.tag) == "noteinfo"), None)
+    unid, noteid = (clean(info.get(k)) if info is not None else None for k in ("unid", "noteid"))
+    replica = clean(e.get("replicaid")) or replica
+    items = {item_name(x.get("name")): x for x in e if local(x.tag) == "item"}
+    text = lambda *names: next((v for n in names if n in items and (v := clean("".join(items[n].itertext())))), None)
+    render, bodies, files = Renderer(), [], []
+    for x in e:
+        if local(x.tag) == "item" and item_name(x.get("name")) == "body" and (body := render.inline(x).strip()):
+            bodies.append(re.sub(r"\n{3,}", "\n\n", body))
+    for k, x in enumerate((x for x in e.iter() if local(x.tag) == "file"), 1):
+        data = unbase64("".join(t for y in x.iter() if local(y.tag) == "filedata" for t in y.itertext()), 1) or b""
+        name = re.sub(r'[\\/:*?"<>|\x00-\x1f]', "_", x.get("name") or "").rstrip(" .") or "attachment"
+        files.append({"attachment_id": f"attachment_{k}", "filename": name, "sha256": hashlib.sha256(data).hexdigest(), "size_bytes": len(data), "data": data})
+    if files:
+        bodies.append("\n".join(["Attachments:", *(f"- {label(f['filename'])}" for f in files)]))
+    link = lambda base: f"{base}{replica}/0/{unid}" if base and replica and unid else None
+    categories = [c for k in range(1, 6) if (c := text(f"category{k}", f"category_{k}")) and c not in ("一", "1")]
+    meta = {"database_title": title, "replica_id": replica, "unid": unid, "noteid": noteid, "form": clean(e.get("form")), "subject": text("subject"), "http_link": link(http_base),
+            "notes_link": link(notes_base), "owner_department": text("owner_department", "department"), "categories": categories}
+    return {"doc_id": f"{replica}:{unid}" if replica and unid else unid or noteid or "unknown", "metadata": meta, "body_text": "\n\n".join(bodies), "images": render.images, "attachments": files}
+
+
+def read(spark: SparkSession, path: str, notes_base: str = "", http_base: str = "") -> DataFrame:
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame([d for raw in b.content for d in parse(bytes(raw), notes_base, http_base)], columns=["doc_id", "metadata", "body_text", "images", "attachments"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, SCHEMA)
