@@ -96,14 +96,14 @@ def leaves(reps: DataFrame, total: int, limit: int):
     return leaf.otherwise(F.col("text")) if leaf is not None else F.expr("X''")
 
 
-def exact_groups(docs: DataFrame, limit: int = 32 * MB) -> DataFrame:
+def exact_groups(docs: DataFrame, limit: int = 2 * MB) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row; the largest doc_id of equal texts stays."""
     tune(docs.sparkSession)
     local = table(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_local, LOCAL))
     reps = local.where(F.col("uid") == F.col("rep")).select("rep", "n", "top_id", "top_uid", "text")
     total = int(reps.agg(F.sum(F.octet_length("text") + F.lit(200))).first()[0] or 0)
-    limit = max(limit, total // 20_000)
-    buckets = max(1, -(-total // (limit // 4)))
+    limit = max(limit, total // 4_000)
+    buckets = max(1, -(-total // limit))
     dealt = reps.withColumn("bucket", F.pmod(F.xxhash64(leaves(reps, total, limit)), F.lit(buckets)))
     groups = dealt.groupBy("bucket").applyInArrow(_grouped, GROUPS)
     return (local.select("uid", "doc_id", "rep", "text_sha256").join(groups, "rep")
