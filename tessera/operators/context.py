@@ -27,7 +27,7 @@ def append_queries(context: Column, queries: Column) -> Column:
 
 def sanitize_queries(queries: Column, most: int = 3) -> Column:
     """Trimmed, non-empty, distinct in first-seen order, at most `most`."""
-    return F.slice(F.array_distinct(F.filter(F.transform(queries, F.trim), lambda x: x != "")), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(queries, lambda x: F.trim(x)), lambda x: x != "")), 1, most)
 
 
 def parse(df: DataFrame, column: str = "context_string") -> DataFrame:
