@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch, held_out, tune
+from .common import arrow_schema, batch, held_out, table, tune
 
 WORD = re.compile(r"[^\W\d_]+")
 COUNTS = "lang string, kind int, gram string, n long"
@@ -63,7 +63,7 @@ def learn(docs: DataFrame, sample: int = 20_000, most_words: int = 150_000, most
                 yield batch(schema, *zip(*out))
 
     tune(docs.sparkSession)
-    counts = picked.select("text", "lang").mapInArrow(count, COUNTS).groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
+    counts = table(picked.select("text", "lang").mapInArrow(count, COUNTS).groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")))
     each = counts.groupBy("kind", "gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     words = each.where("kind = 0 and all >= 3").orderBy(F.desc("all"), "gram").limit(most_words)
     parts = each.where("kind between 1 and 5 and all >= 3").orderBy(F.desc("all"), "kind", "gram").limit(most_grams)
