@@ -2,8 +2,7 @@
 
 P(word | history) = P(class | history) P(word | class). Classes are orthographic: a hash
 of a word's first and last letters, so unknown words have one too. P(class | history) is
-a softmax over hashed features: the word before (bigram), the one before it (skip) and
-both together (trigram). P(word | class) is add-one over the class's training counts,
+a softmax over hashed features: the word before (bigram) and the one before it (skip). P(word | class) is add-one over the class's training counts,
 with one share for unknown words; all of it sums to one over known words and the unknown.
 
 Word counts come from all training rows through an exchange by word hash, once per chunk
@@ -67,11 +66,11 @@ class Chunk:
         return out, [*words, END]
 
     def features(self, rows: int) -> np.ndarray:
-        """3 x tokens: rows of bigram, skip and trigram features."""
+        """2 x tokens: rows of bigram and skip features."""
         end = hashes([END], 1)[0]
         one = np.where(self.place >= 1, np.roll(self.hash, 1), end)
         two = np.where(self.place >= 2, np.roll(self.hash, 2), end)
-        f = np.stack([mix(one + np.uint64(11)), mix(two + np.uint64(22)), mix(one * np.uint64(3) + mix(two))])
+        f = np.stack([mix(one + np.uint64(11)), mix(two + np.uint64(22))])
         return (f % np.uint64(rows)).astype(np.uint16 if rows <= 1 << 16 else np.int64)
 
 
@@ -91,7 +90,6 @@ def probabilities(w: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
     """tokens x classes."""
     p = w[f[0]]
     p += w[f[1]]
-    p += w[f[2]]
     p += bias
     p -= p.max(axis=1, keepdims=True)
     np.exp(p, out=p)
@@ -207,7 +205,7 @@ def train(corpus: DataFrame, class_counts: np.ndarray, rows: int, rounds: int, r
     return w, bias
 
 
-def score(docs: DataFrame, mod: int = 7, rest: int = 2, rows: int = 1 << 15, classes: int = 64, rounds: int = 1, rate: float = 0.15) -> DataFrame:
+def score(docs: DataFrame, mod: int = 7, rest: int = 2, rows: int = 1 << 15, classes: int = 32, rounds: int = 1, rate: float = 0.15) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; rows with crc32(id) mod `mod` = `rest` are held out."""
     spark, total = docs.sparkSession, text_bytes(docs)
     corpus = packed(docs, total)
