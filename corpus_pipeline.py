@@ -51,7 +51,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", identify_language), ("exact dedup", drop_copies), ("SimHash near-dedup", drop_near_copies), ("benchmark decontamination", drop_leaks), ("byte-level BPE", tokenize)]
 
-#: Learned language models, SimHash and BPE are beyond SQL; tests compare run() with a brute-force version.
+#: A learned language classifier, SimHash and BPE are beyond SQL.
 ORACLE_SQL = None
 
 
