@@ -46,30 +46,19 @@ class Chunk:
         self.bounds, sizes = place, np.diff(place)
         self.is_end = np.zeros(place[-1], bool)
         self.is_end[place[1:] - 1] = True
-        self.words = words  # without the ends
-        self.hash = np.full(place[-1], hashes([END], 1)[0], np.uint64)
-        self.hash[~self.is_end] = hashes(words, 1)
+        flat, words = number(words)
+        self.words = [*words, END]  # distinct
+        self.tokens = np.full(place[-1], len(words))  # the distinct word of each token
+        self.tokens[~self.is_end] = flat
         self.train = np.repeat(~self.held, sizes)
         self.place = np.arange(place[-1]) - np.repeat(place[:-1], sizes)
 
-    def classes(self, n: int) -> np.ndarray:
-        """Class of every token."""
-        out = np.full(len(self.is_end), classes_of([END], n)[0])
-        out[~self.is_end] = classes_of(self.words, n)
-        return out
-
-    def numbered(self) -> tuple[np.ndarray, list[bytes]]:
-        """(distinct word of each token, distinct words), END last."""
-        flat, words = number(self.words)
-        out = np.full(len(self.is_end), len(words))
-        out[~self.is_end] = flat
-        return out, [*words, END]
-
     def features(self, rows: int) -> np.ndarray:
         """2 x tokens: rows of bigram and skip features."""
-        end = hashes([END], 1)[0]
-        one = np.where(self.place >= 1, np.roll(self.hash, 1), end)
-        two = np.where(self.place >= 2, np.roll(self.hash, 2), end)
+        hash = hashes(self.words, 1)
+        every, end = hash[self.tokens], hash[-1]
+        one = np.where(self.place >= 1, np.roll(every, 1), end)
+        two = np.where(self.place >= 2, np.roll(every, 2), end)
         f = np.stack([mix(one + np.uint64(11)), mix(two + np.uint64(22))])
         return (f % np.uint64(rows)).astype(np.uint16 if rows <= 1 << 16 else np.int64)
 
@@ -127,7 +116,7 @@ def _ask(shards: int, mod: int, rest: int):
         for b in batches:
             for chunk, blob in zip(b.column("chunk").to_pylist(), b.column("blob").to_pylist()):
                 c = Chunk(blob, mod, rest)
-                tokens, words = c.numbered()
+                tokens, words = c.tokens, c.words
                 counts = np.bincount(tokens[c.train], minlength=len(words))
                 shard = (hashes(words, 1) % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
@@ -180,7 +169,7 @@ def train(corpus: DataFrame, class_counts: np.ndarray, rows: int, rounds: int, r
             for b in batches:
                 for blob in b.column("blob").to_pylist():
                     c = Chunk(blob, mod, rest)
-                    trainer.learn(c.features(rows)[:, c.train], c.classes(classes)[c.train])
+                    trainer.learn(c.features(rows)[:, c.train], classes_of(c.words, classes)[c.tokens[c.train]])
                     seen = True
             if seen:
                 for block in range(0, rows, size):
@@ -225,7 +214,7 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, rows: int = 1 << 15, cla
         answers = dict(zip(right.column("shard").to_pylist(), right.column("blob").to_pylist()))
         for blob in left.column("blob").to_pylist():
             c = Chunk(blob, mod, rest)
-            tokens, words = c.numbered()
+            tokens, words = c.tokens, c.words
             order = np.argsort((hashes(words, 1) % np.uint64(shards)).astype(np.int64), kind="stable")
             count = np.empty(len(words), np.int64)
             count[order] = np.concatenate([np.frombuffer(unpress.decompress(answers[s]), "<i8") for s in sorted(answers)])
