@@ -17,6 +17,7 @@ that is first in the alphabet. Other columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -122,15 +123,26 @@ class Scorer(dict):
         return self.langs[int(s.argmax())], float(p.max() / p.sum())
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def scorer(key: str, shared) -> Scorer:
+    """The scorer of one fitted model, kept while the Python worker lives; that of another model goes."""
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(shared.value)
+    return _SCORERS[key]
+
+
 def predict(docs: DataFrame, model: dict, mod: int = 5) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = arrow_schema(RESULT)
+    schema, key = arrow_schema(RESULT), uuid.uuid4().hex
 
     def run(batches):
-        scorer = Scorer(shared.value)
+        words = scorer(key, shared)
         for b in batches:
-            langs, scores = zip(*map(scorer.predict, b.column(2).to_pylist())) if b.num_rows else ((), ())
+            langs, scores = zip(*map(words.predict, b.column(2).to_pylist())) if b.num_rows else ((), ())
             yield batch(schema, b.column(0), b.column(1), langs, scores)
 
     tune(docs.sparkSession)
