@@ -51,20 +51,31 @@ def learn(docs: DataFrame, sample: int = 20_000, most_words: int = 150_000, most
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 by_lang.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
                 n_docs[lang] += 1
-            out = [(lang, 6, "", n) for lang, n in n_docs.items()]
-            for lang, words in by_lang.items():
-                parts: dict[int, Counter] = {n: Counter() for n in range(1, longest + 1)}
-                for w, c in words.items():
-                    out.append((lang, 0, w, c))
-                    for n in parts:
-                        for g in grams(w, n):
-                            parts[n][g] += c
-                out += [(lang, n, g, c) for n, cs in parts.items() for g, c in cs.items()]
+            out = [(lang, 6, "", n) for lang, n in n_docs.items()] + [(lang, 0, w, c) for lang, ws in by_lang.items() for w, c in ws.items()]
             if out:
                 yield batch(schema, *zip(*out))
 
+    def cut(batches):
+        """n-grams of the words, added up until there are many."""
+        found: Counter = Counter()
+        for b in batches:
+            for lang, w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                for n in range(1, longest + 1):
+                    for g in grams(w, n):
+                        found[lang, n, g] += c
+            if len(found) > 300_000:
+                yield batch(schema, *zip(*((*k, c) for k, c in found.items())))
+                found.clear()
+        if found:
+            yield batch(schema, *zip(*((*k, c) for k, c in found.items())))
+
+    def add(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
+
     tune(docs.sparkSession)
-    counts = table(picked.select("text", "lang").mapInArrow(count, COUNTS).groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")))
+    words = table(add(picked.select("text", "lang").mapInArrow(count, COUNTS)))
+    counts = words.unionByName(add(words.where("kind = 0").select("lang", "gram", "n").mapInArrow(cut, COUNTS)))
+    counts = table(counts)
     each = counts.groupBy("kind", "gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     words = each.where("kind = 0 and all >= 3").orderBy(F.desc("all"), "gram").limit(most_words)
     parts = each.where("kind between 1 and 5 and all >= 3").orderBy(F.desc("all"), "kind", "gram").limit(most_grams)
@@ -83,7 +94,7 @@ class Scorer(dict):
         super().__init__()
         self.model, self.most, self.langs = model, most, model["langs"]
         self.known = self._logs(model["words"])
-        self.parts = self._logs(model["grams"])
+        self.parts = {g: tuple(x.tolist()) for g, x in self._logs(model["grams"]).items()}
         self.table = np.zeros((1024, len(self.langs)))
         p = np.array(model["prior"], float)
         self.prior = np.log((p + 1) / (p.sum() + len(p))) if len(p) else p
@@ -98,9 +109,9 @@ class Scorer(dict):
         if (v := self.known.get(word)) is not None:
             return v
         for n in range(self.model["longest"], 0, -1):
-            found = [self.parts[g] for g in grams(word, n) if g in self.parts]
+            found = [p for g in grams(word, n) if (p := self.parts.get(g))]
             if found:
-                return np.mean(found, axis=0)
+                return np.array([sum(x) / len(found) for x in zip(*found)])
         return np.zeros(len(self.langs))
 
     def __missing__(self, word: str) -> int:
