@@ -109,28 +109,44 @@ class CaptureIndex:
         return out
 
 
+def revisits(rows: DataFrame, n_rows: int, most_hot: int = 2_000) -> DataFrame:
+    """(key, page_id, digest, refers_to) of each record that revisits another.
+
+    Digests with over n_rows / most_hot copies number fewer than `most_hot`: that bounded set is
+    broadcast, so no task gets all copies of one; the others are joined by digest.
+    """
+    thin = rows.select("key", "page_id", "digest")
+    first = table(rows.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1"))
+    hot = F.broadcast(first.where(F.col("n") > n_rows // most_hot + 1).select("digest", "first_id"))
+    cold = first.where(F.col("n") <= n_rows // most_hot + 1).select("digest", "first_id")
+    found = thin.join(hot, "digest").unionByName(thin.join(hot.select("digest"), "digest", "left_anti").join(cold, "digest"))
+    return found.where("first_id is not null and (page_id is null or page_id <> first_id)").select("key", "page_id", "digest", F.col("first_id").alias("refers_to")).distinct()
+
+
 def write(pages: DataFrame, folder: str | None = None, least: int = 100, part_bytes: int = 8 * MB, block: int = 512) -> tuple[str, DataFrame]:
     """Archives and indexes of all pages; (folder, manifest)."""
     spark = pages.sparkSession
     folder = folder or shared_dir(spark)
-    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
-    size = int(rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0)
-    # only payloads that do repeat are looked up; one row each, however many copies
-    first = (rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id"))
-    dealt = (rows.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).when(F.col("page_id").isNull(), F.col("first_id")))
-             .withColumn("key", F.regexp_replace(host_key(F.col("url")), r"[\t\n\r]", "%20")))
-    parts = max(1, -(-size // part_bytes))
-    ordered = dealt.select("key", "page_id", F.coalesce("url", F.lit("")).alias("url"), "payload", "digest", "refers_to").repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id")
+    rows = (pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
+            .withColumn("digest", F.sha2("payload", 256)).withColumn("key", F.regexp_replace(host_key(F.col("url")), r"[\t\n\r]", "%20")))
+    size, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)), F.count("*")).first()
+    parts = max(1, -(-int(size) // part_bytes))
+    # payloads travel once: what a record revisits comes as a row of its own, sorted just before it
+    notes = revisits(rows.where(F.octet_length("payload") >= least), n_rows).select("key", "page_id", "digest", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to")
+    ordered = (rows.select("key", "page_id", "digest", "url", "payload", F.lit(None).cast("long").alias("refers_to")).unionByName(notes)
+               .repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id", "digest", F.col("refers_to").asc_nulls_last()))
     schema = arrow_schema(MANIFEST)
 
     def put(batches):
         from pyspark import TaskContext
 
-        members, lines, at = [], [], 0
+        members, lines, at, note = [], [], 0, None
         for b in batches:
-            for key, page, url, payload, digest, refers in zip(*(c.to_pylist() for c in b.columns)):
-                members.append(record(page, url, payload, digest, refers))
+            for key, page, digest, url, payload, refers in zip(*(c.to_pylist() for c in b.columns)):
+                if refers is not None:
+                    note = (key, page, digest), refers
+                    continue
+                members.append(record(page, url, payload, digest, note[1] if note and note[0] == (key, page, digest) else None))
                 lines.append((key, "" if page is None else page, at, len(members[-1])))
                 at += len(members[-1])
         if lines:

@@ -147,3 +147,17 @@ def test_warc(spark):
     assert all(got[i]["payload_digest"] == hashlib.sha256((t or "").encode()).hexdigest() and got[i]["payload_bytes"] == len((t or "").encode()) for i, _, t in rows)
     assert {r[0] for r in warc.look_up(folder, manifest, "com,example,b)/x")} == {3, 6}
     assert warc.write_and_read(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_warc_copies(spark):
+    body = "<p>" + "copy " * 40
+    rows = [(k, f"http://h.example/{k % 3}", body) for k in range(9, 2, -1)] + [(5, "http://h.example/2", body), (3, "http://h.example/0", body), (None, None, body), (None, "http://n.org", "y" * 200), (7, "http://h.example/1", "z" * 5_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.write_and_read(pages, part_bytes=300).collect())
+    n = len(body)
+    assert got == Counter([(k, "revisit", 3, n) for k in (4, 5, 5, 6, 7, 8, 9, None)] + [(3, "response", None, n)] * 2 + [(None, "response", None, 200), (7, "response", None, 5_000_000)])
+    from pyspark.sql import functions as F
+
+    thin = pages.select("page_id", F.lit("k").alias("key"), F.sha2("html", 256).alias("digest"))
+    ways = [sorted(map(str, warc.revisits(thin, len(rows), hot).collect())) for hot in (1, 2_000)]  # joined by digest, broadcast
+    assert ways[0] == ways[1] and len(ways[0]) == 7
