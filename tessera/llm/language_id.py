@@ -11,18 +11,21 @@ parameters. Every row is then predicted over its whole text.
 
 `und` with score 0 for a null text, a text without a letter, or an untrained model.
 Null ids count as not held out, and are not learned from. Ties go to the language
-that is first in the alphabet. Other columns are ignored.
+that is first in the alphabet. Other columns are ignored,
+or carried unchanged where asked for.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import arrow_schema, batch, held_out, table, tune
 
@@ -82,32 +85,30 @@ def learn(docs: DataFrame, sample: int = 20_000, most_words: int = 150_000, most
     got = words.union(parts).union(each.where("kind = 6")).select("kind", "gram", "by").collect()
     prior = next((r["by"] for r in got if r["kind"] == 6), {})
     langs = sorted(prior)
-    row = lambda by: [by.get(x, 0) for x in langs]
-    return {"langs": langs, "prior": row(prior), "words": {r["gram"]: row(r["by"]) for r in got if r["kind"] == 0},
-            "grams": {r["gram"]: row(r["by"]) for r in got if 1 <= r["kind"] <= 5}, "longest": longest}
+
+    def side(kinds) -> tuple[list[str], np.ndarray]:
+        rows = [r for r in got if r["kind"] in kinds]
+        return [r["gram"] for r in rows], np.array([[r["by"].get(x, 0) for x in langs] for r in rows], np.int64).reshape(len(rows), len(langs))
+
+    return {"langs": langs, "prior": [prior[x] for x in langs], "words": side({0}), "grams": side(range(1, 6)), "longest": longest}
 
 
 class Scorer(dict):
     """word -> row of `table`, the log frequencies by language; unseen words back off once and are kept."""
 
-    def __init__(self, model: dict, most: int = 300_000):
-        super().__init__()
-        self.model, self.most, self.langs = model, most, model["langs"]
-        self.known = self._logs(model["words"])
-        self.parts = {g: tuple(x.tolist()) for g, x in self._logs(model["grams"]).items()}
-        self.table = np.zeros((1024, len(self.langs)))
+    def __init__(self, model: dict, most: int = 100_000):
+        words, counts = model["words"]
+        super().__init__(zip(words, range(len(words))))
+        self.model, self.most, self.langs, self.known = model, most, model["langs"], len(words)
+        self.parts = dict(zip(model["grams"][0], map(tuple, self._logs(model["grams"][1]).tolist())))
+        self.table = np.concatenate([self._logs(counts), np.zeros((1024, len(self.langs)))])
         p = np.array(model["prior"], float)
         self.prior = np.log((p + 1) / (p.sum() + len(p))) if len(p) else p
 
-    def _logs(self, counts: dict) -> dict:
-        if not counts:
-            return {}
-        c = np.array(list(counts.values()), float)
-        return dict(zip(counts, np.log((c + 0.5) / (c.sum(0) + 0.5 * len(c)))))
+    def _logs(self, counts: np.ndarray) -> np.ndarray:
+        return np.log((counts + 0.5) / (counts.sum(0) + 0.5 * len(counts))) if len(counts) else np.zeros((0, len(self.langs)))
 
     def row(self, word: str) -> np.ndarray:
-        if (v := self.known.get(word)) is not None:
-            return v
         for n in range(self.model["longest"], 0, -1):
             found = [p for g in grams(word, n) if (p := self.parts.get(g))]
             if found:
@@ -117,7 +118,7 @@ class Scorer(dict):
     def __missing__(self, word: str) -> int:
         n = len(self)
         if n == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table = np.concatenate([self.table, np.zeros((max(1024, n // 4), len(self.langs)))])
         self.table[n] = self.row(word)
         self[word] = n
         return n
@@ -126,40 +127,34 @@ class Scorer(dict):
         words = WORD.findall(text.lower()) if text else []
         if not self.langs or not any(c.isalpha() for w in words for c in w):
             return "und", 0.0
-        if len(self) > self.most:
-            self.clear()
+        if len(self) > self.known + self.most:
+            for w in list(islice(self, self.known, None)):
+                del self[w]
         rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))  # may grow the table
         s = self.prior + self.table[rows].sum(0)
         p = np.exp(s - s.max())
         return self.langs[int(s.argmax())], float(p.max() / p.sum())
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
-def scorer(key: str, shared) -> Scorer:
-    """The scorer of one fitted model, kept while the Python worker lives; that of another model goes."""
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(shared.value)
-    return _SCORERS[key]
-
-
-def predict(docs: DataFrame, model: dict, mod: int = 5) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every row."""
+def predict(docs: DataFrame, model: dict, mod: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) and the columns to carry for every row, without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema, key = arrow_schema(RESULT), uuid.uuid4().hex
+    result = arrow_schema(RESULT)
 
     def run(batches):
-        words = scorer(key, shared)
+        words = Scorer(shared.value)
         for b in batches:
             langs, scores = zip(*map(words.predict, b.column(2).to_pylist())) if b.num_rows else ((), ())
-            yield batch(schema, b.column(0), b.column(1), langs, scores)
+            extra = [b.schema.get_field_index(c) for c in carry]
+            schema = pa.schema([*result, *(b.schema.field(k) for k in extra)])
+            yield batch(schema, b.column(0), b.column(1), langs, scores, *(b.column(k) for k in extra))
 
     tune(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id"), mod, 0).alias("held_out"), "text").mapInArrow(run, RESULT)
+    rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id"), mod, 0).alias("held_out"), "text", *(c for c in carry if c != "text"))
+    out = StructType([*StructType.fromDDL(RESULT), *(docs.schema[c] for c in carry)])
+    return rows.mapInArrow(run, out)
 
 
-def identify(docs: DataFrame, mod: int = 5, **limits) -> DataFrame:
+def identify(docs: DataFrame, mod: int = 5, carry: tuple[str, ...] = (), **limits) -> DataFrame:
     """Learn from the rows that are not held out, predict all."""
-    return predict(docs, learn(docs.where(~held_out(F.col("doc_id"), mod, 0)), **limits), mod)
+    return predict(docs, learn(docs.where(~held_out(F.col("doc_id"), mod, 0)), **limits), mod, carry)
