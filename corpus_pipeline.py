@@ -21,12 +21,8 @@ def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language (null, or without a letter) go; the language found replaces lang."""
-    found = language_id.identify(docs).where("lang_pred <> 'und'").select("doc_id", "lang_pred")
-    return _with(docs, found.withColumn("lang", F.col("lang_pred")))
-
-
-def _with(docs: DataFrame, found: DataFrame) -> DataFrame:
-    return docs.drop("lang").join(found.select("doc_id", "lang").dropDuplicates(["doc_id"]), "doc_id").select(COLUMNS)
+    found = language_id.identify(docs, carry=("text", "source", "n_chars")).where("lang_pred <> 'und'")
+    return found.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
