@@ -130,6 +130,30 @@ def test_leaks(spark, docs, empty):
     assert decontaminate.lcs(list("abcde"), list("axbxe")) == 3
 
 
+@pytest.mark.parametrize("copies", [0, 60])
+def test_leaks_paraphrased(spark, copies):
+    """Paraphrases that swap an item's rarest words, with and without many copies of it, against LCS brute force."""
+    rng = np.random.default_rng(4)
+    common, texts = [f"c{k}" for k in range(400)], {}
+    items = {q: [w for k in range(12) for w in (f"r{q}x{k}", common[rng.integers(400)])] for q in range(3)}
+
+    def write(words=()):
+        texts[len(texts)] = " ".join([*(f"f{k}" for k in rng.integers(4000, size=20)), *rng.choice(common, 4), *words, *(f"f{k}" for k in rng.integers(4000, size=20))])
+
+    for _ in range(400):
+        write()
+    for _ in range(copies):
+        write(items[0])
+    for q, ws in items.items():
+        for _ in range(8):
+            gone = set((2 * rng.choice(12, 6, replace=False)).tolist())
+            write([f"n{rng.integers(10**6)}" if k in gone else w for k, w in enumerate(ws)])
+    want = {(d, q) for d, t in texts.items() for q, ws in items.items() if decontaminate.lcs(ws, t.split()) >= 0.75 * len(ws)}
+    found = decontaminate.leaks(spark.createDataFrame(list(texts.items()), "doc_id long, text string"),
+                                spark.createDataFrame([(q, " ".join(ws)) for q, ws in items.items()], "item_id long, text string"))
+    assert len(want) >= 24 + copies and {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
+
+
 def test_compaction(spark, docs, empty):
     assert shards.compacted(docs).count() == len(TEXTS)
     store = shards.ShardStore(spark, fanout=2)
