@@ -154,6 +154,14 @@ def test_leaks_paraphrased(spark, copies):
     assert len(want) >= 24 + copies and {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
 
 
+def test_leaks_of_long_items(spark):
+    """A leak of 64 words across a cut, and one of an item's last 64."""
+    words = [f"w{k}" for k in range(150)]
+    docs = spark.createDataFrame([(1, " ".join(words[32:96])), (2, " ".join(words[-64:])), (3, " ".join(words[48:112])), (4, " ".join(words[10:40]))], "doc_id long, text string")
+    found = decontaminate.leaks(docs, spark.createDataFrame([(7, " ".join(words))], "item_id long, text string"))
+    assert {r["doc_id"] for r in found.collect()} == {1, 2, 3}
+
+
 def test_compaction(spark, docs, empty):
     assert shards.compacted(docs).count() == len(TEXTS)
     store = shards.ShardStore(spark, fanout=2)
