@@ -130,6 +130,21 @@ def test_leaks(spark, docs, empty):
     assert decontaminate.lcs(list("abcde"), list("axbxe")) == 3
 
 
+def test_lm_trigrams():
+    """A word that the two before it tell only together."""
+    from tessera.llm.common import pack_docs
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(w for a, b in rng.integers(2, size=(200, 2)) for w in (f"l{a}", f"r{b}", ("aa", "zz")[a ^ b])).encode() for _ in range(60)]
+    c = lm.Chunk(pack_docs(np.arange(len(texts)), texts), 7, 2)
+    f, cls = c.features(1 << 15), lm.classes_of(c.words, 64)[c.tokens]
+    trainer = lm.Trainer(np.zeros((1 << 15, 64), np.float32), np.zeros(64, np.float32), 0.15)
+    trainer.learn(f[:, c.train], cls[c.train])
+    told = ~c.train & ~c.is_end & (c.place % 3 == 2)
+    p = lm.probabilities(trainer.w, trainer.bias, f[:, told])
+    assert told.sum() > 200 and np.log2(p[np.arange(len(p)), cls[told]]).mean() > -0.5  # a coin has -1
+
+
 @pytest.mark.parametrize("copies", [0, 60])
 def test_leaks_paraphrased(spark, copies):
     """Paraphrases that swap an item's rarest words, with and without many copies of it, against LCS brute force."""
