@@ -15,30 +15,32 @@ from tessera.llm import bpe, common, decontaminate, exact_dedup, language_id, si
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(COLUMNS)
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (null, or without a letter) go; the language found replaces lang."""
-    found = language_id.identify(docs, carry=("text", "source", "n_chars")).where("lang_pred <> 'und'")
+    """Documents in no language (null, or without a letter) go; the language found replaces lang. Where no row has a
+    label to learn from, documents with a letter stay as they are."""
+    model = language_id.learn(docs.where(~common.held_out(F.col("doc_id"), 5, 0)))
+    if not model["langs"]:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(COLUMNS)
+    found = language_id.predict(docs, model, carry=("text", "source", "n_chars")).where("lang_pred <> 'und'")
     return found.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    return _keep(docs, exact_dedup.exact_groups(docs).where("kept")).dropDuplicates(["doc_id"])
+    """Of equal texts the row with the largest doc_id stays (null lowest); rows with different texts all stay, whatever their ids."""
+    return exact_dedup.survivors(docs, ("lang", "source", "n_chars")).select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    return _keep(docs, simhash.near_groups(docs).where("doc_id = component_id"))
+    """Of each group of near copies the row with the smallest doc_id stays (null last); no other row goes, whatever its id."""
+    rows = common.numbered(docs.select(COLUMNS))
+    return common.without(rows, simhash.surplus(rows))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = common.table(decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct())
-    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+    """Rows that hold a benchmark item go, no others, whatever their ids."""
+    rows = common.numbered(docs.select(COLUMNS))
+    found = decontaminate.leaks(rows.select(F.col("uid").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return common.without(rows, found.select(F.col("doc_id").alias("uid")))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

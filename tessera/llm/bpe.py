@@ -5,7 +5,7 @@ pattern crosses such a cut. Units are encoded once and kept (a bounded cache tha
 lives as long as the Python worker). New units are split by the pattern; the distinct
 pieces go, by length, into padded matrices of token ids: each round every row merges
 its leftmost pair of smallest rank, found by a hashed pair table, and is compacted.
-Pieces above `LONG` bytes take an exact heap instead of a matrix row.
+A piece above `LONG` bytes is laid over as many rows of a matrix of its own, and merges one pair a round in all of them.
 
 Null text is empty: no ids. An empty table gives an empty result; other columns are
 ignored, repeated rows are encoded each.
@@ -15,14 +15,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch, tune
+from .common import arrow_schema, batch, relieve, tune
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 NONE = np.int64(1 << 40)
@@ -65,6 +64,17 @@ class PairTable:
         return flat.reshape(out.shape)
 
 
+    def one(self, left: int, right: int) -> int:
+        """`get` for one pair of ids."""
+        key = left << 32 | right
+        slot = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 64 - self.bits
+        while (there := int(self.keys[slot])) != key:
+            if there == -1:
+                return int(NONE)
+            slot = slot + 1 & (1 << self.bits) - 1
+        return int(self.vals[slot])
+
+
 class ByteBPE:
     def __init__(self, ranks_file: str, pattern: str):
         import regex
@@ -84,7 +94,6 @@ class ByteBPE:
                     right.append(b)
                     merged.append(i)
         self.pairs = PairTable(np.array(left, np.int64), np.array(right, np.int64), np.array(merged, np.int64))
-        self.merge_of = dict(zip(zip(left, right), merged))
 
     def merge_rows(self, ids: np.ndarray) -> np.ndarray:
         """Padded matrix (-1: padding) of byte ids to padded matrix of token ids, one merge per row and round."""
@@ -116,23 +125,36 @@ class ByteBPE:
                 ids = np.concatenate([ids, np.full((len(live), 1), -1)], axis=1)[:, :2]
         return out
 
-    def merge_long(self, piece: bytes) -> list[int]:
-        """The same merges for one long piece, by a heap of (rank, place) over a linked list."""
-        ids, n = self.byte[np.frombuffer(piece, np.uint8)].tolist(), len(piece)
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(m, k, k + 1, ids[k], ids[k + 1]) for k in range(n - 1) if (m := self.merge_of.get((ids[k], ids[k + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            m, a, b, x, y = heapq.heappop(heap)
-            if ids[a] != x or after[a] != b or ids[b] != y:
-                continue
-            ids[a], ids[b], after[a] = m, None, after[b]
-            if after[b] >= 0:
-                before[after[b]] = a
-            for p, q in ((before[a], a), (a, after[a])):
-                if p >= 0 and q >= 0 and (r := self.merge_of.get((ids[p], ids[q]))) is not None:
-                    heapq.heappush(heap, (r, p, q, ids[p], ids[q]))
-        return [i for i in ids if i is not None]
+    def merge_long(self, piece: bytes, width: int = LONG) -> list[int]:
+        """The same merges for one long piece, laid over the rows of one matrix: each round compares the rows' smallest
+        pairs, merges the leftmost smallest and compacts its row. The last pair of a row goes on into the next row."""
+        flat = self.byte[np.frombuffer(piece, np.uint8)]
+        n_rows = -(-len(flat) // width)
+        ids, pair = np.full(n_rows * width, -1), np.full(n_rows * width, NONE)
+        ids[: len(flat)], pair[: len(flat) - 1] = flat, self.pairs.get(flat[:-1], flat[1:])
+        ids, pair = ids.reshape(n_rows, width), pair.reshape(n_rows, width)
+        sizes, low = (ids >= 0).sum(axis=1).tolist(), pair.min(axis=1)
+        before, after = list(range(-1, n_rows - 1)), [*range(1, n_rows), -1]  # rows that are not empty
+        while (best := int(low.min())) != NONE:
+            r = int(low.argmin())
+            k = int(pair[r].argmin())
+            ids[r, k] = best
+            at, j = (r, k + 1) if k + 1 < sizes[r] else (after[r], 0)  # the right half goes
+            last = sizes[at] - 1
+            ids[at, j:last], pair[at, j:last] = ids[at, j + 1 : last + 1].copy(), pair[at, j + 1 : last + 1].copy()
+            ids[at, last], pair[at, last], sizes[at] = -1, NONE, last
+            if not last and at != r:
+                after[r] = after[at]
+                if after[at] >= 0:
+                    before[after[at]] = r
+            p, i = (r, k - 1) if k else (before[r], sizes[before[r]] - 1)
+            if p >= 0:
+                pair[p, i] = self.pairs.one(int(ids[p, i]), best)
+            q, i = (r, k + 1) if k + 1 < sizes[r] else (after[r], 0)
+            pair[r, k] = self.pairs.one(best, int(ids[q, i])) if q >= 0 else NONE
+            for x in {r, at, max(p, 0)}:
+                low[x] = pair[x].min()
+        return ids[ids >= 0].tolist()
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece as little-endian 32-bit integers."""
@@ -160,7 +182,7 @@ class ByteBPE:
 class Encoder:
     """ByteBPE behind a bounded cache of units."""
 
-    def __init__(self, ranks_file: str, pattern: str, most: int = 800_000):
+    def __init__(self, ranks_file: str, pattern: str, most: int = 250_000):
         self.bpe, self.most = ByteBPE(ranks_file, pattern), most
         self.units: dict[str, bytes] = {}
         flat = [self.bpe.tokens.get(i, b"") for i in range(max(self.bpe.tokens) + 1)]
@@ -225,6 +247,7 @@ def encode_ids(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
         bpe = encoder(ranks_file, pattern)
         for b in batches:
             yield batch(schema, b.column(0), bpe.encode([t or "" for t in b.column(1).to_pylist()]))
+        relieve()
 
     tune(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
@@ -239,6 +262,7 @@ def encode_and_decode(docs: DataFrame, ranks_file: str, pattern: str) -> DataFra
         for b in batches:
             ids = bpe.encode([t or "" for t in b.column(1).to_pylist()])
             yield batch(schema, b.column(0), [len(x) // 4 for x in ids], list(map(sha, ids)), [sha(bpe.decode(x)) for x in ids])
+        relieve()
 
     tune(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, RESULT)

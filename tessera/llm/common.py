@@ -8,7 +8,10 @@ documents share travels once per chunk, never once per document.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
+from contextlib import contextmanager
 from itertools import chain, repeat
 
 import numpy as np
@@ -16,24 +19,49 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .storage import place_file, read_if_there
 
 #: Null ids count as larger than every id.
 NO_ID = np.iinfo(np.int64).max
 MB = 1 << 20
 
 
+#: Folders that this driver has made, for `scratch`.
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which all executors share."""
+    """A fresh folder under spark.checkpoint.dir, which all executors share; unset, one of this machine's where all executors run on it, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "file:///tmp/checkpoints"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end the shared folders made in its body, whose frames must not be used any longer."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        for folder in _MADE[before:]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del _MADE[before:]
 
 
 def tune(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of so many rows, so that a batch of long texts fits a Python worker."""
+    """Batches bounded in rows and in bytes, from Parquet and to Python, so that long texts fit a JVM and a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 * MB))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
 
 
 def table(df: DataFrame, where: str | None = None) -> DataFrame:
@@ -41,10 +69,62 @@ def table(df: DataFrame, where: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = where or shared_dir(spark)
     (df.write.option("parquet.page.size.row.check.min", 4).option("parquet.block.size.row.check.min", 4)
-       .option("compression", "zstd").parquet(path))
+       .option("parquet.block.size", 16 * MB).option("compression", "zstd").parquet(path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def relieve() -> None:
+    """Give freed memory of this Python worker back: it lives on and waits beside the next stage's."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+# -- rows by number ---------------------------------------------------------
+
+PART = 33
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df as a written table with a `uid` of its own for each row: the writing task's number, then the row's."""
+    tune(df.sparkSession)
+    return table(df.withColumn("uid", F.monotonically_increasing_id()))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of a numbered table whose uid is not in `gone` (uid), without the uid. Only numbers are shuffled: those
+    of one writing task meet in one file of the shared folder, which the readers of that task's rows open."""
+    spark = rows.sparkSession
+    folder, flags = shared_dir(spark), arrow_schema("part long, n long")
+    kept = StructType([f for f in rows.schema if f.name != "uid"])
+
+    def note(t: pa.Table) -> pa.Table:
+        part, uids = t.column("part")[0].as_py(), np.unique(t.column("uid").to_numpy())
+        place_file(folder, f"gone-{part}", uids.astype("<i8").tobytes())
+        return pa.Table.from_batches([batch(flags, [part], [len(uids)])])
+
+    # a group is no larger than one writing task's rows
+    table(gone.select(F.shiftright("uid", PART).alias("part"), "uid").groupBy("part").applyInArrow(note, "part long, n long"))
+
+    def keep(batches):
+        known: dict[int, np.ndarray] = {}
+        for b in batches:
+            uids = b.column("uid").to_numpy()
+            b = b.select([f.name for f in kept])
+            stay = np.ones(len(uids), bool)
+            for part in np.unique(uids >> PART).tolist():
+                if part not in known:
+                    known = {part: np.frombuffer(read_if_there(folder, f"gone-{part}"), "<i8")}
+                stay &= ~np.isin(uids, known[part])
+            yield b if stay.all() else b.filter(pa.array(stay))
+
+    return rows.mapInArrow(keep, kept)
+
+
 def text_bytes(df: DataFrame, col: str = "text") -> int:
     """Bytes of text in the whole table (one scan inside the JVM)."""
     return int(df.agg(F.sum(F.octet_length(F.col(col)))).first()[0] or 0)

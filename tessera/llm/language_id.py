@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import arrow_schema, batch, held_out, table, tune
+from .common import arrow_schema, batch, held_out, relieve, table, tune
 
 WORD = re.compile(r"[^\W\d_]+")
 COUNTS = "lang string, kind int, gram string, n long"
@@ -148,6 +148,8 @@ def predict(docs: DataFrame, model: dict, mod: int = 5, carry: tuple[str, ...] =
             extra = [b.schema.get_field_index(c) for c in carry]
             schema = pa.schema([*result, *(b.schema.field(k) for k in extra)])
             yield batch(schema, b.column(0), b.column(1), langs, scores, *(b.column(k) for k in extra))
+        del words
+        relieve()
 
     tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id"), mod, 0).alias("held_out"), "text", *(c for c in carry if c != "text"))

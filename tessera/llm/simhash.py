@@ -10,8 +10,9 @@ Lists above `block` members are cut into blocks and every two blocks meet once,
 no list is held by one task and no link is lost.
 
 Only distinct fingerprints are indexed: copies, empty texts and ties cost nothing.
-Null text is empty (fingerprint zero). Rows with a null doc_id get a fingerprint and
-the component of their fingerprint; they never name a component.
+Null text is empty (fingerprint zero). Rows with a null doc_id link like any other, but
+never name a component; one of such rows alone has a null name. Repeated ids are fine:
+fingerprints are the nodes, so rows of one id and different texts are not taken for one.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch, table, tune
+from .common import arrow_schema, batch, relieve, table, tune
 
 PRINTS = "doc_id long, fp long"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -50,17 +51,19 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int(sum(1 << k for k in np.flatnonzero(ones * 2 > len(h)).tolist()))
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp as signed long) for every row."""
-    schema = arrow_schema(PRINTS)
+def fingerprints(docs: DataFrame, width: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp as signed long) and the columns to carry for every row."""
+    schema = pa.schema([*arrow_schema(PRINTS), *((c, pa.int64()) for c in carry)])
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t or b"", width) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield batch(schema, b.column(0), fps.view(np.int64))
+            yield batch(schema, b.column(0), fps.view(np.int64), *b.columns[2:])
+        relieve()
 
     tune(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, PRINTS)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *(F.col(c).cast("long") for c in carry))
+    return rows.mapInArrow(run, ", ".join([PRINTS, *(f"{c} long" for c in carry)]))
 
 
 def triples() -> list[tuple[int, int, int]]:
@@ -108,15 +111,15 @@ def forest(fps: np.ndarray, reps: np.ndarray, distance: int, least: int, block:
 
 
 def links(nodes: DataFrame, distance: int = 4, block: int = 256) -> DataFrame:
-    """Edges (a, b), a > b, that span the graph of links; nodes: (fp, rep), one row per fingerprint."""
+    """Edges (a, b), a > b, that span the graph of links; nodes: (fp), one row per fingerprint."""
     least = 8 - distance
     octet = lambda p: f"(shiftright(fp, {8 * p}) & 255)"
     keys = [f"{k}L * 16777216L + {octet(a)} * 65536L + {octet(b)} * 256L + {octet(c)}" for k, (a, b, c) in enumerate(triples())]
-    postings = nodes.select("fp", "rep", F.explode(F.array(*map(F.expr, keys))).alias("key"))
+    postings = nodes.select("fp", F.explode(F.array(*map(F.expr, keys))).alias("key"))
     sizes = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     lists = (postings.join(sizes, "key")
              .withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
-             .groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("fp", "rep")).alias("members")))
+             .groupBy("key", "blocks", "block").agg(F.collect_list("fp").alias("members")))
     # every two blocks of a list meet in one row; a list of one block meets itself
     meets = (lists.select("key", "block", "members", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
              .groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.flatten(F.collect_list("members")).alias("members"))
@@ -125,35 +128,52 @@ def links(nodes: DataFrame, distance: int = 4, block: int = 256) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            got = [forest(np.array(m.field("fp")).view(np.uint64), np.array(m.field("rep")), distance, least) for m in (x.values for x in b.column(0)) if len(m) > 1]
+            got = [forest(x.view(np.uint64), x, distance, least) for x in (np.array(m.values) for m in b.column(0)) if len(x) > 1]
             if got:
                 yield batch(schema, *map(np.concatenate, zip(*got)))
+        relieve()
 
     return meets.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, component) of every node with an edge: alternating large and small stars, each round a written table."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node with a smaller one: alternating large and small stars until nothing moves.
+
+    Both sides of each join are written tables: a star's centre may be a neighbour of many, and plain
+    exchanges are what adaptive execution splits where one key holds too many rows."""
     e, seen = table(edges.select("a", "b")), None
-    for _ in range(rounds):
+    while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == seen or not state[0]:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
         seen = tuple(state)
         both = e.union(e.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = table(both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
+        least = table(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = table(small.union(least.select("a", F.col("m").alias("b"))).distinct())
-    raise RuntimeError("components did not settle")
+
+
+def best_of_component(prints: DataFrame, place, distance: int) -> DataFrame:
+    """(fp, best) for every fingerprint: the smallest `place` among the rows of its component."""
+    nodes = table(prints.groupBy("fp").agg(F.min(place).alias("own")))
+    found = table(components(links(nodes.select("fp"), distance)))
+    rooted = table(nodes.join(found, nodes.fp == found.node, "left").select("fp", F.coalesce("component", "fp").alias("root"), "own"))
+    best = table(rooted.groupBy("root").agg(F.min("own").alias("best")))
+    return table(rooted.join(best, "root").select("fp", "best"))
 
 
 def near_groups(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row."""
     prints = table(fingerprints(docs, width))
-    # a fingerprint that only rows without an id have gets no node
-    nodes = table(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = components(links(nodes, distance))
-    named = nodes.join(found, nodes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = best_of_component(prints, F.col("doc_id"), distance)
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best").alias("component_id"))
+
+
+def surplus(rows: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
+    """(uid) of all rows of a numbered table but one of each component: that with the smallest doc_id stays, null
+    counting as larger than all, of several the first in the table. Rows are told apart by uid, not by doc_id."""
+    prints = table(fingerprints(rows, width, ("uid",)))
+    named = best_of_component(prints, F.struct(F.col("doc_id").isNull(), "doc_id", "uid"), distance)
+    return prints.join(named, "fp").where(F.col("uid") != F.col("best.uid")).select("uid")

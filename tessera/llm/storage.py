@@ -33,3 +33,25 @@ def open_file(uri: str, name: str):
     """Random-access file."""
     store, path = open_store(uri)
     return store.open_input_file(f"{path}/{name}")
+
+
+def place_file(uri: str, name: str, data: bytes) -> None:
+    """Write a file whose content is the same in every attempt: whichever attempt moves last into place, or is first, is right."""
+    store, path = open_store(uri)
+    aside = write_file(uri, name, [data])
+    try:
+        store.move(f"{path}/{aside}", f"{path}/{name}")
+    except OSError:  # a store that does not replace: another attempt was first
+        if not read_if_there(uri, name) == data:
+            raise
+
+
+def read_if_there(uri: str, name: str) -> bytes:
+    """A whole file, empty where there is none."""
+    from pyarrow import fs
+
+    store, path = open_store(uri)
+    if store.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
+        return b""
+    with store.open_input_file(f"{path}/{name}") as f:
+        return f.read()

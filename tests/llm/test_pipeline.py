@@ -59,3 +59,31 @@ def test_stages_keep_columns(spark, tmp_path, k):
     folder = write(spark, tmp_path, ROWS)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert corpus_pipeline.STAGES[k][1](spark, docs, folder).columns == corpus_pipeline.COLUMNS
+
+
+def test_ids_name_no_row(spark, tmp_path):
+    """Null and repeated ids: rows with different texts all stay, of equal texts one does."""
+    words = [[f"{a}{b}{c}" for b in "aeiou" for c in "klmnp"] for a in "bdfgh"]
+    texts = [" ".join(w) for w in words]
+    rows = [(i, t, "en", "s", 1, 5, "c", None) for i, t in [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (2, texts[4]), (2, texts[4]), (None, texts[4]), (1, f"x {PASSAGE}"), (None, PASSAGE)]]
+    folder = write(spark, tmp_path, rows)
+    got = corpus_pipeline.run(spark, folder).collect()
+    want = [(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (2, texts[4])]]
+    assert sorted(((r["doc_id"], r["decoded_sha256"]) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_no_labels(spark, tmp_path):
+    """Nothing to learn a language from: documents with letters stay."""
+    folder = write(spark, tmp_path, [(k, t, None, "s", 1, 5, "c", None) for k, t in enumerate(["some words", "12 ??", None, "andere Worte"])])
+    assert {r["doc_id"] for r in corpus_pipeline.identify_language(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).collect()} == {0, 3}
+
+
+def test_without(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.llm import common
+
+    rows = common.numbered(spark.range(1000).repartition(7).select("id", F.lit("x").alias("text")))
+    gone = rows.where("id % 3 = 0 or id < 50").select("uid")
+    assert {r["id"] for r in common.without(rows, gone.union(gone)).collect()} == {k for k in range(50, 1000) if k % 3}
+    assert common.without(rows, gone.limit(0)).count() == 1000
