@@ -1,110 +1,151 @@
 """Sharding by size-tiered compaction, in DataFrame operations only.
 
-Arrivals are appended as small immutable shards (parquet files). Runs of similar size
-share a tier; when a tier has `fanout` runs they are merged, without a shuffle, into files of
-about `target` bytes, which form a run of a higher tier. Every change is one new manifest
-version: a small table of files, written aside and renamed into place, so a reader sees the
-old or the new list and a failed writer leaves nothing but strays. The rename fails if another writer was first.
-
-Rows are kept as they are: nulls, repeats, long texts and further columns included; an empty arrival changes nothing.
+Arrivals are appended as runs: folders of small immutable shards (Parquet files). Runs of
+similar size share a tier, by powers of `fanout`; when a tier has `fanout` runs, its oldest
+ones are merged, without a shuffle, into a run of files of about `target` bytes, whose own
+size gives its tier. After compaction there are fewer than `fanout` runs a tier, so a
+manifest holds as many as the logarithm of the data; it names runs, never files.
+
+Every change is one new manifest version, created exclusively (`VersionLog`): a reader sees
+the old or the new list, a writer that another one overtook starts again from the other's list,
+and a merge whose inputs someone else has merged meanwhile is dropped. Nothing committed is lost.
+`vacuum` removes runs that no kept version names.
+
+Rows are kept as they are: nulls, repeats, long texts and further columns included, whatever
+their names; what the store adds is named so that it does not clash. An empty arrival adds no
+run; an empty or new store reads as no rows.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..operators.manifest import VersionLog
 from .common import MB, shared_dir
 
-FILES = "file string, run string, tier int, bytes long"
+
+def free(name: str, taken: list[str]) -> str:
+    """name, or name_1, name_2, ... if it is taken (case does not tell names apart)."""
+    low, k, out = {c.lower() for c in taken}, 0, name
+    while out.lower() in low:
+        k += 1
+        out = f"{name}_{k}"
+    return out
 
 
 class ShardStore:
     def __init__(self, spark: SparkSession, folder: str | None = None, target: int = 128 * MB, fanout: int = 4, base: int = 1 * MB):
-        self.spark, self.folder, self.target, self.fanout, self.base = spark, folder or shared_dir(spark), target, fanout, base
-
-    # -- manifest
-    def _path(self, uri: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(uri)
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        self.spark, self.folder, self.target, self.fanout, self.base = spark, (folder or shared_dir(spark)).rstrip("/"), target, fanout, base
+        self.log = VersionLog(spark, f"{self.folder}/manifest")
 
     def version(self) -> int:
         """The newest committed version; 0 before the first."""
-        path, store = self._path(f"{self.folder}/manifest")
-        names = [s.getPath().getName() for s in store.listStatus(path)] if store.exists(path) else []
-        return max([0, *(int(n[1:]) for n in names if n.startswith("v"))])
-
-    def files(self, version: int | None = None) -> DataFrame:
-        version = self.version() if version is None else version
-        if not version:
-            return self.spark.createDataFrame([], FILES)
-        return self.spark.read.schema(FILES).parquet(f"{self.folder}/manifest/v{version:08d}")
-
-    def _commit(self, files: DataFrame, version: int) -> None:
-        aside, _ = self._path(f"{self.folder}/aside-{uuid.uuid4().hex}")
-        files.coalesce(1).write.parquet(aside.toString())
-        final, store = self._path(f"{self.folder}/manifest/v{version:08d}")
-        store.mkdirs(final.getParent())
-        if store.exists(final) or not store.rename(aside, final):
-            raise RuntimeError(f"version {version} was committed by another writer")
+        return self.log.version()
 
-    # -- writing
-    def _listed(self, path: str, run) -> DataFrame:
-        """Files under a written folder; run: column or name. Their contents are not read."""
-        found = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
-        return found.select(F.col("path").alias("file"), F.lit(run).alias("run") if isinstance(run, str) else run.alias("run"), F.col("length").alias("bytes"))
+    def runs(self, version: int | None = None) -> list[dict]:
+        """{run, bytes} of each run, oldest first."""
+        return [e for e in self.log.entries(version) if "run" in e]
+
+    def tier(self, run: dict) -> int:
+        return max(0, math.floor(math.log(max(run["bytes"], 1) / self.base, self.fanout)))
 
-    def _tiered(self, listed: DataFrame) -> DataFrame:
-        """Tier of a run: how often its bytes exceed `base`, as a power of `fanout`."""
-        sizes = listed.groupBy("run").agg(F.sum("bytes").alias("all"))
-        tier = F.greatest(F.lit(0), F.floor(F.log(F.col("all") / self.base) / F.log(F.lit(float(self.fanout))))).cast("int")
-        return listed.join(sizes.select("run", tier.alias("tier")), "run").select("file", "run", "tier", "bytes")
+    def _schema(self, entries: list[dict]) -> StructType | None:
+        return next((StructType.fromJson(e["schema"]) for e in entries if "schema" in e), None)
 
+    def _load(self, names: list[str], schema: StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*(f"{self.folder}/data/{n}" for n in names)) if names else self.spark.createDataFrame([], schema)
+
+    def _sizes(self, name: str, run) -> list[dict]:
+        """Runs under a written folder, without reading their contents; run: column of the name by `path`. One row a run comes to the driver."""
+        found = (self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+                 .load(f"{self.folder}/data/{name}").select(run.alias("run"), "length").groupBy("run").agg(F.sum("length").alias("bytes")).orderBy("run"))
+        return [r.asDict() for r in found.collect()]
+
+    def _write(self, df: DataFrame, name: str, by: str | None = None) -> None:
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(f"{self.folder}/data/{name}")
+
+    # -- writing
     def append(self, df: DataFrame) -> int:
-        name = f"arrival_{uuid.uuid4().hex}"
-        return self.append_many(df.withColumn(name, F.lit(0)), name)
+        """One arrival; the new version."""
+        name = f"run-{uuid.uuid4().hex[:12]}"
+        self._write(df, name)
+        return self._adopt(df.schema, [r for r in self._sizes(name, F.lit(name)) if not df.isEmpty()])
 
     def append_many(self, df: DataFrame, arrival: str) -> int:
         """Each value of `arrival` becomes one run of small shards, all in one version; the new version."""
-        name, self.schema = f"run-{uuid.uuid4().hex[:12]}", df.drop(arrival).schema
-        df.write.option("compression", "zstd").partitionBy(arrival).parquet(f"{self.folder}/data/{name}")
-        return self._adopt(f"{self.folder}/data/{name}", F.concat(F.lit(name + "-"), F.regexp_extract("path", rf"/{arrival}=([^/]*)/", 1)), self.files())
+        name, schema = f"run-{uuid.uuid4().hex[:12]}", df.drop(arrival).schema
+        self._write(df, name, arrival)
+        return self._adopt(schema, self._sizes(name, F.concat(F.lit(f"{name}/"), F.regexp_extract("path", rf"/({arrival}=[^/]*)/", 1))) if not df.isEmpty() else [])
+
+    def _adopt(self, schema: StructType, runs: list[dict]) -> int:
+        def change(entries: list[dict]) -> list[dict] | None:
+            known = self._schema(entries)
+            if known is not None and known.simpleString() != schema.simpleString():
+                raise ValueError(f"rows of {schema.simpleString()} do not fit a store of {known.simpleString()}")
+            return [*entries, *runs] if known is not None and runs else None if known is not None else [{"schema": schema.jsonValue()}, *runs]
 
-    def _adopt(self, path: str, run, kept: DataFrame) -> int:
-        version = self.version() + 1
-        self._commit(kept.unionByName(self._tiered(self._listed(path, run))), version)
-        return version
+        return self.log.update(change)
 
     def compact(self) -> int:
-        """Merge tiers until none has `fanout` runs left; the newest version."""
+        """Merge `fanout` runs of a tier at a time until no tier has as many; the newest version."""
         while True:
-            files = self.files()
-            due = files.groupBy("tier").agg(F.countDistinct("run").alias("runs"), F.sum("bytes").alias("b")).where(F.col("runs") >= self.fanout).orderBy("tier").first()
+            version = self.version()
+            entries = self.log.entries(version)
+            tiers: dict[int, list[dict]] = {}
+            for e in entries:
+                if "run" in e:
+                    tiers.setdefault(self.tier(e), []).append(e)
+            due = next((tiers[t][: self.fanout] for t in sorted(tiers) if len(tiers[t]) >= self.fanout), None)
             if due is None:
-                return self.version()
-            # one merge's inputs: names only, as many as the tier has files
-            old = [r[0] for r in files.where(F.col("tier") == due["tier"]).select("file").collect()]
-            name = f"run-{uuid.uuid4().hex[:12]}"
-            merged = self.spark.read.parquet(*old)
-            merged.coalesce(max(1, round(due["b"] / self.target))).write.option("compression", "zstd").parquet(f"{self.folder}/data/{name}")
-            kept = files.where(F.col("tier") != due["tier"])
-            listed = self._listed(f"{self.folder}/data/{name}", name).withColumn("tier", F.lit(due["tier"] + 1)).select("file", "run", "tier", "bytes")
-            self._commit(kept.unionByName(listed), self.version() + 1)
+                return version
+            name, old = f"run-{uuid.uuid4().hex[:12]}", {e["run"] for e in due}
+            files = max(1, round(sum(e["bytes"] for e in due) / self.target))
+            self._write(self._load([e["run"] for e in due], self._schema(entries)).coalesce(files), name)
+            merged = self._sizes(name, F.lit(name))
+
+            def change(now: list[dict], old=old, merged=merged) -> list[dict] | None:
+                if not old <= {e.get("run") for e in now}:
+                    return None  # merged by another writer
+                at = next(k for k, e in enumerate(now) if e.get("run") in old)
+                return [*now[:at], *merged, *(e for e in now[at:] if e.get("run") not in old)]
+
+            if name not in {e["run"] for e in self.runs(self.log.update(change))}:
+                self._delete(name)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/data/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def vacuum(self, keep: int = 1) -> None:
+        """Delete the runs that older versions name and the newest `keep` do not; those versions can no longer be read.
+
+        Only runs of committed versions go: what a writer has not committed yet is not touched."""
+        newest = self.version()
+        live = {e["run"] for v in range(max(1, newest - keep + 1), newest + 1) for e in self.runs(v)}
+        for run in sorted({e["run"] for v in range(1, newest - keep + 1) for e in self.runs(v)} - live):
+            self._delete(run)
 
     # -- reading
-    def read(self, version: int | None = None) -> DataFrame:
-        """All rows of a version, with the shard each lies in."""
-        names = [r[0] for r in self.files(version).select("file").collect()]
-        rows = self.spark.read.parquet(*names) if names else self.spark.createDataFrame([], self.schema).withColumn("_metadata", F.struct(F.lit("").alias("file_path")))
-        return rows.select(*[c for c in rows.columns if c != "_metadata"], F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1).alias("shard"))
+    def read(self, version: int | None = None, shard: str | None = None) -> DataFrame:
+        """All rows of a version; with `shard`, a column of that name (one that is free) says which file each lies in."""
+        entries = self.log.entries(version)
+        schema = self._schema(entries) or StructType()
+        rows = self._load([e["run"] for e in entries if "run" in e], schema)
+        return rows.withColumn(free(shard, rows.columns), F.regexp_extract(F.input_file_name(), r"/data/(.*)$", 1)) if shard else rows
 
 
 def compacted(docs: DataFrame, arrivals: int = 16, target: int = 32 * MB) -> DataFrame:
-    """Append all rows in so many arrivals, compact, and read the newest version back, with the version and the row's shard."""
+    """Append all rows in so many arrivals, compact, and read the newest version back, with the version and the row's shard
+    in columns `manifest_version` and `shard`, or the next free names."""
     store = ShardStore(docs.sparkSession, target=target)
     name = f"arrival_{uuid.uuid4().hex}"
     store.append_many(docs.withColumn(name, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))), name)
     version = store.compact()
-    return store.read(version).withColumn("manifest_version", F.lit(version))
+    rows = store.read(version, shard="shard")
+    return rows.withColumn(free("manifest_version", rows.columns), F.lit(version))

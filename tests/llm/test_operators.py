@@ -180,9 +180,50 @@ def test_leaks_of_long_items(spark):
 def test_compaction(spark, docs, empty):
     assert shards.compacted(docs).count() == len(TEXTS)
     store = shards.ShardStore(spark, fanout=2)
-    assert store.append(docs) == 1 and store.append(docs) == 2 and store.compact() == 3
-    assert store.read().count() == 2 * len(TEXTS) and store.read(1).count() == len(TEXTS)
+    assert store.read().count() == 0 and store.append(empty) == 1 and store.read().columns == empty.columns
+    assert store.append(docs) == 2 and store.append(docs) == 3 and store.append(empty) == 3 and store.compact() == 4
+    assert store.read().count() == 2 * len(TEXTS) and store.read(2).count() == len(TEXTS) and len(store.runs()) == 1
+    store.vacuum()
+    assert store.read().count() == 2 * len(TEXTS)
     assert shards.compacted(empty).count() == 0
+    with pytest.raises(ValueError):
+        store.append(docs.drop("lang"))
+
+
+def test_compaction_tiers(spark):
+    """`fanout` runs a merge, tiers by size: 16 equal arrivals become 4 of the next tier, then one of the one after."""
+    store = shards.ShardStore(spark, fanout=4, base=200, target=1 << 20)
+    rows = spark.range(64).selectExpr("id as doc_id", "array_join(transform(sequence(1, 100), x -> sha2(string(id * 1000 + x), 256)), '') as text")
+    store.append_many(rows.withColumn("a", rows.doc_id % 16), "a")
+    before = {store.tier(r) for r in store.runs()}
+    assert len(before) == 1 and store.compact() == 1 + 5 and len(store.runs()) == 1 and store.tier(store.runs()[0]) > max(before)
+    assert store.read().count() == 64
+
+
+def test_compaction_writers(spark, docs):
+    """Appends and a merge by others between a writer's read and its commit: no row is lost."""
+    store = shards.ShardStore(spark, fanout=2)
+    rival = shards.ShardStore(spark, store.folder, fanout=2)
+    commit, rivals = store.log.commit, [lambda: rival.append(docs), lambda: rival.append(docs), rival.compact]
+
+    def late(entries, after):
+        if rivals:
+            rivals.pop(0)()
+        return commit(entries, after)
+
+    store.log.commit = late
+    store.append(docs)  # overtaken by both appends and the merge
+    assert not rivals and store.read().count() == 3 * len(TEXTS)
+    rivals[:] = [lambda: rival.append(docs), rival.compact]
+    store.compact()
+    assert store.read().count() == 4 * len(TEXTS) and rival.read().count() == 4 * len(TEXTS)
+
+
+def test_compaction_clashes(spark):
+    rows = spark.createDataFrame([(1, "a", 9, "m", "p"), (None, None, None, None, None), (1, "a", 9, "m", "p")], "doc_id long, shard string, manifest_version int, _metadata string, path string")
+    got = shards.compacted(rows)
+    assert got.columns == [*rows.columns, "shard_1", "manifest_version_1"]
+    assert Counter(map(tuple, got.select(rows.columns).collect())) == Counter(map(tuple, rows.collect()))
 
 
 def test_warc(spark):
@@ -208,3 +249,21 @@ def test_warc_copies(spark):
     thin = pages.select("page_id", F.lit("k").alias("key"), F.sha2("html", 256).alias("digest"))
     ways = [sorted(map(str, warc.revisits(thin, len(rows), hot).collect())) for hot in (1, 2_000)]  # joined by digest, broadcast
     assert ways[0] == ways[1] and len(ways[0]) == 7
+
+
+def test_sums_and_match():
+    rng = np.random.default_rng(5)
+    rows, which, size = rng.random((50, 3)), rng.integers(50, size=400), rng.integers(1, 9, size=40)
+    start = np.cumsum(size) - size
+    assert np.allclose(decontaminate.sums(rows, which, start, size), [rows[which[a : a + n]].sum(0) for a, n in zip(start, size)])
+    for _ in range(50):
+        query, region = rng.integers(12, size=int(rng.integers(2, 20))).tolist(), rng.integers(20, size=80)
+        held = np.isin(region, query)
+        q, width, step = decontaminate.Query(1, query), len(query) + max(3, len(query) // 4), max(1, len(query) // 8)
+        want = (0.0, 0.0)
+        for x in range(0, max(1, len(region) - width + step), step):
+            part = [w for w in region[x : x + width].tolist() if w in query]
+            tail = query[-max(2, len(query) // 4) :]
+            if len(part) / len(query) >= 0.3:
+                want = max(want, (decontaminate.lcs(query, part) / len(query), decontaminate.lcs(tail, part) / len(tail)))
+        assert q.match(region, held, 0.3) == want
