@@ -111,7 +111,7 @@ def test_language(docs, empty, spark):
 
 
 def test_lm(docs, empty):
-    got = by_id(lm.score(docs, rows=256, classes=8))
+    got = by_id(lm.score(docs, bits=10, depth=5))
     tokens = {i: [w for w in t.encode().translate(simhash.LOWER).split()] + [b"\n"] for i, t in PAIRS}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
     count = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
@@ -120,7 +120,7 @@ def test_lm(docs, empty):
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(ws), sum(count[w] > 0 for w in ws), n)
         assert np.isclose(r["base_score"], sum(np.log10((count[w] + 1) / (n + v + 1)) for w in ws)) and r["score"] < 0
-    assert lm.score(empty, rows=256, classes=8).count() == 0
+    assert lm.score(empty, bits=10, depth=5).count() == 0
 
 
 def test_leaks(spark, docs, empty):
@@ -130,19 +130,48 @@ def test_leaks(spark, docs, empty):
     assert decontaminate.lcs(list("abcde"), list("axbxe")) == 3
 
 
-def test_lm_trigrams():
-    """A word that the two before it tell only together."""
-    from tessera.llm.common import pack_docs
+def _model(spark, texts, **how):
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    return lm.fit(frame, **how)
+
 
+def test_lm_trigrams(spark):
+    """A word that the two before it tell only together."""
     rng = np.random.default_rng(2)
-    texts = [" ".join(w for a, b in rng.integers(2, size=(200, 2)) for w in (f"l{a}", f"r{b}", ("aa", "zz")[a ^ b])).encode() for _ in range(60)]
-    c = lm.Chunk(pack_docs(np.arange(len(texts)), texts), 7, 2)
-    f, cls = c.features(1 << 15), lm.classes_of(c.words, 64)[c.tokens]
-    trainer = lm.Trainer(np.zeros((1 << 15, 64), np.float32), np.zeros(64, np.float32), 0.15)
-    trainer.learn(f[:, c.train], cls[c.train])
-    told = ~c.train & ~c.is_end & (c.place % 3 == 2)
-    p = lm.probabilities(trainer.w, trainer.bias, f[:, told])
-    assert told.sum() > 200 and np.log2(p[np.arange(len(p)), cls[told]]).mean() > -0.5  # a coin has -1
+    texts = [" ".join(w for a, b in rng.integers(2, size=(200, 2)) for w in (f"l{a}", f"r{b}", ("aa", "zz")[a ^ b])) for _ in range(60)]
+    model = _model(spark, texts, rounds=6)[3]
+    row = lm.make_chunk(0, np.arange(60), [t.encode() for t in texts], 12, 7, 2)
+    c = lm.Chunk(row[1], row[2], row[4], row[5])
+    told = np.flatnonzero(np.repeat(c.held, c.sizes) & (c.tokens != 0) & (np.arange(len(c.tokens)) % 601 % 3 == 2))
+    p = model.log10(c.paths[c.tokens[told]], [f[told] for f in c.features(model.bits)])
+    assert len(told) > 200 and p.mean() / np.log10(2) > -0.5  # a coin has -1
+
+
+def test_lm_sums_to_one(spark):
+    """Over all known words and the unknown one of each class, after any history."""
+    texts = ["the cat sat on the mat and the dog ran", "a dog and a cat ran on the mat", "some other words"] * 4
+    _, _, _, model, n_class, v_class = _model(spark, texts, depth=6, bits=9)
+    words = sorted({w for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2 for w in t.encode().split()} | {lm.END})
+    count = Counter(w for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2 for w in [*t.encode().split(), lm.END])
+    assert n_class.sum() == sum(count.values()) and v_class.sum() == len(words)
+    row = lm.make_chunk(0, np.arange(1), [texts[0].encode()], 6, 7, 2)
+    c = lm.Chunk(row[1], row[2], row[4], row[5])
+    leaf = lm.paths_of(words, lm.hashes(words, 1), 6).astype(np.int32)
+    within = np.array([count[w] + 1 for w in words]) / (n_class[leaf] + v_class[leaf] + 1)
+    for k in range(len(c.tokens)):
+        after = lambda n: [np.full(n, f[k], np.int32) for f in c.features(model.bits)]  # noqa: E731, B023
+        known = (10 ** model.log10(leaf, after(len(leaf))) * within).sum()
+        every = np.arange(64, dtype=np.int32)
+        unknown = (10 ** model.log10(every, after(64)) / (n_class + v_class + 1)).sum()
+        assert np.isclose(known + unknown, 1, atol=1e-5)
+
+
+def test_lm_held_out_gain(spark):
+    """Better than the unigram base on documents not learned from, and the same however the rows lie."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = [lm.score(docs.repartition(n)).where("held_out").agg({"score": "sum", "base_score": "sum", "n_tokens": "sum"}).first() for n in (4, 64)]
+    per = [(r["sum(score)"] / r["sum(n_tokens)"], r["sum(base_score)"] / r["sum(n_tokens)"]) for r in got]
+    assert per[0][0] > per[0][1] + 0.05 and abs(per[0][0] - per[1][0]) < 0.002
 
 
 @pytest.mark.parametrize("copies", [0, 60])
