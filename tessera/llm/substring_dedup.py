@@ -2,14 +2,16 @@
 
 A window is `width` consecutive words of one document. Every window belongs to the
 shard that its minimiser names (the smallest hash among its 3-word pieces), and
-consecutive windows of one minimiser travel as one segment, once per chunk.
+consecutive windows of one minimiser travel as one segment, once per chunk. Minimisers
+that a sample of chunks shows to be frequent deal their windows by the window's own hash
+instead, so no shard is a frequent phrase's alone (`hot_minimisers`).
 
-In a shard: windows that occur more than once are confirmed word by word and joined
-to maximal recurring passages (all their occurrences go on alike); the passages are
-compiled into Aho-Corasick automata of bounded size, and every segment that holds a
-recurring window streams through them. What goes back to a chunk is, per window,
-its owner: the smallest document id it starts in. A word goes if a window over it has
-an owner below its own document.
+1. In a shard, windows that occur more than once are confirmed word by word. What goes
+   back to a chunk is, per window, its owner: the smallest document id it starts in.
+2. A chunk joins its recurring windows to passages, compiles these into Aho-Corasick
+   automata of bounded size (keys are the passages' bytes between spaces), and streams all
+   its documents through them: every occurrence that an automaton finds is one, no other.
+   A word goes if a window over it has an owner below its own document.
 
 Null text has no words. Null ids are above every id: such a document owns nothing for
 others, and loses what others own. Repeated ids count as one owner. An empty table
@@ -25,15 +27,14 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import MB, NO_ID, arrow_schema, batch, hashes, id_array, mix, number, packed, text_bytes, unpack_docs, words_of
+from .common import MB, NO_ID, arrow_schema, batch, chunk_bytes, hashes, id_array, mix, number, packed, text_bytes, unpack_docs, words_of
 
 SEGMENTS = "shard long, chunk long, n int, blob binary"
 REPLIES = "chunk long, shard long, blob binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 PIECE, ODD = 3, np.uint64(0x9E3779B97F4A7C15)
-#: Words of passages in one automaton.
-AUTOMATON_WORDS = 1_000_000
 
 
 def rolling(h: np.ndarray, width: int) -> np.ndarray:
@@ -54,24 +55,32 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def segments(texts: list[bytes], width: int, shards: int):
-    """What both ends of the exchange derive from a chunk: words, windows, distinct segments and their shards."""
+def word_windows(texts: list[bytes], width: int):
+    """(words, bounds of texts, hashes of words, start and document of each window, its minimiser); None for the last four if there is no window."""
     every, bounds = words_of(texts)
     if len(every) < width:
-        return every, bounds, None
+        return every, bounds, None, None, None, None
     h = hashes(every)
     low = sliding_min(rolling(h, PIECE), width - PIECE + 1)
     start = np.arange(len(low))
     doc = np.searchsorted(bounds, start, side="right") - 1
     inside = start + width <= bounds[doc + 1]
-    start, doc, low = start[inside], doc[inside], low[inside]
-    if not len(start):
+    return every, bounds, h if inside.any() else None, start[inside], doc[inside], low[inside]
+
+
+def segments(texts: list[bytes], width: int, shards: int, hot: np.ndarray):
+    """What both ends of the exchange derive from a chunk: words, windows, distinct segments and their shards. hot: sorted minimisers."""
+    every, bounds, h, start, doc, low = word_windows(texts, width)
+    if h is None:
         return every, bounds, None
+    full = rolling(h, width)
+    if len(hot):
+        known = hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low
+        low = np.where(known, full[start], low)
     first = np.ones(len(start), bool)
     first[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(first)
     size = np.diff(np.append(at, len(start)))  # windows of each segment
-    full = rolling(h, width)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(full[start] + np.uint64(1) * (np.arange(len(start)) - np.repeat(at, size)).astype(np.uint64)), dtype=np.uint64)])
     key = mix(sums[at + size] - sums[at] + size.astype(np.uint64) * ODD)
     _, rep, of = np.unique(key, return_index=True, return_inverse=True)
@@ -89,7 +98,7 @@ def segments(texts: list[bytes], width: int, shards: int):
     return every, bounds, (start, doc, at, size, of, reps, shard, [joined, begin[reps], end[reps]])
 
 
-def _send(width: int, shards: int):
+def _send(width: int, shards: int, hot):
     schema = arrow_schema(SEGMENTS)
 
     def run(batches):
@@ -97,7 +106,7 @@ def _send(width: int, shards: int):
         for b in batches:
             for chunk, blob in zip(b.column("chunk").to_pylist(), b.column("blob").to_pylist()):
                 ids, texts = unpack_docs(blob)
-                _, _, got = segments(texts, width, shards)
+                _, _, got = segments(texts, width, shards, hot.value)
                 if got is None:
                     continue
                 start, doc, at, size, of, reps, shard, (joined, begin, end) = got
@@ -130,10 +139,8 @@ def _windows(words: list[bytes], texts: list[bytes], width: int):
     return bounds, pos[inside], text[inside], fp[inside]
 
 
-def locate(lines: list[bytes], low: np.ndarray, high: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def confirmed(lines: list[bytes], low: np.ndarray, high: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, window within it, owner) of every occurrence of a recurring window; low, high: smallest and largest document of each line."""
-    import ahocorasick
-
     index: dict[bytes, int] = {}
     of = np.fromiter((index.setdefault(x, len(index)) for x in lines), np.int64, len(lines))
     owner_of_text = np.full(len(index), NO_ID)
@@ -167,47 +174,7 @@ def locate(lines: list[bytes], low: np.ndarray, high: np.ndarray, width: int) ->
     w_of[~same] = len(rep) + np.arange((~same).sum())
     recurs |= ~same
     groups = int(w_of.max()) + 1
-    # a window and the next belong to one passage if all their occurrences go on alike
-    place = lambda shift: mix(text.astype(np.uint64) * ODD + (pos + shift).astype(np.uint64))
-    order = np.argsort(w_of, kind="stable")
-    sums, nexts = np.zeros(groups, np.uint64), np.zeros(groups, np.uint64)
-    present = np.unique(w_of)
-    sums[present], nexts[present] = _by_key(w_of[order], place(0)[order], np.add), _by_key(w_of[order], place(1)[order], np.add)
-    linked = np.zeros(len(pos), bool)
-    linked[1:] = (text[1:] == text[:-1]) & (pos[1:] == pos[:-1] + 1) & (nexts[w_of[:-1]] == sums[w_of[1:]]) & same[1:] & same[:-1]
-    linked &= recurs & np.append(False, recurs[:-1])
-    begins = np.flatnonzero(recurs & ~linked)
-    stops = np.append(begins[1:], len(pos))  # a run ends at the next start or where windows stop recurring
-    keeps = np.cumsum(recurs)
-    sizes = keeps[stops - 1] - keeps[begins] + 1
-    firsts = np.full(groups, len(pos))
-    np.minimum.at(firsts, w_of, np.arange(len(pos)))
-    fresh = firsts[w_of[begins]] == begins
-    begins, sizes = begins[fresh], sizes[fresh]
-    live = np.unique(text[recurs])
-    seqs = [(t, tuple(flat[bounds[t] : bounds[t + 1]].tolist())) for t in live.tolist()]
-    found_text, found_end, found_n = [], [], []
-    spans = sizes + width - 1
-    shard_of = np.cumsum(spans) // AUTOMATON_WORDS
-    for s in np.unique(shard_of).tolist():
-        auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        pick = shard_of == s
-        for p, n in zip(pos[begins[pick]].tolist(), spans[pick].tolist()):
-            auto.add_word(tuple(flat[p : p + n].tolist()), n)
-        auto.make_automaton()
-        for t, seq in seqs:
-            for end, n in auto.iter(seq):
-                found_text.append(t)
-                found_end.append(end)
-                found_n.append(n)
-    if not found_text:
-        return none, none, none
-    t, end, n = (np.array(x, dtype=np.int64) for x in (found_text, found_end, found_n))
-    wins = n - width + 1
-    hit_text = np.repeat(t, wins)
-    hit_win = np.repeat(end - n + 1, wins) + np.arange(wins.sum()) - np.repeat(np.cumsum(wins) - wins, wins)
-    at = np.searchsorted(pos, bounds[hit_text] + hit_win)
-    at = np.unique(at)
+    at = np.flatnonzero(recurs)
     owner = np.full(groups, NO_ID)
     np.minimum.at(owner, w_of[at], owner_of_text[text[at]])
     # occurrences by text, spread over the lines that hold the text
@@ -231,7 +198,7 @@ def _answer(width: int):
             high.append(low[-1] + np.frombuffer(raw, np.int64, n, 8 * n))
             lines += raw[16 * n :].split(b"\n")
         low, high = np.concatenate(low), np.concatenate(high)
-        line, window, owner = locate(lines, low, high, width)
+        line, window, owner = confirmed(lines, low, high, width)
         wanted = owner < high[line]  # some document of that chunk loses the window
         line, window, owner = line[wanted], window[wanted], owner[wanted]
         at = np.repeat(np.arange(len(counts)), counts)[line]
@@ -247,45 +214,127 @@ def _answer(width: int):
     return run
 
 
-def _apply(width: int, shards: int):
+class Passages:
+    """Recurring passages of a chunk in automata of at most `most` bytes of keys each."""
+
+    def __init__(self, width: int, most: int = MB):
+        self.width, self.most, self.number = width, most, {}
+        self.owners: list[np.ndarray] = []
+
+    def add(self, words: list[bytes], owners: np.ndarray) -> None:
+        """owners: of each window of these words."""
+        key = b" ".join(words)
+        if key not in self.number:
+            self.number[key] = len(self.owners)
+            self.owners.append(owners)
+
+    def locate(self, texts: list[bytes]):
+        """(text, end, number) of every occurrence in these texts, words joined by one space; end: of its last byte."""
+        import ahocorasick
+
+        keys, found = list(self.number.items()), []
+        texts = [t.decode("latin-1") for t in texts]  # a byte a sign, so that automata see bytes
+        while keys:
+            auto, size = ahocorasick.Automaton(), 0
+            while keys and size < self.most:
+                key, n = keys.pop()
+                auto.add_word(f" {key.decode('latin-1')} ", n)
+                size += len(key)
+            auto.make_automaton()
+            for k, t in enumerate(texts):
+                found += [(k, end - 2, n) for end, n in auto.iter(f" {t} ")]
+        return np.array(found, dtype=np.int64).reshape(-1, 3).T
+
+
+def _apply(width: int, shards: int, hot):
     schema = arrow_schema(RESULT)
 
+    def passages(every: list[bytes], got, right: pa.Table) -> Passages:
+        """From the answers about this chunk's segments."""
+        unpress, out = zstandard.ZstdDecompressor(), Passages(width)
+        start, doc, at, size, of, reps, shard, _ = got
+        order = np.argsort(shard, kind="stable")  # as it was sent
+        first = np.searchsorted(shard[order], np.arange(shards + 1))
+        base = np.cumsum(size[reps]) - size[reps]
+        owner = np.full(int(size[reps].sum()), NO_ID)
+        for s, b in zip(right.column("shard").to_pylist(), right.column("blob").to_pylist()):
+            line, window, own = np.frombuffer(unpress.decompress(b), "<i8").reshape(3, -1)
+            owner[base[order[first[s] + line]] + window] = own
+        own = owner[np.repeat(base[of], size) + np.arange(len(start)) - np.repeat(at, size)]  # of each window
+        hit = np.flatnonzero(own != NO_ID)
+        if len(hit):
+            breaks = np.flatnonzero((np.diff(hit) != 1) | (np.diff(doc[hit]) != 0)) + 1
+            for run in np.split(hit, breaks):
+                x = int(start[run[0]])
+                out.add(every[x : x + len(run) + width - 1], own[run])
+        return out
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        unpress, out = zstandard.ZstdDecompressor(), []
+        out = []
         for blob in left.column("blob").to_pylist():
             ids, texts = unpack_docs(blob)
-            every, bounds, got = segments(texts, width, shards)
+            every, bounds, got = segments(texts, width, shards, hot.value) if right.num_rows else (*words_of(texts), None)
+            joined = [b" ".join(every[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             covered = np.zeros(len(every) + 1, np.int64)
-            if got is not None and right.num_rows:
-                start, doc, at, size, of, reps, shard, _ = got
-                order = np.argsort(shard, kind="stable")  # as it was sent
-                first = np.searchsorted(shard[order], np.arange(shards + 1))
-                base = np.cumsum(size[reps]) - size[reps]
-                owner = np.full(int(size[reps].sum()), NO_ID)
-                for s, b in zip(right.column("shard").to_pylist(), right.column("blob").to_pylist()):
-                    line, window, own = np.frombuffer(unpress.decompress(b), "<i8").reshape(3, -1)
-                    owner[base[order[first[s] + line]] + window] = own
-                within = np.arange(len(start)) - np.repeat(at, size)
-                lost = owner[np.repeat(base[of], size) + within] < ids[doc]
-                np.add.at(covered, start[lost], 1)
-                np.subtract.at(covered, start[lost] + width, 1)
+            if got is not None:
+                known = passages(every, got, right)
+                text, end, number = known.locate(joined)
+                if len(text):
+                    # bytes to words: ends of words, all documents in a row
+                    size = np.fromiter(map(len, every), np.int64, len(every)) + 1
+                    begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)) + 1)])
+                    ends = np.cumsum(size) + np.repeat(begin[:-1] - np.concatenate([[0], np.cumsum(size)])[bounds[:-1]], np.diff(bounds)) - 2
+                    n_windows = np.fromiter(map(len, known.owners), np.int64, len(known.owners))
+                    owners, first = np.concatenate(known.owners), np.cumsum(n_windows) - n_windows
+                    wins = n_windows[number]
+                    nth = np.arange(wins.sum()) - np.repeat(np.cumsum(wins) - wins, wins)
+                    lost = owners[np.repeat(first[number], wins) + nth] < np.repeat(ids[text], wins)
+                    opening = np.searchsorted(ends, begin[text] + end) - (wins + width - 2)
+                    at = (np.repeat(opening, wins) + nth)[lost]
+                    np.add.at(covered, at, 1)
+                    np.subtract.at(covered, at + width, 1)
             gone = np.cumsum(covered[:-1]) > 0
             removed = np.concatenate([[0], np.cumsum(gone)])
             n_removed = removed[bounds[1:]] - removed[bounds[:-1]]
             shas = []
-            for a, b, r in zip(bounds[:-1].tolist(), bounds[1:].tolist(), n_removed.tolist()):
-                ws = every[a:b]
-                shas.append(hashlib.sha256(b" ".join(compress(ws, (~gone[a:b]).tolist()) if r else ws)).hexdigest())
+            for a, b, r, whole in zip(bounds[:-1].tolist(), bounds[1:].tolist(), n_removed.tolist(), joined):
+                shas.append(hashlib.sha256(b" ".join(compress(every[a:b], (~gone[a:b]).tolist())) if r else whole).hexdigest())
             out.append(batch(schema, id_array(ids), np.diff(bounds), n_removed, shas))
         return pa.Table.from_batches(out, schema=schema)
 
     return run
 
 
+def hot_minimisers(corpus: DataFrame, total: int, width: int, shard_bytes: int, share: int = 64, least: int = 8) -> np.ndarray:
+    """Minimisers whose segments, by a sample of one chunk in `share`, fill over half a shard. They only tell how windows
+    are dealt, so a sample will do; there are at most 100,000 of them whatever the input."""
+    spark, schema = corpus.sparkSession, arrow_schema("low long, bytes long")
+    share = int(max(1, min(share, total // (16 * chunk_bytes(total)))))
+
+    def count(batches):
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                _, _, h, start, doc, low = word_windows(unpack_docs(blob)[1], width)
+                if h is not None:
+                    first = np.append(True, (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]))
+                    at = np.flatnonzero(first)
+                    size = 7 * (np.diff(np.append(at, len(low))) + width - 1)
+                    lows, of = np.unique(low[at], return_inverse=True)
+                    n = np.bincount(of)
+                    often = n >= least
+                    yield batch(schema, lows[often].view(np.int64), np.bincount(of, weights=size).astype(np.int64)[often])
+
+    limit = max(shard_bytes // 2, total // 30_000) / share
+    picked = corpus.where(F.pmod(F.xxhash64("chunk"), F.lit(share)) == 0).select("blob")
+    rows = picked.mapInArrow(count, "low long, bytes long").groupBy("low").agg(F.sum("bytes").alias("b")).where(F.col("b") > limit).select("low").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+
+
 def remove_repeats(docs: DataFrame, width: int = 13, shard_bytes: int = 8 * MB) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row."""
     total = text_bytes(docs)
     shards = int(max(12, total // shard_bytes))
     corpus = packed(docs, total)
-    replies = corpus.select("chunk", "blob").mapInArrow(_send(width, shards), SEGMENTS).groupBy("shard").applyInArrow(_answer(width), REPLIES)
-    return corpus.select("chunk", "blob").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_apply(width, shards), RESULT)
+    hot = docs.sparkSession.sparkContext.broadcast(hot_minimisers(corpus, total, width, shard_bytes))
+    replies = corpus.select("chunk", "blob").mapInArrow(_send(width, shards, hot), SEGMENTS).groupBy("shard").applyInArrow(_answer(width), REPLIES)
+    return corpus.select("chunk", "blob").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_apply(width, shards, hot), RESULT)

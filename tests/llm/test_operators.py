@@ -78,6 +78,27 @@ def test_substring(docs, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_substring_hot(spark, monkeypatch):
+    """A frequent phrase, split by window hash: the same answer as brute force, in more than one shard."""
+    rng = np.random.default_rng(7)
+    phrase = "one two three"
+    texts = [" ".join(w for _ in range(12) for w in (*(f"w{k}" for k in rng.integers(40, size=6)), phrase)) for _ in range(60)] + [" ".join([PASSAGE] * 3), PASSAGE]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    corpus = substring_dedup.packed(docs, 10_000)
+    hot = substring_dedup.hot_minimisers(corpus, 10_000, 13, 1_000)
+    assert 0 < len(hot) < 200
+    monkeypatch.setattr(substring_dedup, "hot_minimisers", lambda *a: hot)
+    got = by_id(substring_dedup.remove_repeats(docs))
+    words = {i: t.encode().split() for i, t in enumerate(texts)}
+    owner = {}
+    for i, ws in sorted(words.items(), reverse=True):
+        owner |= {tuple(ws[k : k + 13]): i for k in range(len(ws) - 12)}
+    for i, ws in words.items():
+        gone = {k + j for k in range(len(ws) - 12) if owner[tuple(ws[k : k + 13])] < i for j in range(13)}
+        kept = b" ".join(w for k, w in enumerate(ws) if k not in gone)
+        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(ws), len(gone), hashlib.sha256(kept).hexdigest())
+
+
 def test_bpe(docs, empty):
     import tiktoken
 
