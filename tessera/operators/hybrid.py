@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.models import Evaluator
 from .lexical import query_terms, small, top
+from .staging import stored
 
 
 def set_cosine(queries: DataFrame, docs: DataFrame, k: int = 10, tokens=None) -> DataFrame:
@@ -70,10 +71,16 @@ def enhance(hits: DataFrame, chunks: DataFrame, before: int = 1, after: int = 1,
     Offsets are exploded and equi-joined, so the join never becomes a range join. With fallback, a
     blank context is the hit's own text, and a hit without chunk gets an empty text.
     """
-    own = hits.join(chunks.select("doc_id", "source_id", "serial_number", F.col("text").alias("__own")), "doc_id", "left")
+    hits = stored(hits)
+    ids = small(hits.select("doc_id").distinct())
+    found = stored(chunks.join(ids, "doc_id", "left_semi").select("doc_id", "source_id", "serial_number", F.col("text").alias("__own")))
+    around = F.explode(F.sequence(F.col("serial_number") - before, F.col("serial_number") + after))
+    wanted = stored(found.select("source_id", around.alias("serial_number")).distinct())
+    # of the chunks' texts only neighbours of hits are joined
+    texts = chunks.select("source_id", "serial_number", F.col("text").alias("__near")).join(small(wanted), ["source_id", "serial_number"], "left_semi")
     keys = [c for c in hits.columns]
-    near = own.withColumn("serial_number", F.explode_outer(F.sequence(F.col("serial_number") - before, F.col("serial_number") + after)))
-    got = near.join(chunks.select("source_id", "serial_number", F.col("text").alias("__near")), ["source_id", "serial_number"], "left")
+    near = hits.join(found, "doc_id", "left").withColumn("serial_number", F.explode_outer(F.sequence(F.col("serial_number") - before, F.col("serial_number") + after)))
+    got = near.join(texts, ["source_id", "serial_number"], "left")
     pieces = F.array_sort(F.collect_list(F.when(F.col("__near").isNotNull(), F.struct("serial_number", "__near"))))  # before + 1 + after at most
     out = got.groupBy(*keys).agg(F.array_join(F.transform(pieces, lambda x: x["__near"]), "").alias("enhanced_text"), F.first("__own").alias("__own"))
     if fallback:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions.text import tokenize
+from .staging import stored
 
 #: Queries whose term list is below this many rows are broadcast; more are joined by shuffle.
 BROADCAST_TERMS = 200_000
@@ -41,34 +45,126 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
     return queries.select(F.col(id_col).alias("query_id"), *others, F.explode(tokens(F.col(text_col))).alias("term")).groupBy("query_id", *others, "term").agg(F.count("*").alias("qn"))
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_TERMS) -> bool:
+    return len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows
+
+
 def small(df: DataFrame, rows: int = BROADCAST_TERMS) -> DataFrame:
     """df to broadcast, if a look at its size allows it."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+def counted(each: DataFrame) -> DataFrame:
+    """(doc_id, tokens) -> (term, doc_id, tf, dl)."""
+    return (each.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+            .groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
+
+
+class Corpus:
+    """What ranking asks of documents given as (doc_id, tokens). `allowed` (doc_id) limits what may be found, not what is counted."""
+
+    def __init__(self, each: DataFrame, allowed: DataFrame | None = None):
+        self.each, self.allowed = each, allowed
+
+    def counts(self, terms: DataFrame) -> tuple[int, int, dict[str, int]]:
+        """(documents, words, document frequency by term) in one scan: each document brings its terms once, and a null for itself."""
+        rows = self.each.select(F.size("tokens").alias("dl"), F.explode(F.array_append(F.array_distinct("tokens"), F.lit(None))).alias("term"))
+        wanted = terms.select(F.col("term").alias("t")).union(terms.sparkSession.range(1).select(F.lit(None).cast("string")))
+        got = rows.join(F.broadcast(wanted), F.col("term").eqNullSafe(F.col("t")), "left_semi").groupBy("term").agg(F.count("*").alias("n"), F.sum("dl").alias("dl")).collect()
+        whole = next(((r["n"], r["dl"]) for r in got if r["term"] is None), (0, 0))
+        return *whole, {r["term"]: r["n"] for r in got if r["term"] is not None}
+
+    def postings(self, terms: DataFrame, of: DataFrame | None = None) -> DataFrame:
+        """(term, doc_id, tf, dl) of these terms, in the documents `of` if given."""
+        each = self.each
+        for ids in (self.allowed, of):
+            if ids is not None:
+                each = each.join(small(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+        rows = each.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(F.broadcast(terms.select("term")), "term", "left_semi")
+        return rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_id", k1: float = 1.5, b: float = 0.75, delta: float = 1.0,
            candidates: DataFrame | None = None, text_col: str = "text", tokens=tokenize) -> DataFrame:
     """Top k per query: (query_id, doc_id, score, distance, rank).
 
-    Only postings of the queries' terms are counted and scored. Statistics come from the whole
-    corpus, also when `candidates` (doc_id) limits what may be found. Ties go to the smaller doc_id.
+    Texts are tokenised once. Statistics come from the whole corpus, also when `candidates` (doc_id)
+    limits what may be found. Ties go to the smaller doc_id.
     """
-    terms = small(query_terms(queries, text_col="text", tokens=tokens))
-    each = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("tokens"))
-    stats = F.broadcast(statistics(each.select(F.coalesce(F.size("tokens"), F.lit(0)).cast("long").alias("dl"))))
-    wanted = terms.select("term").distinct()
-    post = (each.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-            .groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    if candidates is not None:
-        post = post.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
-    # idf by term first, so that the large side meets one small table
-    weights = terms.join(df, "term").crossJoin(stats).select("query_id", "term", "qn", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
-    part = F.col("qn") * F.col("idf") * (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) + delta)
-    scored = post.join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    terms = query_terms(queries, text_col="text", tokens=tokens)
+    each = stored(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("tokens")))
+    if is_small(terms):
+        return ranked(terms, Corpus(each, candidates), k, k1, b, delta)
+    # so many queries that their terms are no small side: every posting meets every query that has its term
+    stats = F.broadcast(statistics(each.select(F.size("tokens").cast("long").alias("dl"))))
+    post = counted(each.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi") if candidates is not None else each)
+    df = each.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    weights = terms.join(df, "term").crossJoin(stats).select("query_id", "term", F.col("avgdl"), (F.col("qn") * idf(F.col("n"), F.col("df"))).alias("w"))
+    scored = post.join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * saturation(F.col("avgdl"), k1, b, delta)), 6).alias("score"))
+    return _with_distance(scored, k)
+
+
+def saturation(avgdl: Column, k1: float, b: float, delta: float) -> Column:
+    return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl)) + delta
+
+
+def _with_distance(scored: DataFrame, k: int) -> DataFrame:
     return top(scored, k, F.desc("score"), F.col("doc_id")).withColumn("distance", F.round(1 / (F.col("score") + 1), 6))
 
 
+def ranked(terms: DataFrame, corpus, k: int, k1: float, b: float, delta: float, seeds: int = 8) -> DataFrame:
+    """The exact top k, without scoring what cannot be in it. terms: (query_id, term, qn), a small table.
+
+    A term adds at most its weight times k1 + 1 + delta. The rarest terms of a query name seeds; the k-th best full
+    score of these is a floor. Terms that together cannot reach the floor name no document: the others' postings
+    do, and of their documents only those are scored in full whose partial score and the rest's bound reach the floor.
+    """
+    spark, most, slack = terms.sparkSession, k1 + 1 + delta, 1e-5
+    rows = terms.select("query_id", "term", "qn").collect()
+    schema = StructType([terms.schema["query_id"], StructField("term", StringType()), StructField("w", DoubleType())])
+    frame = lambda rows: F.broadcast(spark.createDataFrame(rows, schema))
+    n, words, df = corpus.counts(spark.createDataFrame(sorted({(r["term"],) for r in rows}), "term string"))
+    avgdl = F.lit(float(words / n) if n and words else 1.0)
+    by_query: dict = {}
+    for r in rows:
+        if r["term"] in df:
+            by_query.setdefault(r["query_id"], []).append((r["qn"] * max(0.0, math.log((n - df[r["term"]] + 0.5) / (df[r["term"]] + 0.5) + 1)), r["term"]))
+    for ts in by_query.values():
+        ts.sort(reverse=True)
+    every = [(q, t, w) for q, ts in by_query.items() for w, t in ts]
+
+    def scored(weights: list[tuple], of: DataFrame | None = None) -> DataFrame:
+        """(query_id, doc_id, score) by these weights; of: (query_id, doc_id) to score, else all that hold a term."""
+        post = corpus.postings(spark.createDataFrame(sorted({(t,) for _, t, _ in weights}), "term string"), of)
+        both = post.join(frame(weights), "term")
+        if of is not None:
+            both = both.join(small(of.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_semi")
+        return both.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * saturation(avgdl, k1, b, delta)).alias("score"))
+
+    first = []
+    for q, ts in by_query.items():
+        held = 0
+        for w, t in ts:
+            first.append((q, t, w))
+            held += df[t]
+            if held >= seeds * k:
+                break
+    found = stored(top(scored(first), seeds * k, F.desc("score"), F.col("doc_id")).select("query_id", "doc_id"))
+    kth = top(scored(every, found), k, F.desc("score"), F.col("doc_id")).where(F.col("rank") == k)
+    floor = {r["query_id"]: r["score"] for r in kth.select("query_id", "score").collect()}
+    naming, bounds = [], []
+    for q, ts in by_query.items():
+        rest, cut = 0.0, len(ts)
+        while cut and rest + ts[cut - 1][0] * most < floor.get(q, 0.0) - slack:
+            cut -= 1
+            rest += ts[cut][0] * most
+        naming += [(q, t, w) for w, t in ts[:cut]]
+        bounds.append((q, "", floor.get(q, 0.0) - rest - slack))
+    able = scored(naming).join(frame(bounds).select("query_id", F.col("w").alias("least")), "query_id").where(F.col("score") >= F.col("least"))
+    able = stored(able.select("query_id", "doc_id"))
+    return _with_distance(scored(every, able).withColumn("score", F.round("score", 6)), k)
+
+
 def top(scored: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The first k of each group, with rank."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
