@@ -1,19 +1,26 @@
-"""Persisted index snapshots and the engine facade.
-
-A version is a folder of chunks, postings (partitioned by a hash bucket of the term, so a
-query's terms prune partitions) and document lengths. Writers make a new version and then
-rename it into place; readers take the newest and never see half a version.
+"""A persisted index of segments and the engine facade.
+
+A segment is a folder of what one write brought: chunks, postings with document lengths
+(partitioned by a hash bucket of the term, so a query's terms prune partitions), lengths,
+vectors if there is an embedder, and `dead`: the ids that this write replaces or deletes in
+older segments. A write costs what it brings, not what is stored; when there are `fanout`
+segments they are merged. The list of segments is a `VersionLog`: readers see whole versions,
+and of two writers neither loses its segment.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..functions import models
 from ..functions.models import OverlapEvaluator
 from ..functions.text import tokenize
-from . import hybrid, ingest, lexical
+from . import hybrid, ingest, lexical, vector
+from .manifest import VersionLog
 
 BUCKETS = 64
 
@@ -23,48 +30,117 @@ def bucket(term, n: int = BUCKETS):
 
 
 class IndexStore:
-    def __init__(self, spark: SparkSession, path: str, tokens=tokenize):
-        self.spark, self.path, self.tokens = spark, path.rstrip("/"), tokens
+    """embedder: texts to vectors; prefix: put before a text that is embedded, never stored."""
 
-    def _fs(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, path: str, tokens=tokenize, embedder=None, prefix: str = "", fanout: int = 8):
+        self.spark, self.path, self.tokens, self.embedder, self.prefix, self.fanout = spark, path.rstrip("/"), tokens, embedder, prefix, fanout
+        self.log = VersionLog(spark, f"{self.path}/manifest")
 
     def version(self) -> int:
-        path, fs = self._fs("versions")
-        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        return max([0, *(int(n[1:]) for n in names if n.startswith("v"))])
-
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/versions/v{self.version():06d}/{name}")
-
-    def write(self, chunks: DataFrame) -> int:
-        """A new version from these chunks."""
-        v = self.version() + 1
-        aside, fs = self._fs(f"aside-{v}")
-        fs.delete(aside, True)
-        chunks.write.parquet(f"{aside.toString()}/chunks")
-        kept = self.spark.read.parquet(f"{aside.toString()}/chunks")
-        post = lexical.postings(kept, tokens=self.tokens).withColumn("bucket", bucket(F.col("term")))
-        post.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{aside.toString()}/postings")
-        lexical.lengths(kept, tokens=self.tokens).write.parquet(f"{aside.toString()}/doc_stats")
-        final, _ = self._fs(f"versions/v{v:06d}")
-        fs.mkdirs(final.getParent())
-        if fs.exists(final) or not fs.rename(aside, final):
-            raise RuntimeError(f"version {v} was written by another writer")
-        return v
-
-    def postings_of(self, terms: DataFrame) -> DataFrame:
-        """Postings of these terms; the bucket prunes partitions, the sort prunes row groups."""
-        want = lexical.small(terms.select("term").distinct().withColumn("bucket", bucket(F.col("term"))))
-        return self.table("postings").join(want, ["bucket", "term"], "left_semi")
+        return self.log.version()
+
+    def segments(self, version: int | None = None) -> list[dict]:
+        """Oldest first."""
+        return self.log.entries(version)
+
+    def _read(self, segment: dict, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/segments/{segment['segment']}/{name}")
+
+    def _live(self, segments: list[dict], name: str) -> DataFrame:
+        """Rows of these segments that no later one replaces. The first segment's ids hide nothing, so `dead` is of the size of what came after."""
+        of = {"chunks": "chunks", "vectors": "vectors"}.get(name, "chunks")
+        parts = [self._read(x, name).withColumn("__at", F.lit(k)) for k, x in enumerate(segments) if of in x["has"]]
+        if not parts:
+            raise ValueError(f"the index holds no {name}")
+        rows = parts[0]
+        for x in parts[1:]:
+            rows = rows.unionByName(x)
+        dead = [self._read(x, "dead").withColumn("__dead", F.lit(k)) for k, x in enumerate(segments) if k and "dead" in x["has"]]
+        if dead:
+            gone = dead[0]
+            for x in dead[1:]:
+                gone = gone.unionByName(x)
+            rows = rows.join(lexical.small(gone.groupBy("doc_id").agg(F.max("__dead").alias("__dead"))), "doc_id", "left")
+            rows = rows.where(F.col("__dead").isNull() | (F.col("__dead") <= F.col("__at"))).drop("__dead")
+        return rows.drop("__at")
+
+    def table(self, name: str, version: int | None = None) -> DataFrame:
+        """chunks, postings, doc_stats or vectors, as of a version."""
+        return self._live(self.segments(version), name)
+
+    def _put(self, name: str, table: str, df: DataFrame, by: str | None = None) -> DataFrame:
+        path = f"{self.path}/segments/{name}/{table}"
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _segment(self, chunks: DataFrame | None, dead: DataFrame | None, vectors: DataFrame | None = None) -> dict:
+        """Write a segment's tables; nobody sees them before its entry is committed."""
+        name, has = uuid.uuid4().hex[:16], []
+        if chunks is not None:
+            kept = self._put(name, "chunks", chunks)
+            each = kept.select("doc_id", self.tokens(F.col("text")).alias("tokens"))
+            post = lexical.counted(each).withColumn("bucket", bucket(F.col("term")))
+            self._put(name, "postings", post.repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(4096))).sortWithinPartitions("bucket", "term"), "bucket")
+            self._put(name, "doc_stats", lexical.lengths(kept, tokens=self.tokens))
+            dead, has = kept.select("doc_id"), ["chunks"]
+            if self.embedder is not None and vectors is None:
+                vectors = kept.select("doc_id", models.embed(F.concat(F.lit(self.prefix), F.coalesce("text", F.lit(""))), self.embedder).alias("embedding"), "metadata" if "metadata" in kept.columns else F.lit("{}").alias("metadata"))
+        if vectors is not None:
+            dead = self._put(name, "vectors", vectors).select("doc_id") if dead is None else (self._put(name, "vectors", vectors), dead)[1]
+            has.append("vectors")
+        self._put(name, "dead", dead.select("doc_id").distinct())
+        return {"segment": name, "has": [*has, "dead"]}
+
+    def write(self, chunks: DataFrame | None = None, dead: DataFrame | None = None, vectors: DataFrame | None = None) -> int:
+        """Add a segment: these rows replace stored ones of their ids; with `dead` alone, those ids go."""
+        made = self._segment(chunks, dead, vectors)
+        version = self.log.update(lambda now: [*now, made])
+        return self.merge() if len(self.segments(version)) >= self.fanout else version
+
+    def merge(self) -> int:
+        """One segment of all live rows, in place of those it was made from; what others added meanwhile stays behind it."""
+        old = self.segments()
+        chunks = self._live(old, "chunks") if any("chunks" in x["has"] for x in old) else None
+        vectors = self._live(old, "vectors") if any("vectors" in x["has"] for x in old) else None
+        if chunks is None and vectors is None:
+            return self.version()
+        made = self._segment(chunks, None, vectors)
+        return self.log.update(lambda now: [made, *now[len(old):]] if now[: len(old)] == old else None)
+
+    def postings_of(self, terms: DataFrame, of: DataFrame | None = None) -> DataFrame:
+        """Live postings of these terms; their buckets prune partitions, the sort prunes row groups."""
+        want = terms.select("term").distinct().withColumn("bucket", bucket(F.col("term")))
+        rows = self.table("postings")
+        if lexical.is_small(want):
+            rows = rows.where(F.col("bucket").isin([r[0] for r in want.select("bucket").distinct().collect()]))
+        rows = rows.join(lexical.small(want), ["bucket", "term"], "left_semi")
+        if of is not None:
+            rows = rows.join(lexical.small(of.select("doc_id").distinct()), "doc_id", "left_semi")
+        return rows.select("term", "doc_id", "tf", "dl")
+
+
+class Indexed:
+    """What ranking asks of the stored index: no text is read or tokenised."""
+
+    def __init__(self, store: IndexStore, allowed: DataFrame | None = None):
+        self.store, self.allowed = store, allowed
+
+    def counts(self, terms: DataFrame) -> tuple[int, int, dict[str, int]]:
+        n, words, _ = lexical.statistics(self.store.table("doc_stats")).first()
+        return n, words, {r["term"]: r["df"] for r in lexical.frequencies(self.store.postings_of(terms)).collect()}
+
+    def postings(self, terms: DataFrame, of: DataFrame | None = None) -> DataFrame:
+        rows = self.store.postings_of(terms, of)
+        return rows if self.allowed is None else rows.join(self.allowed.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
 class Engine:
     """Ingest, maintain, search, widen, rerank, flatten over one store."""
 
-    def __init__(self, spark: SparkSession, path: str, config: EngineConfig | None = None, evaluator=None):
-        self.spark, self.store, self.config, self.evaluator = spark, IndexStore(spark, path), config or EngineConfig(), evaluator or OverlapEvaluator()
+    def __init__(self, spark: SparkSession, path: str, config: EngineConfig | None = None, evaluator=None, embedder=None, prefixes: tuple[str, str] = ("", ""), tokens=tokenize):
+        """prefixes: put before queries and before stored texts when they are embedded."""
+        self.spark, self.config, self.evaluator, self.embedder, self.prefixes = spark, config or EngineConfig(), evaluator or OverlapEvaluator(), embedder, prefixes
+        self.store = IndexStore(spark, path, tokens, embedder, prefixes[1])
 
     def _chunks(self) -> DataFrame | None:
         return self.store.table("chunks") if self.store.version() else None
@@ -82,28 +158,44 @@ class Engine:
         return self.upsert(rows.select("doc_id", F.col("doc_id").alias("source_id"), F.lit(0).alias("serial_number"), F.lit(1).alias("page_number"), F.lit(0).alias("chunk_index_in_page"), "text", "metadata"))
 
     def upsert(self, chunks: DataFrame) -> int:
-        old = self._chunks()
-        return self.store.write(chunks.dropDuplicates(["doc_id"]) if old is None else lexical.upsert(old, chunks))
+        return self.store.write(chunks.dropDuplicates(["doc_id"]))
 
     def insert(self, chunks: DataFrame) -> int:
-        old = self._chunks()
-        return self.store.write(chunks.dropDuplicates(["doc_id"]) if old is None else lexical.insert(old, chunks))
+        old, new = self._chunks(), chunks.dropDuplicates(["doc_id"])
+        return self.store.write(new if old is None else new.join(old.select("doc_id"), "doc_id", "left_anti").select(new.columns))
 
     def delete_by_ids(self, ids: DataFrame) -> int:
-        return self.store.write(lexical.delete_ids(self._chunks(), ids))
+        """From chunks, postings and vectors alike."""
+        return self.store.write(dead=ids)
 
     def delete_by_metadata(self, **equal) -> int:
-        gone = F.lit(True)
-        for k, v in equal.items():
-            gone = gone & lexical.metadata_equals(F.col("metadata"), k, v)
-        return self.store.write(self._chunks().where(~gone))
+        return self.store.write(dead=self.where(**equal))
 
-    def search(self, queries: DataFrame, k: int | None = None, vector: DataFrame | None = None) -> DataFrame:
-        """Hits in long form; vector: a second list (query_id, doc_id, distance, rank), if there is one."""
-        k = k or int(self.config.get("SEARCH", "TOP_K"))
-        found = lexical.search(queries, self.store.table("chunks"), k, k1=float(self.config.get("BM25", "K1")), b=float(self.config.get("BM25", "B")), delta=float(self.config.get("BM25", "DELTA")))
+    def where(self, **equal) -> DataFrame:
+        """(doc_id) of the chunks whose metadata all equal these values, typed."""
+        met = F.lit(True)
+        for k, v in equal.items():
+            met = met & lexical.metadata_equals(F.col("metadata"), k, v)
+        return self.store.table("chunks").where(met).select("doc_id")
+
+    def search(self, queries: DataFrame, k: int | None = None, vector: DataFrame | None = None, where: dict | None = None) -> DataFrame:
+        """Hits in long form, from the stored postings; vector: a second list (query_id, doc_id, distance, rank), if there is one. where: metadata, before the search."""
+        k, get = k or int(self.config.get("SEARCH", "TOP_K")), lambda x: float(self.config.get("BM25", x))
+        terms = lexical.query_terms(queries, tokens=self.store.tokens)
+        found = lexical.ranked(terms, Indexed(self.store, self.where(**where) if where else None), k, get("K1"), get("B"), get("DELTA"))
         return hybrid.union(found, vector)
 
+    def search_vectors(self, queries: DataFrame, k: int | None = None, where: dict | None = None) -> DataFrame:
+        """(query_id, doc_id, distance, rank) of the stored vectors; queries with an `embedding`, or with a text that the engine's embedder takes."""
+        if "embedding" not in queries.columns:
+            if self.embedder is None:
+                raise ValueError("queries need an embedding, or the engine an embedder")
+            queries = queries.select("query_id", models.embed(F.concat(F.lit(self.prefixes[0]), "text"), self.embedder).alias("embedding"))
+        rows = self.store.table("vectors")
+        for name, value in (where or {}).items():
+            rows = rows.where(lexical.metadata_equals(F.col("metadata"), name, value))
+        return vector.search(rows, queries, k or int(self.config.get("SEARCH", "TOP_K")), "doc_id")
+
     def enhance(self, hits: DataFrame) -> DataFrame:
         return hybrid.enhance(hits, self.store.table("chunks"), int(self.config.get("SEARCH", "CONTEXT_BEFORE")), int(self.config.get("SEARCH", "CONTEXT_AFTER")), fallback=True)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,26 +38,85 @@ def _block(rows: DataFrame, held: list, k: int, id_col: str) -> DataFrame:
     ids = np.array([r[0] for r in held], np.int64)
     q = np.array([r[1] for r in held], float).reshape(len(held), -1)
     norms = np.linalg.norm(q, axis=1)
-    shared = rows.sparkSession.sparkContext.broadcast((ids[norms > 0], q[norms > 0] / norms[norms > 0, None]))
-    names = ["query_id", id_col, "distance"]
+    probes = [set(r[2]) for r in held] if held and len(held[0]) > 2 else None
+    live = np.flatnonzero(norms > 0)
+    shared = rows.sparkSession.sparkContext.broadcast((ids[live], q[live] / norms[live, None], [probes[i] for i in live] if probes else None))
+    names, kind = ["query_id", id_col, "distance"], "string" if rows.schema[id_col].dataType.simpleString() == "string" else "long"
 
     def run(batches):
-        ids, q = shared.value
+        ids, q, probes = shared.value
         for b in batches:
             if not b.num_rows or not len(ids):
                 continue
             of = b.column(0).to_numpy(zero_copy_only=False)
+            of = of.astype(str) if kind == "string" else of
             v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
             n = np.linalg.norm(v, axis=1)
+            cells = b.column(2).to_numpy(zero_copy_only=False)[n > 0] if probes else np.zeros(int((n > 0).sum()), int)
             of, v = of[n > 0], v[n > 0] / n[n > 0, None]
-            d = np.round(1 - q @ v.T, 6) + 0.0
-            for i, row in enumerate(d):
-                best = np.lexsort((of, row))[:k] if len(row) <= 4 * k else _first(row, of, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[i])), pa.array(of[best]), pa.array(row[best])], names=names)
+            for c in np.unique(cells).tolist():
+                asked = np.array([i for i in range(len(ids)) if probes is None or c in probes[i]], int)
+                mine = cells == c
+                if not len(asked):
+                    continue
+                d, near = np.round(1 - q[asked] @ v[mine].T, 6) + 0.0, of[mine]
+                for i, row in zip(asked.tolist(), d):
+                    best = np.lexsort((near, row))[:k] if len(row) <= 4 * k else _first(row, near, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[i])), pa.array(near[best].tolist(), pa.string() if kind == "string" else pa.int64()), pa.array(row[best])], names=names)
 
-    return rows.where(F.col("embedding").isNotNull()).select(F.col(id_col).cast("long"), "embedding").mapInArrow(run, f"query_id long, {id_col} long, distance double")
+    columns = [F.col(id_col).cast(kind), "embedding", *(["cell"] if probes else [])]
+    return rows.where(F.col("embedding").isNotNull()).select(*columns).mapInArrow(run, f"query_id long, {id_col} {kind}, distance double")
 
 
 def _first(row: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
     near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1])  # ties at the edge included
     return near[np.lexsort((of[near], row[near]))][:k]
+
+
+class Cells:
+    """An inverted-file index: each vector lies in the cell of its nearest centre, a query looks into its `probes` nearest cells.
+
+    Centres are fitted by k-means on at most `sample` rows (a documented bound); every row is indexed.
+    """
+
+    def __init__(self, vectors: DataFrame, n: int = 32, sample: int = 10_000, rounds: int = 8, seed: int = 1):
+        rows = vectors.where("embedding is not null").select("embedding")
+        share = min(1.0, sample / max(1, rows.count()))
+        x = np.array([r[0] for r in rows.where(F.pmod(F.xxhash64("embedding"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * sample).collect()], float)
+        x = x[np.linalg.norm(x, axis=1) > 0] if len(x) else x
+        x = x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else np.zeros((1, 1))
+        self.centres = x[np.random.default_rng(seed).permutation(len(x))[:n]]
+        for _ in range(rounds):
+            of = (x @ self.centres.T).argmax(axis=1)
+            sums = np.zeros_like(self.centres)
+            np.add.at(sums, of, x)
+            size = np.linalg.norm(sums, axis=1, keepdims=True)
+            self.centres = np.where(size > 0, sums / np.maximum(size, 1e-12), self.centres)
+
+    def assigned(self, vectors: DataFrame) -> DataFrame:
+        """vectors with their `cell`; null and zero vectors are in cell 0. Write it partitioned by cell, and a search reads only its cells."""
+        shared = vectors.sparkSession.sparkContext.broadcast(self.centres)
+
+        def nearest(batches):
+            for s in batches:
+                yield pd.Series([int((np.array(v, float) @ shared.value.T).argmax()) if v is not None else 0 for v in s])
+
+        return vectors.withColumn("cell", F.pandas_udf(nearest, "int", F.PandasUDFType.SCALAR_ITER)("embedding"))
+
+    def search(self, rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", probes: int = 8) -> DataFrame:
+        """As the exact `search`, over the probed cells of `assigned` rows."""
+        held = []
+        for r in queries.select(F.col("query_id").cast("long"), "embedding").where("embedding is not null").toLocalIterator():
+            near = np.argsort(-(np.array(r[1], float) @ self.centres.T))[:probes].tolist()
+            held.append((r[0], r[1], near))
+        out = None
+        for a in range(0, max(1, len(held)), BLOCK):
+            part = held[a : a + BLOCK]
+            cells = sorted({c for _, _, near in part for c in near})
+            out = _more(out, _block(rows.where(F.col("cell").isin(cells)), part, k, id_col))
+        return top(out, k, F.col("distance"), F.col(id_col))
+
+
+def recall(found: DataFrame, exact: DataFrame, id_col: str = "vec_id") -> float:
+    """Share of the exact hits that were found."""
+    return found.join(exact.select("query_id", id_col), ["query_id", id_col], "left_semi").count() / max(1, exact.count())

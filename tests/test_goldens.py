@@ -108,6 +108,50 @@ def test_store_and_stream(spark, tmp_path):
     assert engine.store.postings_of(spark.createDataFrame([("one",)], "term string")).count() == 1
 
 
+def test_segments_and_vectors(spark, tmp_path):
+    """Upserts, inserts and deletes by segments, merged when many; vectors follow; both searches filter before they rank."""
+    from tessera.functions.models import HashingEmbedder
+    from tessera.operators.store import Engine
+
+    engine = Engine(spark, f"file://{tmp_path}/index", embedder=HashingEmbedder(16), prefixes=("", ""))
+    engine.store.fanout = 4
+    rows = lambda *xs: spark.createDataFrame([(i, i, 0, t, m) for i, t, m in xs], "doc_id string, source_id string, serial_number int, text string, metadata string")
+    engine.upsert(rows(("a", "red apple", '{"k": 1}'), ("b", "green apple", '{"k": 2}')))
+    engine.upsert(rows(("a", "blue plum", '{"k": 1}'), ("c", "apple pie", '{"k": 1}')))
+    engine.insert(rows(("b", "other", "{}"), ("d", "apple tree", '{"k": "1"}')))
+    q = spark.createDataFrame([(1, "apple")], "query_id long, text string")
+    ids = lambda df: sorted(r["doc_id"] for r in df.collect())
+    assert ids(engine.search(q)) == ["b", "c", "d"] and ids(engine.search(q, where={"k": 1})) == ["c"]
+    assert ids(engine.store.table("vectors")) == ["a", "b", "c", "d"] and ids(engine.search_vectors(q, 2, where={"k": 1})) == ["a", "c"]
+    engine.delete_by_metadata(k=2)  # the fourth segment: merged
+    assert len(engine.store.segments()) == 1 and ids(engine.search(q)) == ["c", "d"] and ids(engine.store.table("vectors")) == ["a", "c", "d"]
+    want = lexical.search(q, engine.store.table("chunks"), 10).select("doc_id", "score").collect()
+    assert sorted(want) == sorted(lexical.ranked(lexical.query_terms(q), __import__("tessera.operators.store", fromlist=["Indexed"]).Indexed(engine.store), 10, 1.5, 0.75, 1.0).select("doc_id", "score").collect())
+
+
+def test_ranking_is_exact(spark):
+    """Floors and bounds drop nothing: the same as scoring every posting, ties included."""
+    import random
+
+    rnd = random.Random(3)
+    words = [f"w{min(int(rnd.expovariate(0.08)), 60)}" for _ in range(6000)]
+    docs = [(k, " ".join(rnd.choices(words, k=rnd.randint(1, 30)))) for k in range(300)]
+    queries = [(k, " ".join(rnd.choices(words, k=8))) for k in range(12)]
+    got = lexical.search(spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"), 5).collect()
+    n, avg = len(docs), sum(len(t.split()) for _, t in docs) / len(docs)
+    df = {w: sum(w in t.split() for _, t in docs) for w in set(words)}
+    want = []
+    for q, text in queries:
+        scores = []
+        for d, t in docs:
+            ts = t.split()
+            if set(ts) & set(text.split()):
+                parts = [max(0, math.log((n - df[w] + 0.5) / (df[w] + 0.5) + 1)) * (ts.count(w) * 2.5 / (ts.count(w) + 1.5 * (0.25 + 0.75 * len(ts) / avg)) + 1) for w in text.split() if w in ts]
+                scores.append((-round(sum(parts), 6), d))
+        want += [(q, d, r + 1) for r, (_, d) in enumerate(sorted(scores)[:5])]
+    assert sorted((r["query_id"], r["doc_id"], r["rank"]) for r in got) == sorted(want)
+
+
 def test_entry(spark):
     import __spark_entry__
 
