@@ -28,7 +28,13 @@ class EngineConfig:
         return cls({s: {k: v for k, v in kv.items() if isinstance(v, str)} for s, kv in raw.items() if isinstance(kv, dict)})
 
     def get(self, section: str, key: str, default: str | None = None) -> str | None:
-        return os.environ.get(f"{section}_{key}") or self.values.get(section, {}).get(key) or DEFAULTS.get(section, {}).get(key) or default
+        for name in (f"{section}.{key}", f"{section}_{key}"):  # shells cannot set the dotted form
+            if name in os.environ:
+                return os.environ[name]
+        for values in (self.values, DEFAULTS):
+            if (found := values.get(section, {}).get(key)) is not None:
+                return found
+        return default
 
     def set(self, section: str, key: str, value: str) -> None:
         self.values.setdefault(section, {})[key] = str(value)

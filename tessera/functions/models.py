@@ -21,6 +21,48 @@ class Evaluator(Protocol):
     def score(self, query: Column, text: Column) -> Column: ...
 
 
+class LanguageModel(Protocol):
+    def generate(self, prompts: list[str]) -> list[str]: ...
+
+
+class Similarity(Protocol):
+    def score(self, a: Column, b: Column) -> Column: ...
+
+
+def require_module(name: str, of: str) -> None:
+    """RuntimeError if a model's library is not there; asked before a job starts, not in its tasks."""
+    from importlib.util import find_spec
+
+    if find_spec(name) is None:
+        raise RuntimeError(f"{of} needs {name}")
+
+
+class EmbeddingAdapter:
+    """One text or a list of texts, as the caller has it; adds no prefix."""
+
+    def __init__(self, model: Embedder):
+        self.model = model
+
+    def __call__(self, value: str | list[str]) -> list:
+        if isinstance(value, str):
+            return self.model.embed([value])[0].tolist()
+        if isinstance(value, list) and all(isinstance(x, str) for x in value):
+            return [x.tolist() for x in self.model.embed(value)]
+        raise ValueError("a text or a list of texts is needed")
+
+
+def masked_mean(vectors: Column, mask: Column, longest: int = 512) -> Column:
+    """Mean of the token vectors (array of arrays) whose mask is not 0, of the first `longest`; null if none is."""
+    both = F.slice(F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: x["m"] != 0), 1, longest)
+    sums = F.aggregate(F.slice(both, 2, longest), F.transform(F.get(both, F.lit(0))["v"], lambda x: x.cast("double")), lambda s, x: F.zip_with(s, x["v"], lambda a, b: a + b.cast("double")))
+    return F.transform(sums, lambda x: x / F.size(both))
+
+
+def text_cosine(a: Column, b: Column, model: Embedder, prefixes: tuple[str, str] = ("", "")) -> Column:
+    """Cosine of two texts, each embedded with its own prefix; null if one has no vector."""
+    return cosine(embed(F.concat(F.lit(prefixes[0]), a), model), embed(F.concat(F.lit(prefixes[1]), b), model))
+
+
 class HashingEmbedder:
     """Signed feature hashing of tokens, L2-normalised."""
 

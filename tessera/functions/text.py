@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Prefixes by model family: (query, passage). Fixed values of the public models.
@@ -29,6 +30,25 @@ def drop_stop_words(tokens: Column, stop: list[str]) -> Column:
     return F.filter(tokens, lambda t: ~F.array_contains(F.array(*map(F.lit, stop)), t))
 
 
+def morphological(c: Column, analyse, keep: tuple[str, ...] = ("名詞", "動詞", "形容詞"), stop: tuple[str, ...] = ()) -> Column:
+    """Tokens by a plugged-in analyser: analyse(text) -> [(part of speech, normalised form)], called in Python workers on
+    ASCII-lowered text. Only the parts of speech to keep (all if there are none) and no stop words go on; null text has no token."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda t: [w for part, w in analyse(t) if (not keep or part in keep) and w not in stop] if t is not None else [])
+
+    return F.pandas_udf(run, ArrayType(StringType()))(ascii_lower(c))
+
+
+def load_plugin(name: str):
+    """The object that 'module:attribute' names: how a configuration plugs in an analyser, embedder or evaluator."""
+    from importlib import import_module
+
+    module, _, attribute = name.partition(":")
+    return getattr(import_module(module), attribute)
+
+
 def with_prefix(c: Column, family: str, mode: str | None) -> Column:
     """mode: query, passage or None."""
     if mode not in ("query", "passage", None):
@@ -124,7 +144,7 @@ def decode_base64(c: Column, least: int = 64) -> Column:
 def image_kind(data: Column) -> Column:
     """By the first bytes."""
     head = F.hex(F.substring(data, 1, 12))
-    return (F.when(head.rlike("^47494638(37|39)61"), "gif").when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("FFD8FF"), "jpg")
+    return (F.when(head.rlike("^47494638(37|39)61"), "gif").when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("FFD8"), "jpg")
             .when(head.startswith("424D"), "bmp").when(head.rlike("^(49492A00|4D4D002A)"), "tif").when(head.rlike("^52494646.{8}57454250"), "webp"))
 
 

@@ -26,6 +26,42 @@ def with_rounds(messages: DataFrame) -> DataFrame:
     return messages.withColumn("round_id", F.greatest(users - 1, F.lit(0)).cast("long"))
 
 
+def in_order(messages: DataFrame) -> DataFrame:
+    """Adds `place`, from 0, in each session: by round, then user, assistant, system, others, then turn."""
+    order = Window.partitionBy("conv_id").orderBy("round_id", role_order(F.col("role")), "turn")
+    return messages.withColumn("place", F.row_number().over(order) - 1)
+
+
+def count_rounds(messages: DataFrame) -> DataFrame:
+    """(conv_id, n_rounds)."""
+    return messages.groupBy("conv_id").agg(F.countDistinct("round_id").alias("n_rounds"))
+
+
+def newest_first(sessions: DataFrame, user: str, session: str, at: str) -> DataFrame:
+    """Adds `place`, from 0: each user's sessions, the last touched first."""
+    return sessions.withColumn("place", F.row_number().over(Window.partitionBy(user).orderBy(F.desc(at), session)) - 1)
+
+
+# Fixed values of the request format.
+MODES = ("RAG (Pro Mode)", "RAG (Standard)", "No RAG")
+
+
+def parse_requests(df: DataFrame, column: str = "payload", modes: tuple[str, ...] = MODES) -> DataFrame:
+    """Request bodies (JSON) to typed columns beside the others, and `valid`: ids as text, round_id as a whole number, messages
+    as a JSON array, rag_mode one of `modes` (the first if absent), use_reranker as truth, a blank title as null."""
+    body = F.try_parse_json(F.col(column))
+    get = lambda name, kind: F.try_variant_get(body, f"$.{name}", kind)
+    ids = ["user_msg_id", "system_msg_id", "assistant_msg_id"]
+    has_mode = F.try_variant_get(body, "$.rag_mode", "variant").isNotNull()
+    mode = F.when(has_mode, get("rag_mode", "string")).otherwise(F.lit(modes[0]))
+    out = df.select(*[c for c in df.columns if c != column], *[get(i, "string").alias(i) for i in ids], get("round_id", "int").alias("round_id"), get("messages", "array<variant>").alias("__m"), mode.alias("rag_mode"),
+                    F.coalesce(get("use_reranker", "boolean"), F.lit(False)).alias("use_reranker"), F.nullif(F.trim(get("database_title", "string")), F.lit("")).alias("database_title"))
+    valid = F.col("__m").isNotNull() & F.col("round_id").isNotNull() & F.coalesce(F.col("rag_mode").isin(*modes), F.lit(False))
+    for i in ids:
+        valid = valid & F.col(i).isNotNull()
+    return out.withColumn("n_messages", F.size("__m")).withColumn("valid", valid).drop("__m")
+
+
 def last_touched(sessions: DataFrame, messages: DataFrame, key: list[str], created: str, at: str) -> DataFrame:
     """Live sessions with their last live user message's time, or their creation's."""
     last = messages.groupBy(*key).agg(F.max(at).alias("__last"))
@@ -67,11 +103,16 @@ def soft_delete(messages: DataFrame, rounds: DataFrame, strict: bool = False) ->
     return hit.withColumn("is_deleted", F.col("is_deleted") | F.coalesce("__hit", F.lit(False))).drop("__hit")
 
 
-def patch_feedback(messages: DataFrame, patches: DataFrame) -> DataFrame:
-    """patches: (conv_id, feedback good or bad, one per session); assistant messages only."""
+def patch_feedback(messages: DataFrame, patches: DataFrame, strict: bool = False) -> DataFrame:
+    """patches: (conv_id, feedback good or bad, one per session); assistant messages only. strict: NotFound if a session has none."""
     bad = patches.where(~F.col("feedback").isin("good", "bad")).first()
     if bad:
         raise ValueError(f"feedback must be good or bad, not {bad['feedback']!r}")
+    again = patches.groupBy("conv_id").count().where("count > 1").first()
+    if again:
+        raise ValueError(f"several patches for session {again['conv_id']!r}")
+    if strict and not patches.join(messages.where("role = 'assistant'"), "conv_id", "left_anti").isEmpty():
+        raise NotFound("no assistant message to patch")
     old = F.col("feedback_old") if "feedback" in messages.columns else F.lit(None).cast("string")
     base = messages.withColumnRenamed("feedback", "feedback_old")
     return (base.join(patches.select("conv_id", F.col("feedback").alias("__new")), "conv_id", "left")
@@ -133,6 +174,9 @@ def finalize_round(messages: DataFrame, answers: DataFrame) -> DataFrame:
 
 def set_title(sessions: DataFrame, titles: DataFrame, untitled: str = "Untitled Session") -> DataFrame:
     """titles: (session_id, title); only where the name is still the default, 30 characters at most, never blank."""
+    again = titles.groupBy("session_id").count().where("count > 1").first()
+    if again:
+        raise ValueError(f"several titles for session {again['session_id']!r}")
     new = F.substring(F.nullif(F.trim("title"), F.lit("")), 1, 30)
     return sessions.join(titles, "session_id", "left").withColumn("session_name", F.when((F.col("session_name") == untitled) & new.isNotNull(), new).otherwise(F.col("session_name"))).drop("title")
 

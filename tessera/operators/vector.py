@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -97,11 +99,11 @@ class Cells:
         """vectors with their `cell`; null and zero vectors are in cell 0. Write it partitioned by cell, and a search reads only its cells."""
         shared = vectors.sparkSession.sparkContext.broadcast(self.centres)
 
-        def nearest(batches):
+        def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in batches:
                 yield pd.Series([int((np.array(v, float) @ shared.value.T).argmax()) if v is not None else 0 for v in s])
 
-        return vectors.withColumn("cell", F.pandas_udf(nearest, "int", F.PandasUDFType.SCALAR_ITER)("embedding"))
+        return vectors.withColumn("cell", F.pandas_udf(nearest, "int")("embedding"))
 
     def search(self, rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", probes: int = 8) -> DataFrame:
         """As the exact `search`, over the probed cells of `assigned` rows."""

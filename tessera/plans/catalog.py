@@ -482,3 +482,162 @@ def latest_user_message(spark, sf):
 @query("SELECT event_id, user_id, event_type FROM events WHERE json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') AND CAST(json_extract_string(props, '$.k') AS BIGINT) = 8")
 def json_props_filter(spark, sf):
     return read(spark, sf, "events").where(lexical.metadata_equals(F.col("props"), "k", 8)).select("event_id", "user_id", "event_type")
+
+
+@query(f"""WITH {ROUNDS} SELECT conv_id, turn, role, round_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY round_id,
+    CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 WHEN 'system' THEN 2 ELSE 99 END, turn) - 1 AS INTEGER) AS place FROM m""")
+def role_order(spark, sf):
+    return chat.in_order(_messages(spark, sf)).select("conv_id", "turn", "role", "round_id", "place")
+
+
+@query(f"WITH {ROUNDS} SELECT conv_id, count(DISTINCT round_id) AS n_rounds FROM m GROUP BY conv_id")
+def round_count(spark, sf):
+    return chat.count_rounds(_messages(spark, sf))
+
+
+@query("SELECT o_custkey AS user_id, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) - 1 AS INTEGER) AS place FROM orders")
+def sessions_newest_first(spark, sf):
+    return chat.newest_first(_sessions(spark, sf), "user_id", "o_orderkey", "o_orderdate").select("user_id", "o_orderkey", "place")
+
+
+@query("""SELECT event_id, CAST(event_id AS VARCHAR) AS user_msg_id, CASE WHEN user_id % 3 > 0 THEN CAST(user_id % 7 AS VARCHAR) END AS round_id, CASE user_id % 4 WHEN 0 THEN 'RAG (Pro Mode)' WHEN 1 THEN 'No RAG' ELSE event_type END AS rag_mode,
+    CASE WHEN user_id % 2 = 0 THEN NULL ELSE event_type END AS database_title, user_id % 3 > 0 AND user_id % 4 < 2 AS valid FROM events""")
+def request_validation(spark, sf):
+    e, u = read(spark, sf, "events"), F.col("user_id")
+    put = lambda name, value: F.concat(F.lit(f', "{name}": '), value)
+    quoted = F.concat(F.lit('"'), "event_type", F.lit('"'))
+    body = F.concat(F.lit('{"system_msg_id": "s", "assistant_msg_id": 5, "messages": [{}], "user_msg_id": '), F.col("event_id").cast("string"), put("round_id", F.when(u % 3 > 0, (u % 7).cast("string")).otherwise('"x"')),
+                    F.when(u % 4 == 0, "").otherwise(put("rag_mode", F.when(u % 4 == 1, F.lit('"No RAG"')).otherwise(quoted))), put("database_title", F.when(u % 2 == 0, '"  "').otherwise(quoted)), F.lit("}"))
+    return chat.parse_requests(e.select("event_id", body.alias("payload"))).select("event_id", "user_msg_id", F.col("round_id").cast("string").alias("round_id"), "rag_mode", "database_title", "valid")
+
+
+@query("""SELECT conv_id, turn, role, coalesce(is_deleted, false) AND round_id <> 1 AS is_deleted FROM (
+    SELECT conv_id, turn, role, round_id, conv_id % 2 = 0 AS is_deleted FROM (WITH """ + ROUNDS + """ SELECT * FROM m))
+    UNION ALL SELECT DISTINCT conv_id, 1000, 'assistant', false FROM conversations""")
+def round_finalize(spark, sf):
+    m = _messages(spark, sf).withColumn("is_deleted", F.col("conv_id") % 2 == 0).select("conv_id", "turn", "role", "round_id", "is_deleted")
+    answers = m.select("conv_id").distinct().select("conv_id", F.lit(1000).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.lit(1).cast("long").alias("round_id"), F.lit(False).alias("is_deleted"))
+    return chat.finalize_round(m, answers).select("conv_id", "turn", "role", "is_deleted")
+
+
+@query("""SELECT c_custkey AS session_id, CASE WHEN c_custkey % 2 = 0 AND item_id IS NOT NULL AND trim(text) <> '' THEN substring(trim(text), 1, 30) WHEN c_custkey % 2 = 0 THEN 'Untitled Session' ELSE c_name END AS session_name
+    FROM customer LEFT JOIN benchmark ON item_id = c_custkey""")
+def title_if_untitled(spark, sf):
+    sessions = read(spark, sf, "customer").select(F.col("c_custkey").alias("session_id"), F.when(F.col("c_custkey") % 2 == 0, "Untitled Session").otherwise(F.col("c_name")).alias("session_name"))
+    titles = read(spark, sf, "benchmark").select(F.col("item_id").alias("session_id"), F.col("text").alias("title"))
+    return chat.set_title(sessions, titles).select("session_id", "session_name")
+
+
+# -- text scalars -------------------------------------------------------------
+@query("SELECT item_id, 'query: ' || text AS prefixed, 'passage: ' || text AS passage, text AS stripped FROM benchmark")
+def prefixes(spark, sf):
+    t = F.col("text")
+    return read(spark, sf, "benchmark").select("item_id", text.with_prefix(t, "e5", "query").alias("prefixed"), text.with_prefix(t, "e5", "passage").alias("passage"),
+                                               text.without_prefix(text.with_prefix(t, "e5", "passage"), text.PREFIXES["e5"][1]).alias("stripped"))
+
+
+@query(r"""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '[\\/:*?"<>|\x00-\x1f]', '_', 'g'), '[ .]+$', ''), ''), 'attachment') AS safe_name,
+    replace(replace(url, '[', '\['), ']', '\]') AS label, replace(replace(url, '(', '%28'), ')', '%29') AS target,
+    regexp_extract(url, '([^/]+?)(\.[^./]*)?$', 1) AS stem, lower(regexp_extract(url, '\.([^./]+)$', 1)) AS suffix FROM pages""".replace("\\\\", "\\"))
+def names_and_links(spark, sf):
+    u = F.col("url")
+    return read(spark, sf, "pages").select("page_id", text.safe_name(u).alias("safe_name"), text.markdown_label(u).alias("label"), text.markdown_target(u).alias("target"), text.path_stem(u).alias("stem"), text.suffix(u).alias("suffix"))
+
+
+@query("""SELECT doc_id, CASE WHEN trim(lang) <> '' AND trim(source) <> '' THEN 'notes://s/' || trim(lang) || '/0/' || trim(source) END AS link, nullif(trim(source), '') AS source_or_null,
+    CASE WHEN doc_id % 2 = 0 THEN lang || ' / ' || source ELSE CAST(doc_id AS VARCHAR) END AS title FROM documents""")
+def links_and_titles(spark, sf):
+    d = read(spark, sf, "documents")
+    titled = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("").alias("category_1"), F.col("source").alias("category_2"), "lang", "source")
+    return titled.select(F.col("doc_id").cast("long").alias("doc_id"), text.link(F.lit("notes://s/"), F.col("lang"), F.col("source")).alias("link"), text.optional(F.col("source")).alias("source_or_null"), context.source_title(titled).alias("title"))
+
+
+@query("""SELECT item_id, text || chr(10) || chr(10) || '--- Optimized Queries ---' || chr(10) || 'q' || item_id || chr(10) || 'second' AS context_string FROM benchmark""")
+def append_queries(spark, sf):
+    return read(spark, sf, "benchmark").select("item_id", context.append_queries(F.col("text"), F.array(F.concat(F.lit("q"), "item_id"), F.lit("second"))).alias("context_string"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events")
+def iso_time(spark, sf):
+    return read(spark, sf, "events").select("event_id", text.iso(F.col("ts")).alias("iso"))
+
+
+@query("SELECT d.* FROM documents d WHERE doc_id IN (SELECT item_id * 3 FROM benchmark)")
+def lookup_by_ids(spark, sf):
+    from ..sources.readers import by_ids
+
+    return by_ids(read(spark, sf, "documents"), read(spark, sf, "benchmark").select((F.col("item_id") * 3).alias("doc_id")))
+
+
+# -- stored index -------------------------------------------------------------
+def _engine(spark):
+    import uuid
+
+    from ..operators.store import Engine
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    return Engine(spark, f"{base.rstrip('/')}/tessera-engine-{uuid.uuid4().hex}")
+
+
+def _rows(df: DataFrame, doc_id, body) -> DataFrame:
+    return df.select(doc_id.cast("string").alias("doc_id"), doc_id.cast("string").alias("source_id"), F.lit(0).alias("serial_number"), body.alias("text"), F.lit("{}").alias("metadata"))
+
+
+_NOW = "now AS (SELECT * FROM (SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT item_id * 7 FROM benchmark) UNION ALL SELECT item_id * 7, text FROM benchmark) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"
+
+
+@query(f"WITH {_NOW}, nowt AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM now), {index_sql('nowt')}, {QT}, {bm25_sql(10)} SELECT query_id, 'bm25' AS backend, doc_id, distance, rank FROM lex")
+def engine_search(spark, sf):
+    """Documents, then replacements, then deletions, each a segment; searched on the stored postings."""
+    engine = _engine(spark)
+    docs, items, id_ = read(spark, sf, "documents"), read(spark, sf, "benchmark"), F.col("doc_id")
+    engine.upsert(_rows(docs, id_, F.col("text")))
+    engine.upsert(_rows(items, F.col("item_id") * 7, F.col("text")))
+    engine.delete_by_ids(read(spark, sf, "labels").where("toxic = 1").select(id_.cast("string")))
+    return engine.search(asked(spark, sf), 10)
+
+
+def _vectors(spark, sf, deleted: bool):
+    engine, v = _engine(spark), read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), "embedding", F.concat(F.lit('{"label": '), "label", F.lit("}")).alias("metadata"))
+    engine.store.write(vectors=v)
+    # vectors of ids divisible by 3 take their neighbour's place
+    moved = v.select((F.col("doc_id").cast("long") + 1).alias("n"), "embedding", "metadata").where("n % 3 = 0")
+    engine.store.write(vectors=moved.join(v.select(F.col("doc_id").cast("long").alias("n")), "n", "left_semi").select(F.col("n").cast("string").alias("doc_id"), "embedding", "metadata"))
+    if deleted:
+        engine.delete_by_ids(v.where("doc_id % 5 = 0").select("doc_id"))
+    return engine
+
+
+def _vector_sql(where: str) -> str:
+    return f"""WITH v AS (SELECT e.vec_id, coalesce(p.embedding, e.embedding) AS embedding, coalesce(p.label, e.label) AS label FROM embeddings e LEFT JOIN embeddings p ON e.vec_id % 3 = 0 AND p.vec_id = e.vec_id - 1),
+    d AS (SELECT q.vec_id AS query_id, CAST(v.vec_id AS VARCHAR) AS doc_id, round(1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM v, embeddings q WHERE q.vec_id % 20 = 0 AND {where})
+    SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS INTEGER) AS rank FROM d) WHERE rank <= 10"""
+
+
+@query(_vector_sql("v.label = 3"))
+def vector_upsert(spark, sf):
+    return _vectors(spark, sf, False).search_vectors(_vector_queries(spark, sf), 10, where={"label": 3})
+
+
+@query(_vector_sql("v.vec_id % 5 <> 0"))
+def vector_delete(spark, sf):
+    return _vectors(spark, sf, True).search_vectors(_vector_queries(spark, sf), 10)
+
+
+@query("SELECT CAST(10 AS INTEGER) AS k, true AS recall_reached")
+def ann_recall(spark, sf):
+    """The inverted-file index against the exact search: 0.9 of its hits at least."""
+    rows = read(spark, sf, "embeddings")
+    cells = vector.Cells(rows)
+    # these vectors have no cells to find: only probing most of them reaches the recall
+    found = cells.search(cells.assigned(rows), _vector_queries(spark, sf), 10, probes=24)
+    share = vector.recall(found, vector.search(rows, _vector_queries(spark, sf), 10))
+    return spark.range(1).select(F.lit(10).alias("k"), F.lit(share >= 0.9).alias("recall_reached"))
+
+
+@query("""SELECT label, vec_id, CAST(k AS INTEGER) AS dim, round((embedding[k + 1]::DOUBLE + 0.5 * embedding[64 - k]::DOUBLE * 2) / 2, 6) AS mean FROM (SELECT *, unnest(range(0, 64)) AS k FROM embeddings)""")
+def masked_mean_pool(spark, sf):
+    """Of three token vectors the second is masked; the third is the first in reverse."""
+    e = F.col("embedding")
+    pooled = models.masked_mean(F.array(e, F.transform(e, lambda x: x * 100), F.reverse(e)), F.array(F.lit(1), F.lit(0), F.lit(1)))
+    return read(spark, sf, "embeddings").select("label", "vec_id", F.posexplode(pooled).alias("dim", "mean")).withColumn("mean", F.round("mean", 6))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from html.parser import HTMLParser
 from io import BytesIO
@@ -17,7 +18,7 @@ from ..errors import FileError
 from ..functions.text import path_stem, suffix
 
 UNITS = "source_id string, file_path string, unit_index int, page_number int, text string"
-KINDS = ("pdf", "txt", "html", "docx", "pptx")
+LOG = logging.getLogger(__name__)
 
 
 def decode(raw: bytes) -> str:
@@ -85,7 +86,12 @@ def pptx_units(raw: bytes) -> list[tuple[int, str]]:
     with ZipFile(BytesIO(raw)) as z:
         slides = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
         for k, (_, name) in enumerate(slides):
-            shapes = [s for s in ElementTree.fromstring(z.read(name)).iter() if s.tag.rpartition("}")[2] == "txBody"]
+            try:
+                slide = ElementTree.fromstring(z.read(name))
+            except ElementTree.ParseError as e:  # one bad slide is left out, the rest goes on
+                LOG.warning("%s left out: %s", name, e)
+                continue
+            shapes = [s for s in slide.iter() if s.tag.rpartition("}")[2] == "txBody"]
             text = "\n".join("\n".join(_texts(p, "t") for p in s if p.tag.rpartition("}")[2] == "p") for s in shapes)
             if text.strip():
                 out.append((k, text))
@@ -106,34 +112,52 @@ def pdf_units(raw: bytes) -> list[tuple[int, str]]:
         return [(k, p.get_text("text")) for k, p in enumerate(doc)]
 
 
-def units(kind: str, raw: bytes) -> list[tuple[int, str]]:
-    if kind == "txt":
-        return [(0, decode(raw))]
-    if kind == "html":
-        return [(0, html_to_text(decode(raw)))]
-    if kind in KINDS:
-        try:
-            return {"docx": docx_units, "pptx": pptx_units, "pdf": pdf_units}[kind](raw)
-        except FileError:
-            raise
-        except Exception as e:
-            raise FileError(f"not a readable {kind} file: {e}") from e
-    raise ValueError(f"Unsupported file type: .{kind}")
+READERS = {"txt": lambda raw: [(0, decode(raw))], "html": lambda raw: [(0, html_to_text(decode(raw)))], "docx": docx_units, "pptx": pptx_units, "pdf": pdf_units}
+
 
+def units(kind: str, raw: bytes, readers: dict | None = None) -> list[tuple[int, str]]:
+    """(number, text) of a file's units; FileError if it cannot be read."""
+    reader = (readers or READERS).get(kind)
+    if reader is None:
+        raise ValueError(f"Unsupported file type: .{kind}")
+    try:
+        return reader(raw)
+    except FileError:
+        raise
+    except Exception as e:
+        raise FileError(f"not a readable {kind} file: {e}") from e
 
-def read_files(spark: SparkSession, path: str | list[str], start_page: int = 1) -> DataFrame:
-    """Units of all files; the suffix, in any case, picks the reader. An unknown suffix fails before any file is read."""
+
+def _read(spark: SparkSession, path: str | list[str], start_page: int, readers: dict | None) -> DataFrame:
+    known = readers or READERS
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    other = files.where(~suffix(F.col("path")).isin(*KINDS)).select("path").first()
+    other = files.where(~suffix(F.col("path")).isin(*known)).select("path").first()
     if other:
         raise ValueError(f"Unsupported file type: {other['path']}")
 
+    def rows(sid, path, kind, raw):
+        try:
+            return [(sid, path, n, n + start_page, text, None) for n, text in units(kind, bytes(raw), known)]
+        except FileError as e:
+            return [(sid, path, None, None, None, str(e))]
+
     def run(batches):
         for b in batches:
-            rows = [(sid, path, n, n + start_page, text) for sid, path, kind, raw in zip(b.source_id, b.path, b.kind, b.content) for n, text in units(kind, bytes(raw))]
-            yield pd.DataFrame(rows, columns=["source_id", "file_path", "unit_index", "page_number", "text"])
+            out = [r for x in zip(b.source_id, b.path, b.kind, b.content) for r in rows(*x)]
+            yield pd.DataFrame(out, columns=["source_id", "file_path", "unit_index", "page_number", "text", "error"]).astype({"unit_index": "Int32", "page_number": "Int32"})
+
+    return files.select(path_stem(F.col("path")).alias("source_id"), "path", suffix(F.col("path")).alias("kind"), "content").mapInPandas(run, f"{UNITS}, error string")
+
+
+def read_files(spark: SparkSession, path: str | list[str], start_page: int = 1, readers: dict | None = None) -> DataFrame:
+    """Units of all files; the suffix, in any case, picks the reader (`readers`: suffix to function, READERS if none). An
+    unknown suffix fails before any file is read; a file that cannot be read has no units, and `file_errors` names it."""
+    return _read(spark, path, start_page, readers).where("error is null").drop("error")
+
 
-    return files.select(path_stem(F.col("path")).alias("source_id"), "path", suffix(F.col("path")).alias("kind"), "content").mapInPandas(run, UNITS)
+def file_errors(spark: SparkSession, path: str | list[str], readers: dict | None = None) -> DataFrame:
+    """(file_path, error) of the files that cannot be read."""
+    return _read(spark, path, 1, readers).where("error is not null").select("file_path", "error")
 
 
 def read_text(spark: SparkSession, path: str, start_page: int = 1) -> DataFrame:

@@ -88,7 +88,7 @@ def test_vectors_and_links(spark):
 
 def test_readers():
     assert readers.html_to_text("<html><body><h1>Title</h1><script>x</script><p>Some &amp; paragraph.</p></body></html>") == "Title Some & paragraph."
-    xml = '<database replicaid="R" title="T"><document form="F"><noteinfo unid="U" noteid="1"/><item name="Subject"><text>S</text></item><item name="Body"><richtext><par>a<table><tablerow><tablecell columnspan="2">x|y</tablecell></tablerow></table></par></richtext></item></document></database>'
+    xml = '<database replicaid="R" title="T"><document form="F"><noteinfo unid="U" noteid="1"/><item name="Subject"><text>S</text></item><item name="Body"><richtext><par>a</par><table><tablerow><tablecell columnspan="2">x|y</tablecell></tablerow></table></richtext></item></document></database>'
     d = notes_xml.parse(xml)[0]
     assert d["doc_id"] == "R:U" and d["metadata"]["subject"] == "S" and "| x\\|y | x\\|y |" in d["body_text"]
 
