@@ -6,8 +6,8 @@ is the first of which the model knows any. A text's score is the sum over its wo
 
 The model is a classifier, fitted on at most `sample` labelled rows (chosen by a hash
 of the id; documented bound) and keeps at most `most_words` words and `most_grams`
-n-grams, the most frequent: its size, and what is broadcast, is bounded by those
-parameters. Every row is then predicted over its whole text.
+n-grams, the most frequent and those alone that the sample holds `least` times: its size,
+and what is broadcast, is bounded by those parameters. Every row is then predicted over its whole text.
 
 `und` with score 0 for a null text, a text without a letter, or an untrained model.
 Null ids count as not held out, and are not learned from. Ties go to the language
@@ -39,7 +39,7 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[k : k + n] for k in range(len(padded) - n + 1)]
 
 
-def learn(docs: DataFrame, sample: int = 20_000, most_words: int = 150_000, most_grams: int = 60_000, longest: int = 5) -> dict:
+def learn(docs: DataFrame, sample: int = 20_000, most_words: int = 150_000, most_grams: int = 60_000, longest: int = 5, least: int = 3) -> dict:
     """Model from the rows' text and lang: {'langs', 'prior', 'words': {w: counts}, 'grams': {g: counts}}."""
     rows = docs.where("text is not null and lang is not null and doc_id is not null")
     total = rows.count()
@@ -80,8 +80,8 @@ def learn(docs: DataFrame, sample: int = 20_000, most_words: int = 150_000, most
     counts = words.unionByName(add(words.where("kind = 0").select("lang", "gram", "n").mapInArrow(cut, COUNTS)))
     counts = table(counts)
     each = counts.groupBy("kind", "gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    words = each.where("kind = 0 and all >= 3").orderBy(F.desc("all"), "gram").limit(most_words)
-    parts = each.where("kind between 1 and 5 and all >= 3").orderBy(F.desc("all"), "kind", "gram").limit(most_grams)
+    words = each.where(f"kind = 0 and all >= {least}").orderBy(F.desc("all"), "gram").limit(most_words)
+    parts = each.where(f"kind between 1 and 5 and all >= {least}").orderBy(F.desc("all"), "kind", "gram").limit(most_grams)
     got = words.union(parts).union(each.where("kind = 6")).select("kind", "gram", "by").collect()
     prior = next((r["by"] for r in got if r["kind"] == 6), {})
     langs = sorted(prior)

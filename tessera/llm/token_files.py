@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import MB, arrow_schema, batch, id_array, ids_of, shared_dir, table, tune
 from .storage import open_file, write_file
 
+#: Shards grow beyond `shard_bytes` rather than in number, so a row for each can be broadcast.
+MOST_SHARDS = 200_000
 MAGIC = b"TOKSHD01"
 HEAD = "<8s32sqq"
 HEAD_SIZE = struct.calcsize(HEAD)
@@ -47,7 +49,7 @@ class CachedTokenizer:
     library's whole pipeline, in units between single spaces: white space ends every piece.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -134,7 +136,8 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | N
     folder, end = folder or shared_dir(spark), np.array([end_id], "<u4").tobytes()
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     size = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
-    shards = max(1, -(-int(size["b"] or 0) // shard_bytes))
+    total = int(size["b"] or 0)
+    shards = max(1, -(-total // max(shard_bytes, total // MOST_SHARDS)))
     share = min(1.0, sample / max(size["n"], 1))
     picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
     raw_schema = arrow_schema("ids binary")
@@ -200,9 +203,9 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     files = manifest.select("shard", "file")
     n = max(1, manifest.count())
     rows = files.repartition(n, "shard").mapInArrow(get, ROWS)
-    # one row per shard: ids in the shards before it
+    # one row per shard, MOST_SHARDS at most: ids in the shards before it
     starts = manifest.select("shard", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return rows.join(starts, "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(F.broadcast(starts), "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def write_and_read(docs: DataFrame, tokenizer_path: str, **how) -> DataFrame:

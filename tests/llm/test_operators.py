@@ -42,9 +42,21 @@ def test_exact(spark, docs, empty):
     assert twice.where("kept").count() == len({t for _, t in PAIRS})
 
 
+def plain_fingerprint(text):
+    """Bit by bit, from the definition."""
+    import re
+
+    import xxhash
+
+    words = re.findall(rb"[^\x20\x09-\x0D]+", bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode()))
+    pieces = [b" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []
+    hs = [xxhash.xxh64(p, seed=42).intdigest() for p in pieces]
+    return sum(1 << bit for bit in range(64) if sum(h >> bit & 1 for h in hs) * 2 > len(hs)) if hs else 0
+
+
 def test_simhash(docs, empty):
     got = by_id(simhash.near_groups(docs))
-    prints = {i: simhash.fingerprint(t.encode()) for i, t in PAIRS}
+    prints = {i: plain_fingerprint(t) for i, t in PAIRS}
     group = {i: i for i in prints}
     for _ in prints:
         for i in prints:
@@ -317,3 +329,45 @@ def test_sums_and_match():
             if len(part) / len(query) >= 0.3:
                 want = max(want, (decontaminate.lcs(query, part) / len(query), decontaminate.lcs(tail, part) / len(tail)))
         assert q.match(region, held, 0.3) == want
+
+
+def test_null_ids_and_repeats(spark):
+    """Every operator over documents: a row for each row, whatever ids are null or repeated; null ids come back null."""
+    rows = [(None, PASSAGE), (None, PASSAGE), (None, "other words here"), (5, PASSAGE + " x"), (5, PASSAGE + " x"), (5, "another text"), (7, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    path, merges = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.tiktoken")
+    for f in (lambda d: token_files.write_and_read(d, path), substring_dedup.remove_repeats, simhash.near_groups, lambda d: bpe.encode_and_decode(d, merges, P.PATTERN),
+              lambda d: lm.score(d, bits=9, depth=4), language_id.identify, exact_dedup.exact_groups):
+        got = f(docs).collect()
+        assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
+    # null ids own nothing and lose what others own
+    removed = sorted((r["doc_id"] or 99, r["n_removed"]) for r in substring_dedup.remove_repeats(docs).collect() if r["n_words"] > 12)
+    assert removed == [(5, 0), (5, 0), (99, 15), (99, 15)]
+    kept = [r for r in exact_dedup.exact_groups(docs).collect() if r["kept"]]
+    assert len(kept) == 5 and {r["keep_id"] for r in kept} == {None, 5, 7}
+    items = spark.createDataFrame([(1, PASSAGE), (1, PASSAGE), (None, None)], "item_id long, text string")
+    assert sorted((r["doc_id"] or 99, r["item_id"]) for r in decontaminate.leaks(docs, items).collect()) == [(5, 1), (99, 1)]
+
+
+def test_language_held_out(spark):
+    """Held-out accuracy over whole documents, and unknown words told by their n-grams."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null")
+    got = docs.select("doc_id", "lang").join(language_id.identify(docs), "doc_id").where("held_out and lang_pred <> 'und'").collect()
+    assert len(got) > 100 and sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got)
+    model = {"langs": ["de", "en"], "prior": [1, 1], "words": (["haus"], np.array([[9, 0]])), "grams": (["ing", " t", "u"], np.array([[0, 9], [1, 8], [5, 1]])), "longest": 5}
+    s = language_id.Scorer(model)
+    assert s.predict("Haus")[0] == "de" and s.predict("thinging")[0] == "en" and s.predict("qqu")[0] == "de" and s.predict("12")[0] == "und"
+
+
+def test_long_pieces():
+    """One matrix over many rows gives what the library gives."""
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng, mine = np.random.default_rng(6), bpe.ByteBPE(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    for n in (257, 300, 1000, 2500):
+        for letters in ("a", "ab", "etaoinshrdlu", "thequickbrownfoxjumpsoverthelazydog"):
+            piece = "".join(rng.choice(list(letters), n))
+            for width in (2, 7, 256):
+                assert mine.merge_long(piece.encode(), width) == enc.encode_ordinary(piece)
