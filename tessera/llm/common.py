@@ -130,6 +130,12 @@ def text_bytes(df: DataFrame, col: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(F.col(col)))).first()[0] or 0)
 
 
+def sampled(rows: DataFrame, key: str, share, seed: int) -> DataFrame:
+    """The rows whose hash of `key` falls into this share (a number or column), in steps fine enough for a few of 10^12 rows."""
+    steps = 1 << 50
+    return rows.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(steps)) < share * F.lit(float(steps)))
+
+
 def batch(schema: pa.Schema, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
 

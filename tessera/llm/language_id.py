@@ -4,8 +4,10 @@ A word that the model knows scores its per-language log frequency; an unseen wor
 falls back to its character 5-grams, then 4-, 3-, 2- and 1-grams, whichever length
 is the first of which the model knows any. A text's score is the sum over its words.
 
-The model is a classifier, fitted on at most `sample` labelled rows (chosen by a hash
-of the id; documented bound) and keeps at most `most_words` words and `most_grams`
+The model is a classifier, fitted on about `sample` labelled rows at most (chosen by a hash
+of the id; documented bound): languages with few rows are learned whole, the others share
+the rest evenly, so none is too rare to be learned; of more than `most_langs` labels those
+with most rows are learned. It keeps at most `most_words` words and `most_grams`
 n-grams, the most frequent and those alone that the sample holds `least` times: its size,
 and what is broadcast, is bounded by those parameters. Every row is then predicted over its whole text.
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import arrow_schema, batch, held_out, relieve, table, tune
+from .common import arrow_schema, batch, held_out, relieve, sampled, table, tune
 
 WORD = re.compile(r"[^\W\d_]+")
 COUNTS = "lang string, kind int, gram string, n long"
@@ -39,12 +41,22 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[k : k + n] for k in range(len(padded) - n + 1)]
 
 
-def learn(docs: DataFrame, sample: int = 20_000, most_words: int = 150_000, most_grams: int = 60_000, longest: int = 5, least: int = 3) -> dict:
-    """Model from the rows' text and lang: {'langs', 'prior', 'words': {w: counts}, 'grams': {g: counts}}."""
-    rows = docs.where("text is not null and lang is not null and doc_id is not null")
-    total = rows.count()
-    share = min(1.0, sample / max(total, 1))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
+def shares(totals: dict[str, int], sample: int) -> dict[str, float]:
+    """Share of each language's rows to learn from: evenly many of each, and what small languages leave goes to the others."""
+    out, left = {}, sample
+    for k, lang in enumerate(sorted(totals, key=lambda x: (totals[x], x))):
+        take = min(totals[lang], max(1, left // (len(totals) - k)))
+        out[lang], left = take / totals[lang], left - take
+    return out
+
+
+def learn(docs: DataFrame, sample: int = 20_000, most_words: int = 150_000, most_grams: int = 60_000, longest: int = 5, least: int = 3, most_langs: int = 1_000) -> dict:
+    """Model from the rows' text and lang: {'langs', 'prior', 'words': {w: counts}, 'grams': {g: counts}}; prior counts all labelled rows."""
+    rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null and doc_id is not null")
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
+    parts = shares(totals, sample)
+    limits = docs.sparkSession.createDataFrame(list(parts.items()), "lang string, share double")
+    picked = sampled(rows.join(F.broadcast(limits), "lang"), "doc_id", F.col("share"), 7)
     schema = arrow_schema(COUNTS)
 
     def count(batches):
@@ -83,14 +95,13 @@ def learn(docs: DataFrame, sample: int = 20_000, most_words: int = 150_000, most
     words = each.where(f"kind = 0 and all >= {least}").orderBy(F.desc("all"), "gram").limit(most_words)
     parts = each.where(f"kind between 1 and 5 and all >= {least}").orderBy(F.desc("all"), "kind", "gram").limit(most_grams)
     got = words.union(parts).union(each.where("kind = 6")).select("kind", "gram", "by").collect()
-    prior = next((r["by"] for r in got if r["kind"] == 6), {})
-    langs = sorted(prior)
+    langs = sorted(next((r["by"] for r in got if r["kind"] == 6), {}))
 
     def side(kinds) -> tuple[list[str], np.ndarray]:
         rows = [r for r in got if r["kind"] in kinds]
         return [r["gram"] for r in rows], np.array([[r["by"].get(x, 0) for x in langs] for r in rows], np.int64).reshape(len(rows), len(langs))
 
-    return {"langs": langs, "prior": [prior[x] for x in langs], "words": side({0}), "grams": side(range(1, 6)), "longest": longest}
+    return {"langs": langs, "prior": [totals[x] for x in langs], "words": side({0}), "grams": side(range(1, 6)), "longest": longest}
 
 
 class Scorer(dict):

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MB, arrow_schema, batch, id_array, ids_of, shared_dir, table, tune
+from .common import MB, arrow_schema, batch, id_array, ids_of, sampled, shared_dir, table, tune
 from .storage import open_file, write_file
 
 #: Shards grow beyond `shard_bytes` rather than in number, so a row for each can be broadcast.
@@ -139,7 +139,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | N
     total = int(size["b"] or 0)
     shards = max(1, -(-total // max(shard_bytes, total // MOST_SHARDS)))
     share = min(1.0, sample / max(size["n"], 1))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
+    picked = sampled(rows, "doc_id", share, 11) if share < 1 else rows
     raw_schema = arrow_schema("ids binary")
 
     def ids_only(batches):

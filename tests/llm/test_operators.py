@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from tessera.llm import bpe, decontaminate, exact_dedup, language_id, lm, shards, simhash, substring_dedup, token_files, warc
+from tessera.llm import bpe, common, decontaminate, exact_dedup, language_id, lm, shards, simhash, substring_dedup, token_files, warc
 
 PASSAGE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
 TEXTS = [PASSAGE, "Intro words " + PASSAGE + " and a tail", "", None, "x", " ", "x", "à 你好 <|endoftext|> 's  don't\n\n\tÉté", "abc " * 3000, PASSAGE + " more", "z" * 700 + "   12 34", "the of and in " * 5]
@@ -359,6 +359,18 @@ def test_language_held_out(spark):
     assert s.predict("Haus")[0] == "de" and s.predict("thinging")[0] == "en" and s.predict("qqu")[0] == "de" and s.predict("12")[0] == "und"
 
 
+def test_samples(spark):
+    """A rare language is learned whole beside a frequent one; shares far under a millionth still find rows."""
+    rows = spark.range(3000).selectExpr("id as doc_id", "if(id % 300 = 1, 'rara avis', 'common words') as text", "if(id % 300 = 1, 'xx', 'en') as lang")
+    model = language_id.learn(rows, sample=100, least=1)
+    assert model["langs"] == ["en", "xx"] and model["prior"] == [2990, 10]
+    words, counts = model["words"]
+    assert counts[words.index("avis")].tolist() == [0, 10] and 50 <= counts[words.index("common")][0] <= 140
+    assert language_id.shares({"a": 3, "b": 1000, "c": 1000}, 103) == {"a": 1.0, "b": 0.05, "c": 0.05}
+    found = common.sampled(spark.range(20_000_000), "id", 4e-7, 7).count()
+    assert 0 < found < 30
+
+
 def test_long_pieces():
     """One matrix over many rows gives what the library gives."""
     import tiktoken
