@@ -84,7 +84,7 @@ class Cells:
     def __init__(self, vectors: DataFrame, n: int = 32, sample: int = 10_000, rounds: int = 8, seed: int = 1):
         rows = vectors.where("embedding is not null").select("embedding")
         share = min(1.0, sample / max(1, rows.count()))
-        x = np.array([r[0] for r in rows.where(F.pmod(F.xxhash64("embedding"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * sample).collect()], float)
+        x = np.array([r[0] for r in rows.where(F.pmod(F.xxhash64("embedding"), F.lit(1 << 50)) < share * float(1 << 50)).limit(2 * sample).collect()], float)
         x = x[np.linalg.norm(x, axis=1) > 0] if len(x) else x
         x = x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else np.zeros((1, 1))
         self.centres = x[np.random.default_rng(seed).permutation(len(x))[:n]]
