@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, language_id, lm, shards, simhash, spelling, substring_dedup, token_files, warc, yinyang
+from . import bpe, decontaminate, exact_dedup, language_id, lm, shards, simhash, spelling, substring_dedup, suffix_dedup, token_files, warc, yinyang
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op12_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yinyang.clustered(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +90,7 @@ def _lloyd_sql(k: int = 16, rounds: int = 3) -> str:
         FROM a{rounds} a JOIN c{rounds} c ON c.c = a.c"""
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_substring_dedup, op3_decontaminate, op4_simhash, op5_byte_bpe, op6_lm_score, op7_language_id, op8_compaction, op9_exact_dedup, op10_warc, op11_spelling_variants, op12_yinyang, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_substring_dedup, op3_decontaminate, op4_simhash, op5_byte_bpe, op6_lm_score, op7_language_id, op8_compaction, op9_exact_dedup, op10_warc, op11_spelling_variants, op12_yinyang, op13_suffix_dedup, pipeline)}
 
 ORACLE_SQL = {
     "op2_substring_dedup": r"""
@@ -125,6 +129,16 @@ ORACLE_SQL = {
         walk AS (SELECT word, word AS root, form AS next FROM forms UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN forms f ON f.word = walk.next)
         SELECT f.word, f.form, walk.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM forms f JOIN walk ON walk.word = f.word AND walk.next IS NULL""",
     "op12_yinyang": _lloyd_sql(),
+    "op13_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+        w AS (SELECT doc_id, k, substr(x, 2 * k + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS k FROM d)),
+        o AS (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY s) AS owner FROM w),
+        l AS (SELECT doc_id, k, k - lag(k, 1, -100) OVER (PARTITION BY doc_id ORDER BY k) > 50 AS new FROM o WHERE owner < doc_id),
+        r AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS b FROM (SELECT doc_id, k, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM l) GROUP BY doc_id, run),
+        g AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS p, a AS q, b - a AS gone, 1 AS span FROM r
+              UNION ALL SELECT d.doc_id, coalesce(max(b), 0), any_value(d.n), 0, 0 FROM d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id)
+        SELECT d.doc_id, d.n AS n_bytes, CAST(sum(gone) AS BIGINT) AS n_removed, CAST(sum(span) AS BIGINT) AS n_spans, sha256(unhex(string_agg(substr(d.x, 2 * g.p + 1, 2 * (g.q - g.p)), '' ORDER BY g.p))) AS kept_sha256
+        FROM d JOIN g ON g.doc_id = d.doc_id GROUP BY d.doc_id, d.n""",
     "op10_warc": """
         WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM p)
