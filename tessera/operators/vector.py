@@ -15,20 +15,46 @@ from .lexical import top
 BLOCK = 1024
 
 
+def kind_of(field) -> str:
+    """Ids stay texts, or are longs."""
+    return "string" if field.dataType.simpleString() == "string" else "long"
+
+
+def asked_blocks(queries: DataFrame, block: int = BLOCK):
+    """(ids, unit vectors) of the queries (query_id, embedding), `block` at a time; null and zero vectors ask for nothing. At least one pair."""
+    rows, held, none = queries.select(F.col("query_id").cast(kind_of(queries.schema["query_id"])), "embedding").where("embedding is not null"), [], True
+
+    def packed(held: list):
+        q = np.array([r[1] for r in held], float).reshape(len(held), -1)
+        live = np.linalg.norm(q, axis=1) > 0
+        return np.array([r[0] for r in held], dtype=object)[live], q[live] / np.linalg.norm(q[live], axis=1, keepdims=True)
+
+    for r in rows.toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            yield packed(held)
+            held, none = [], False
+    if held or none:
+        yield packed(held)
+
+
+def found_rows(query_kind: str, queries, kind: str, ids, distance, id_col: str, more: dict | None = None) -> pa.RecordBatch:
+    types = {"string": pa.string(), "long": pa.int64()}
+    columns = {"query_id": pa.array(list(queries), types[query_kind]), id_col: pa.array(list(ids), types[kind]), "distance": pa.array(distance, pa.float64())}
+    for name, v in (more or {}).items():
+        columns[name] = pa.array(v, pa.int32()) if name != "cost" else pa.array(v, pa.float64())
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", where=None, block: int = BLOCK) -> DataFrame:
-    """(query_id, vec_id, distance, rank); queries: (query_id, embedding). where: filter on the rows, before the search.
+    """(query_id, vec_id, distance, rank); queries: (query_id, embedding), ids texts or numbers. where: filter on the rows, before the search.
 
     Each task keeps k rows per query and batch, so what is shuffled does not depend on the table's
     width. Queries are taken in blocks of bounded size. Zero and null vectors are found by no query.
     """
-    rows = vectors if where is None else vectors.where(where)
-    out, held = None, []
-    for r in queries.select(F.col("query_id").cast("long"), "embedding").where("embedding is not null").toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            out, held = _more(out, _block(rows, held, k, id_col)), []
-    if held or out is None:
-        out = _more(out, _block(rows, held, k, id_col))
+    rows, out = vectors if where is None else vectors.where(where), None
+    for ids, q in asked_blocks(queries, block):
+        out = _more(out, _block(rows, ids, q, None, k, id_col, kind_of(queries.schema["query_id"])))
     return top(out, k, F.col("distance"), F.col(id_col))
 
 
@@ -36,14 +62,10 @@ def _more(out, part):
     return part if out is None else out.unionByName(part)
 
 
-def _block(rows: DataFrame, held: list, k: int, id_col: str) -> DataFrame:
-    ids = np.array([r[0] for r in held], np.int64)
-    q = np.array([r[1] for r in held], float).reshape(len(held), -1)
-    norms = np.linalg.norm(q, axis=1)
-    probes = [set(r[2]) for r in held] if held and len(held[0]) > 2 else None
-    live = np.flatnonzero(norms > 0)
-    shared = rows.sparkSession.sparkContext.broadcast((ids[live], q[live] / norms[live, None], [probes[i] for i in live] if probes else None))
-    names, kind = ["query_id", id_col, "distance"], "string" if rows.schema[id_col].dataType.simpleString() == "string" else "long"
+def _block(rows: DataFrame, ids: np.ndarray, q: np.ndarray, probes: list[set] | None, k: int, id_col: str, query_kind: str) -> DataFrame:
+    """Hits of unit queries q; probes: the cells that each looks into."""
+    shared = rows.sparkSession.sparkContext.broadcast((ids, q, probes))
+    kind = kind_of(rows.schema[id_col])
 
     def run(batches):
         ids, q, probes = shared.value
@@ -56,6 +78,7 @@ def _block(rows: DataFrame, held: list, k: int, id_col: str) -> DataFrame:
             n = np.linalg.norm(v, axis=1)
             cells = b.column(2).to_numpy(zero_copy_only=False)[n > 0] if probes else np.zeros(int((n > 0).sum()), int)
             of, v = of[n > 0], v[n > 0] / n[n > 0, None]
+            asking, near_ids, near_d = [], [], []
             for c in np.unique(cells).tolist():
                 asked = np.array([i for i in range(len(ids)) if probes is None or c in probes[i]], int)
                 mine = cells == c
@@ -64,10 +87,13 @@ def _block(rows: DataFrame, held: list, k: int, id_col: str) -> DataFrame:
                 d, near = np.round(1 - q[asked] @ v[mine].T, 6) + 0.0, of[mine]
                 for i, row in zip(asked.tolist(), d):
                     best = np.lexsort((near, row))[:k] if len(row) <= 4 * k else _first(row, near, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[i])), pa.array(near[best].tolist(), pa.string() if kind == "string" else pa.int64()), pa.array(row[best])], names=names)
+                    asking += [ids[i]] * len(best)
+                    near_ids += near[best].tolist()
+                    near_d += row[best].tolist()
+            yield found_rows(query_kind, asking, kind, near_ids, near_d, id_col)
 
     columns = [F.col(id_col).cast(kind), "embedding", *(["cell"] if probes else [])]
-    return rows.where(F.col("embedding").isNotNull()).select(*columns).mapInArrow(run, f"query_id long, {id_col} {kind}, distance double")
+    return rows.where(F.col("embedding").isNotNull()).select(*columns).mapInArrow(run, f"query_id {query_kind}, {id_col} {kind}, distance double")
 
 
 def _first(row: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
@@ -101,21 +127,20 @@ class Cells:
 
         def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in batches:
-                yield pd.Series([int((np.array(v, float) @ shared.value.T).argmax()) if v is not None else 0 for v in s])
+                there = s.notna().to_numpy()
+                cell = np.zeros(len(s), np.int32)
+                if there.any():
+                    cell[there] = (np.stack(s[there].to_list()).astype(float) @ shared.value.T).argmax(axis=1)
+                yield pd.Series(cell)
 
         return vectors.withColumn("cell", F.pandas_udf(nearest, "int")("embedding"))
 
     def search(self, rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", probes: int = 8) -> DataFrame:
         """As the exact `search`, over the probed cells of `assigned` rows."""
-        held = []
-        for r in queries.select(F.col("query_id").cast("long"), "embedding").where("embedding is not null").toLocalIterator():
-            near = np.argsort(-(np.array(r[1], float) @ self.centres.T))[:probes].tolist()
-            held.append((r[0], r[1], near))
         out = None
-        for a in range(0, max(1, len(held)), BLOCK):
-            part = held[a : a + BLOCK]
-            cells = sorted({c for _, _, near in part for c in near})
-            out = _more(out, _block(rows.where(F.col("cell").isin(cells)), part, k, id_col))
+        for ids, q in asked_blocks(queries):
+            near = [set(x) for x in np.argsort(-(q @ self.centres.T), axis=1)[:, :probes].tolist()]
+            out = _more(out, _block(rows.where(F.col("cell").isin(sorted(set().union(*near)))), ids, q, near, k, id_col, kind_of(queries.schema["query_id"])))
         return top(out, k, F.col("distance"), F.col(id_col))
 
 

@@ -570,13 +570,11 @@ def lookup_by_ids(spark, sf):
 
 
 # -- stored index -------------------------------------------------------------
-def _engine(spark):
-    import uuid
-
+def _engine(spark, **how):
+    from ..operators.staging import shared_folder
     from ..operators.store import Engine
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return Engine(spark, f"{base.rstrip('/')}/tessera-engine-{uuid.uuid4().hex}")
+    return Engine(spark, shared_folder(spark, "engine-"), **how)
 
 
 def _rows(df: DataFrame, doc_id, body) -> DataFrame:
@@ -624,15 +622,74 @@ def vector_delete(spark, sf):
     return _vectors(spark, sf, True).search_vectors(_vector_queries(spark, sf), 10)
 
 
-@query("SELECT CAST(10 AS INTEGER) AS k, true AS recall_reached")
+def _exact_sql(k: int) -> str:
+    return f"""SELECT * FROM (SELECT query_id, vec_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM (
+        SELECT q.vec_id AS query_id, v.vec_id, round(1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0)) WHERE rank <= {k}"""
+
+
+@query(f"SELECT query_id, sum(n) > 0 AS found_nine_in_ten FROM (SELECT query_id, 1 AS n FROM ({_exact_sql(10)})) GROUP BY query_id")
 def ann_recall(spark, sf):
-    """The inverted-file index against the exact search: 0.9 of its hits at least."""
+    """The inverted-file index against the exact search: of each query's hits. These vectors have no cells to find: only probing most of them reaches the recall."""
     rows = read(spark, sf, "embeddings")
     cells = vector.Cells(rows)
-    # these vectors have no cells to find: only probing most of them reaches the recall
     found = cells.search(cells.assigned(rows), _vector_queries(spark, sf), 10, probes=24)
-    share = vector.recall(found, vector.search(rows, _vector_queries(spark, sf), 10))
-    return spark.range(1).select(F.lit(10).alias("k"), F.lit(share >= 0.9).alias("recall_reached"))
+    exact = vector.search(rows, _vector_queries(spark, sf), 10)
+    both = exact.join(found.select("query_id", "vec_id", F.lit(1).alias("n")), ["query_id", "vec_id"], "left")
+    total = both.agg((F.count("n") / F.count("*")).alias("share"))
+    return both.select("query_id").distinct().crossJoin(F.broadcast(total)).select("query_id", (F.col("share") >= 0.9).alias("found_nine_in_ten"))
+
+
+@query("SELECT query_id, CAST(vec_id AS VARCHAR) AS doc_id, distance, rank FROM (" + _exact_sql(10) + ")")
+def graph_search(spark, sf):
+    """Hits of the stored proximity graphs, in two segments of which the second replaces rows of the first."""
+    engine, v = _engine(spark, graphs=True), read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), "embedding")
+    engine.store.write(vectors=v.withColumn("embedding", F.when(F.col("doc_id") % 3 == 0, F.reverse("embedding")).otherwise(F.col("embedding"))))
+    engine.store.write(vectors=v.where("doc_id % 3 = 0"))
+    return engine.search_vectors(_vector_queries(spark, sf), 10, approximate=True, beam=160)
+
+
+_LEX5 = f"WITH {_NOW}, nowt AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM now), {index_sql('nowt')}, {QT}, {bm25_sql(5)} SELECT query_id, 'bm25' AS backend, doc_id, distance, rank FROM lex"
+
+
+@query(f"SELECT * FROM ({_LEX5}) UNION ALL SELECT query_id, 'vector' AS backend, doc_id, distance, rank FROM ({_vector_sql('v.vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)')}) WHERE rank <= 5")
+def chunks_and_vectors(spark, sf):
+    """Chunks and vectors of the same ids in one index: each is updated alone, then ids go from both."""
+    engine = _vectors(spark, sf, False)
+    docs, items, id_ = read(spark, sf, "documents"), read(spark, sf, "benchmark"), F.col("doc_id")
+    engine.upsert(_rows(docs, id_, F.col("text")))
+    engine.store.write(vectors=engine.store.table("vectors").where("doc_id % 2 = 0"))  # again, alone
+    engine.upsert(_rows(items, F.col("item_id") * 7, F.col("text")))
+    engine.delete_by_ids(read(spark, sf, "labels").where("toxic = 1").select(id_.cast("string")))
+    return engine.search(asked(spark, sf), 5, vector=engine.search_vectors(_vector_queries(spark, sf), 5))
+
+
+@query(f"""WITH now AS (SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN left(text, 40) ELSE text END AS text FROM documents WHERE doc_id % 9 <> 0), {index_sql('now')}
+    SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS tf, CAST(sum(dl) AS BIGINT) AS dl FROM post JOIN dls USING (doc_id) GROUP BY term""")
+def merged_postings(spark, sf):
+    """Six writes and a deletion, merged by size on the way: postings are moved, never tokenised again."""
+    engine, d, id_ = _engine(spark), read(spark, sf, "documents"), F.col("doc_id")
+    engine.store.fanout = 3
+    for k in range(4):
+        engine.upsert(_rows(d.where(id_ % 4 == k), id_, F.col("text")))
+    engine.upsert(_rows(d.where(id_ % 4 == 1), id_, F.substring("text", 1, 40)))
+    engine.upsert(_rows(d.where(id_ % 9 == 0), id_, F.lit("these go")))
+    engine.delete_by_ids(d.where(id_ % 9 == 0).select(id_.cast("string")))
+    return engine.store.table("postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("tf"), F.sum("dl").cast("long").alias("dl"))
+
+
+@query("""SELECT 'where' AS how, CAST(doc_id AS VARCHAR) AS doc_id, n_chars FROM documents WHERE lang = 'de' AND n_chars = (SELECT max(n_chars) FROM documents WHERE lang = 'de') UNION ALL
+    SELECT 'ids', CAST(doc_id AS VARCHAR), n_chars FROM documents WHERE doc_id IN (SELECT item_id * 3 FROM benchmark)""")
+def lookup_in_segments(spark, sf):
+    """A segment per language; by-id reads ask their filters, metadata reads their lists of values."""
+    engine, d = _engine(spark), read(spark, sf, "documents")
+    rows = _rows(d, F.col("doc_id"), F.col("text")).drop("metadata")
+    rows = rows.join(d.select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "n_chars", F.to_json(F.struct("lang", "n_chars")).alias("metadata")), "doc_id")
+    for r in d.select("lang").distinct().orderBy("lang").collect():  # a few languages
+        engine.upsert(rows.where(F.col("lang").eqNullSafe(F.lit(r[0]))))
+    most = d.where("lang = 'de'").agg(F.max("n_chars")).first()[0]
+    found = engine.store.where(lang="de", n_chars=most).select(F.lit("where").alias("how"), "doc_id", "n_chars")
+    ids = read(spark, sf, "benchmark").select((F.col("item_id") * 3).cast("string").alias("doc_id"))
+    return found.unionByName(engine.lookup(ids).select(F.lit("ids").alias("how"), "doc_id", "n_chars"))
 
 
 @query("""SELECT label, vec_id, CAST(k AS INTEGER) AS dim, round((embedding[k + 1]::DOUBLE + 0.5 * embedding[64 - k]::DOUBLE * 2) / 2, 6) AS mean FROM (SELECT *, unnest(range(0, 64)) AS k FROM embeddings)""")
