@@ -9,9 +9,9 @@ near words agree in a band at least, and their lengths differ by one at most:
 2. a group of more than `limit` words is split by three sub-bands of the two other bands,
    of which near words again share one, and what is still larger is dealt into blocks of
    which every two meet in a task of their own: no task holds more than two blocks;
-3. a task joins words of equal sub-bands in bounded pieces, drops pairs that differ in more
+3. a task joins words of equal sub-bands, and of equal thirds of the rest, in bounded pieces, drops pairs that differ in more
    than two bits, and verifies the rest letter by letter. A pair counts only in the first
-   band and sub-band that its words share, so once. What leaves the task is one row a word:
+   band, sub-band and third that its words share, so once. What leaves the task is one row a word:
    its near words so far and the most frequent of them, never a pair.
 
 Null text has no words; a null id is empty text in the hash. Repeated rows count as often as
@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MB, arrow_schema, batch, table, tune
+from .common import MB, arrow_schema, batch, mix, table, tune
 
 COUNTS = "word string, n long"
 GROUPED = "key long, sub long, part long, word string, n long"
 FOUND = "word string, n_near long, best_n long, best string"
 #: Words are Latin-1 bytes inside tasks, a byte a code point: a-z and U+00C0 to U+00FF stay, A-Z become a-z, all else parts words.
 LETTERS = bytes(b if 97 <= b <= 122 or b >= 192 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-BANDS, WIDTH = 3, 30
+BANDS, WIDTH, ODD = 3, 30, np.uint64(0x9E3779B97F4A7C15)
 #: (band, bit) of each letter: letters in turn, so that each band holds frequent and rare ones.
 BIT_OF = {b: (i % BANDS, i // BANDS) for i, b in enumerate([*range(97, 123), *range(192, 256)])}
 
@@ -127,18 +127,23 @@ def _spread(subs: bool):
     return run
 
 
-def pairs_of(sub: np.ndarray, most: int = 1 << 21):
-    """Index pairs of equal value, in pieces of about `most`."""
-    order = np.argsort(sub, kind="stable")
-    ends = np.searchsorted(sub[order], sub[order], side="right")
-    later = ends - np.arange(len(order)) - 1
+def thirds(sub: np.ndarray, s: int) -> np.ndarray:
+    """Of the sub-bands of a row but number s, three parts; words that differ in two bits of them agree in a part."""
+    rest = sub[:, (s + 1) % BANDS] | sub[:, (s + 2) % BANDS]
+    own = [sum(1 << y for y in range(WIDTH) if y // BANDS % BANDS == t) for t in range(BANDS)]
+    return np.stack([rest & (o | o << WIDTH) for o in own], 1)
+
+
+def pairs_of(key: np.ndarray, least: np.ndarray, most: int = 1 << 20):
+    """Index pairs (i, j), i < j, of equal key in this sorted array, in pieces of about `most`; i is one of `least`."""
+    later = np.where(least, np.searchsorted(key, key, side="right") - np.arange(len(key)) - 1, 0)
     cuts = np.searchsorted(np.cumsum(later), np.arange(most, later.sum() + most, most)) + 1
     a = 0
-    for b in np.minimum(cuts, len(order)).tolist():
+    for b in np.minimum(cuts, len(key)).tolist():
         n = later[a:b]
         if n.sum():
             left = np.repeat(np.arange(a, b), n)
-            yield order[left], order[left + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            yield left, left + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         a = b
 
 
@@ -178,31 +183,37 @@ def near_in_groups(words: list[bytes], n: np.ndarray, key: np.ndarray, sub: np.n
     left, right = [], []
     kind = np.ceil(np.log2(np.maximum(short, 16))).astype(int)  # words of like length in one matrix: it is no larger than twice the words
     for c in np.unique(kind).tolist():
-        rows = np.flatnonzero(kind == c)
-        width = int(short[rows].max()) + 2
-        letters = np.frombuffer(b"".join(words[k].ljust(width, b"\0") for k in rows.tolist()), np.uint8).reshape(len(rows), width)
+        of_kind = np.flatnonzero(kind == c)
+        width = int(short[of_kind].max()) + 2
+        letters = np.frombuffer(b"".join(words[k].ljust(width, b"\0") for k in of_kind.tolist()), np.uint8).reshape(len(of_kind), width)
+        place = np.zeros(len(words), np.int64)
+        place[of_kind] = np.arange(len(of_kind))
         for s in range(BANDS):
-            part_of = np.flatnonzero((sub[rows] < 0) | (sub[rows] & 3 == s))
-            by = np.lexsort((subs[rows[part_of], s], group[rows[part_of]]))
-            r = rows[part_of[by]]
-            runs = np.cumsum(np.append(False, (np.diff(group[r]) != 0) | (np.diff(subs[r, s]) != 0)))[: len(r)]
-            for x, y in pairs_of(runs):
-                x, y = part_of[by[x]], part_of[by[y]]
-                swap = size[rows[x]] > size[rows[y]]
-                x, y = np.where(swap, y, x), np.where(swap, x, y)
-                i, j = rows[x], rows[y]
-                diff = flat[i] ^ flat[j]
-                ok = (size[i] == short[i]) & (~crossed[i] | (side[i] != side[j])) & (np.bitwise_count(diff[:, 0]) + np.bitwise_count(diff[:, 1]) <= 2)
-                x, y, i, j = x[ok], y[ok], i[ok], j[ok]
-                ok = np.ones(len(i), bool)
-                for c2 in range(BANDS):  # pairs that share an earlier band or sub-band are found there
-                    ok &= (band[i] <= c2) | (mask[i, c2] != mask[j, c2])
-                for c2 in range(s):
-                    ok &= subs[i, c2] != subs[j, c2]
-                x, y = x[ok], y[ok]
-                ok = one_edit(letters, size[rows], x, y)
-                left.append(rows[x[ok]])
-                right.append(rows[y[ok]])
+            rows = of_kind[(sub[of_kind] < 0) | (sub[of_kind] & 3 == s)]
+            parts = thirds(subs[rows], s)
+            for t in range(BANDS):
+                # equal hashes stand beside each other, words of the shorter length first: the longer ones do not pair among themselves
+                hashed = mix(mix(group[rows].astype(np.uint64) * ODD + subs[rows, s].astype(np.uint64)) + parts[:, t].astype(np.uint64)) >> np.uint64(1)
+                longer = size[rows] > short[rows]
+                by = np.lexsort((longer, hashed))
+                r, third = rows[by], parts[by]
+                one, two = flat[r, 0], flat[r, 1]
+                for x, y in pairs_of(hashed[by], ~longer[by]):
+                    ok = np.bitwise_count(one[x] ^ one[y]) + np.bitwise_count(two[x] ^ two[y]) <= 2
+                    x, y = x[ok], y[ok]
+                    for t2 in range(t):  # pairs that share an earlier part, sub-band or band are found there
+                        ok = third[x, t2] != third[y, t2]
+                        x, y = x[ok], y[ok]
+                    i, j = r[x], r[y]
+                    ok = (group[i] == group[j]) & (~crossed[i] | (side[i] != side[j]))
+                    for s2 in range(s):
+                        ok &= subs[i, s2] != subs[j, s2]
+                    for c2 in range(BANDS):
+                        ok &= (band[i] <= c2) | (mask[i, c2] != mask[j, c2])
+                    i, j = i[ok], j[ok]
+                    ok = one_edit(letters, size[of_kind], place[i], place[j])
+                    left.append(i[ok])
+                    right.append(j[ok])
     none = np.zeros(0, np.int64)
     x, y = np.concatenate([none, *left, *right]), np.concatenate([none, *right, *left])
     seen, of = np.unique(y, return_inverse=True)
