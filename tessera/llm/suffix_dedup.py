@@ -56,15 +56,7 @@ def difference_cover(period: int) -> np.ndarray:
 
 def eight(raw: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position as a number, in byte order; zeros follow the end."""
-    x = np.concatenate([raw, np.zeros(7, np.uint8)])
-    out = x[: len(raw)].astype(np.uint64)
-    have = 1
-    while have < 8:  # bytes k and k + have join
-        nxt = np.zeros_like(out)
-        nxt[: len(out) - have] = out[have:]
-        out = (out << np.uint64(8 * have)) | nxt
-        have *= 2
-    return out
+    return np.ndarray(len(raw), ">u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,)).astype(np.uint64)
 
 
 class SuffixOrder:
@@ -148,21 +140,14 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def window_hashes(head: np.ndarray, width: int) -> np.ndarray:
-    """A hash of the `width` bytes from each position on, from hashes of 8, 16, 32, ... bytes."""
-    sums, size = [(8, mix(head))], 8
-    while 2 * size <= width:
-        x = sums[-1][1]
-        sums.append((2 * size, x[: len(x) - size] * ODD + (x[size:] ^ ODD)))
-        size *= 2
-    n = len(head) - (width - 8)
-    out, at = np.zeros(n, np.uint64), 0
-    for size, x in reversed(sums):
-        if at + size <= width:
-            out = out * ODD + x[at : at + n]
-            at += size
-    if at < width:
-        out = out * ODD + sums[0][1][width - 8 : width - 8 + n]
+def window_hashes(text: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the `width` bytes from each start on."""
+    head = np.ndarray(len(text) - 7, "<u8", text, strides=(1,))
+    out = np.zeros(len(start), np.uint64)
+    for d in [*range(0, width - 8, 8), width - 8]:
+        out *= ODD
+        out += head[start + d]
+        out ^= out >> np.uint64(29)
     return mix(out)
 
 
@@ -196,8 +181,10 @@ def slices(texts: list[bytes], width: int, shards: int, frequent: Frequent):
             yield number, joined, None
             continue
         low = sliding_min(frequent.order(eight(part)[: len(part) - PIECE + 1]), width - PIECE + 1)
-        start = np.arange(a, a + len(low))
-        doc = np.searchsorted(ends, start)
+        start, ended = np.arange(a, a + len(low)), np.zeros(len(low) + 1, np.int64)
+        here = slice(*np.searchsorted(ends, [a, a + len(low)]))
+        np.add.at(ended, ends[here] - a + 1, 1)
+        doc = here.start + np.cumsum(ended[:-1])
         inside = start + width <= ends[doc]
         start, doc, low = start[inside], doc[inside], low[inside]
         if not len(start):
@@ -206,17 +193,30 @@ def slices(texts: list[bytes], width: int, shards: int, frequent: Frequent):
         first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (start[1:] != start[:-1] + 1)]))  # documents are a byte apart
         size = np.diff(np.append(first, len(start)))
         begin, seg_doc, seg_low = start[first], doc[first], low[first]
-        index: dict[bytes, int] = {}
-        of = np.fromiter((index.setdefault(joined[x:y], len(index)) for x, y in zip(begin.tolist(), (begin + size + width - 1).tolist())), np.int64, len(begin))
-        _, rep = np.unique(of, return_index=True)
-        yield number, joined, (begin, seg_doc, size, of, (mix(seg_low[rep]) % np.uint64(shards)).astype(np.int64), list(index))
+        every = [joined[x:y] for x, y in zip(begin.tolist(), (begin + size + width - 1).tolist())]
+        lines = list(dict.fromkeys(every))
+        of = rep = np.arange(len(every))
+        if len(lines) < len(every):
+            of = np.fromiter(map(dict(zip(lines, range(len(lines)))).__getitem__, every), np.int64, len(every))
+            _, rep = np.unique(of, return_index=True)
+        yield number, joined, (begin, seg_doc, size, of, (mix(seg_low[rep]) % np.uint64(shards)).astype(np.int64), lines)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers by byte planes, which compress better."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def unplaned(raw: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
 
 
 def _send(width: int, shards: int, frequent):
     schema = arrow_schema(SEGMENTS)
 
     def run(batches):
-        press, hot = zstandard.ZstdCompressor(level=5), Frequent(frequent.value)
+        press, hot = zstandard.ZstdCompressor(level=3), Frequent(frequent.value)
         for b in batches:
             for chunk, blob in zip(b.column("chunk").to_pylist(), b.column("blob").to_pylist()):
                 ids, texts = unpack_docs(blob)
@@ -231,7 +231,7 @@ def _send(width: int, shards: int, frequent):
                     order = np.argsort(shard, kind="stable")
                     groups = np.split(order, np.flatnonzero(np.diff(shard[order])) + 1)
                     yield batch(schema, shard[[g[0] for g in groups]], [chunk] * len(groups), [number] * len(groups), [len(g) for g in groups],
-                                [press.compress(b"".join([np.diff(low[g], prepend=0).tobytes(), (high[g] - low[g]).tobytes(), size[g].astype("<i4").tobytes(), *map(lines.__getitem__, g.tolist())])) for g in groups])
+                                [press.compress(b"".join([planes(np.diff(low[g], prepend=0)), planes(high[g] - low[g]), planes(size[g].astype("<i4")), *map(lines.__getitem__, g.tolist())])) for g in groups])
         relieve()
 
     return run
@@ -248,7 +248,7 @@ def owners(lines: list[bytes], low: np.ndarray, uses: np.ndarray, width: int, pe
     line = np.repeat(np.arange(len(lines)), n)
     nth = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
     text = np.frombuffer(b"".join(lines), np.uint8)
-    fp = window_hashes(eight(text)[: len(text) - 7], width)[begin[line] + nth]
+    fp = window_hashes(text, begin[line] + nth, width)
     ordered = np.sort(fp)
     twice = ordered[1:][ordered[1:] == ordered[:-1]]
     twice = twice[np.append(True, twice[1:] != twice[:-1])] if len(twice) else twice
@@ -289,9 +289,9 @@ def _answer(width: int):
         of, low, high = [], [], []
         for n, blob in zip(counts.tolist(), t.column("blob")):
             raw = unpress.decompress(blob.as_py())
-            low.append(np.cumsum(np.frombuffer(raw, np.int64, n)))
-            high.append(low[-1] + np.frombuffer(raw, np.int64, n, 8 * n))
-            ends = 20 * n + np.cumsum(np.frombuffer(raw, "<i4", n, 16 * n).astype(np.int64))
+            low.append(np.cumsum(unplaned(raw, "<i8", n, 0)))
+            high.append(low[-1] + unplaned(raw, "<i8", n, 8 * n))
+            ends = 20 * n + np.cumsum(unplaned(raw, "<i4", n, 16 * n).astype(np.int64))
             of += [index.setdefault(raw[a:b], len(index)) for a, b in zip([20 * n, *ends[:-1].tolist()], ends.tolist())]
         of, low, high = np.array(of), np.concatenate(low), np.concatenate(high)
         least, most = np.full(len(index), NO_ID), np.full(len(index), np.iinfo(np.int64).min)
