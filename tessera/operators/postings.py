@@ -18,7 +18,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, Str
 from .lexical import _with_distance, saturation, small, top
 from .staging import stored
 
-BLOCK = 64
+BLOCK = 32
 KEY = ["seg", "term", "part"]
 
 
@@ -82,7 +82,7 @@ class Reader:
         return facts, {t: n for t, n in df.items() if n}
 
 
-def ranked(terms: DataFrame, reader: Reader, n: int, words: int, k: int, k1: float, b: float, delta: float, seeds: int = 8) -> DataFrame:
+def ranked(terms: DataFrame, reader: Reader, n: int, words: int, k: int, k1: float, b: float, delta: float, seeds: int = 2) -> DataFrame:
     """The exact top k of (query_id, term, qn), a small table, over n documents of `words` words.
 
     The rarest terms of a query name seeds, whose k-th best full score is a floor. Terms that together cannot reach it name no

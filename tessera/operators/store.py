@@ -110,7 +110,7 @@ class IndexStore:
         if name == "postings":
             rows = self._rows(segments, "postings")
             if rows is not None:
-                return self._reader(segments, rows).postings(rows.select(postings.KEY)).drop("seg")
+                return self._reader(segments, rows).postings(rows.select(postings.KEY)).select("term", "doc_id", "tf", "dl")
         elif (rows := self._live(segments, name)) is not None:
             return rows.drop("seg")
         raise ValueError(f"the index holds no {name}")
@@ -181,7 +181,7 @@ class IndexStore:
     def postings_of(self, terms: DataFrame, of: DataFrame | None = None) -> DataFrame:
         """Live postings (term, doc_id, tf, dl) of these terms, in the documents `of` if given."""
         reader = self.reader(terms, None if of is None else of.select("doc_id").distinct())
-        return reader.postings(reader.meta.select(postings.KEY)).drop("seg")
+        return reader.postings(reader.meta.select(postings.KEY)).select("term", "doc_id", "tf", "dl")
 
     # -- writing
     def _put(self, made: dict, table: str, df: DataFrame, by: str | None = None) -> DataFrame:

@@ -528,6 +528,61 @@ def title_if_untitled(spark, sf):
     return chat.set_title(sessions, titles).select("session_id", "session_name")
 
 
+# -- chat transactions --------------------------------------------------------
+def _session_store(spark):
+    from ..operators.sessions import SessionStore
+    from ..operators.staging import shared_folder
+
+    return SessionStore(spark, shared_folder(spark, "sessions-"))
+
+
+@query("""WITH per AS (SELECT o_custkey AS u, count(*) AS n, arg_min(CAST(o_orderkey AS VARCHAR), (o_orderdate, CAST(o_orderkey AS VARCHAR))) AS oldest FROM orders GROUP BY o_custkey),
+    s AS (SELECT *, CASE WHEN u % 3 = 1 THEN 'conflict' WHEN n > 10 THEN 'error' WHEN n = 10 AND u % 2 = 1 THEN 'conflict' ELSE 'ok' END AS status FROM per)
+    SELECT CAST(u AS VARCHAR) AS user_id, status, CAST(n + CASE WHEN status = 'ok' AND n < 10 THEN 1 ELSE 0 END AS BIGINT) AS n_live, CASE WHEN status = 'ok' AND n = 10 THEN oldest END AS gone FROM s""")
+def session_creates(spark, sf):
+    """A request of every user in one transaction: some know the wrong sessions, some name no victim at the limit."""
+    o, u = read(spark, sf, "orders"), F.col("user_id").cast("long")
+    store = _session_store(spark)
+    sessions = o.select(F.col("o_custkey").cast("string").alias("user_id"), F.col("o_orderkey").cast("string").alias("session_id"), F.lit("s").alias("session_name"), F.lit(False).alias("is_private"), F.lit(False).alias("is_deleted"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+    store.put(sessions=sessions)
+    known = sessions.groupBy("user_id").agg(F.collect_list("session_id").alias("known"), F.min_by("session_id", F.struct("created_at", "session_id")).alias("oldest"))  # a client's own list
+    asked = known.select("user_id", F.concat(F.lit("new-"), "user_id").alias("session_id"), F.lit("new").alias("session_name"), F.lit("2030-01-01").cast("timestamp").alias("created_at"),
+                         F.when(u % 3 != 1, F.col("known")).otherwise(F.array().cast("array<string>")).alias("known"), F.when(u % 2 == 0, F.col("oldest")).alias("victim"))
+    verdicts = store.create(asked)
+    now = store.table("sessions").groupBy("user_id").agg(F.sum(F.when(F.col("is_deleted"), 0).otherwise(1)).alias("n_live"), F.max(F.when(F.col("is_deleted"), F.col("session_id"))).alias("gone"))
+    return verdicts.join(now, "user_id").select("user_id", "status", "n_live", "gone")
+
+
+@query(f"""WITH {ROUNDS}, b AS (SELECT DISTINCT conv_id, round_id, role FROM m), c AS (SELECT conv_id, max(round_id) + 1 AS nxt FROM b GROUP BY conv_id),
+    gone AS (SELECT DISTINCT doc_id AS conv_id FROM labels WHERE toxic = 1), per AS (SELECT conv_id, bool_or(round_id = 0 AND role = 'user') AS u0, bool_or(round_id = 0) AS any0, bool_or(round_id = 0 AND role = 'assistant') AS a0 FROM b GROUP BY conv_id),
+    v AS (SELECT 'claim' AS op, CASE WHEN conv_id % 4 = 0 AND u0 THEN 'conflict' ELSE 'ok' END AS status FROM per
+        UNION ALL SELECT 'finalize', CASE WHEN conv_id % 2 = 1 THEN 'ok' ELSE 'not_found' END FROM per WHERE conv_id % 2 = 1 OR conv_id % 4 = 0
+        UNION ALL SELECT 'delete', CASE WHEN coalesce(any0, false) THEN 'ok' ELSE 'not_found' END FROM gone LEFT JOIN per USING (conv_id)
+        UNION ALL SELECT 'feedback', CASE WHEN quality IS DISTINCT FROM 1 THEN 'error' WHEN coalesce(a0, false) THEN 'ok' ELSE 'not_found' END FROM labels LEFT JOIN per ON per.conv_id = doc_id
+        UNION ALL SELECT 'live', role FROM b WHERE NOT (round_id = 0 AND conv_id IN (SELECT conv_id FROM gone))
+        UNION ALL SELECT 'live', unnest(['user', 'system', 'assistant']) FROM c WHERE conv_id % 2 = 1)
+    SELECT op, status, count(*) AS n FROM v GROUP BY op, status""")
+def round_transactions(spark, sf):
+    """Claims, finished rounds, deletions and feedback for all conversations, each kind one transaction; verdicts and what is live in the end."""
+    store, m, at = _session_store(spark), _messages(spark, sf), F.lit("2030-01-01").cast("timestamp").alias("created_at")
+    id_, conv = F.col("conv_id").cast("string").alias("session_id"), F.col("conv_id")
+    one = m.groupBy("conv_id", "round_id", "role").agg(F.min_by("text", "turn").alias("text"))
+    store.put(messages=one.select(id_, "round_id", "role", F.lit("m").alias("msg_id"), "text", F.lit(None).cast("string").alias("feedback"), F.lit(False).alias("is_deleted"), at))
+    after = m.groupBy("conv_id").agg((F.max("round_id") + 1).alias("nxt"))
+    labels = read(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("session_id"), F.lit(0).cast("long").alias("round_id"), "quality", "toxic")
+    done = after.where((conv % 2 == 1) | (conv % 4 == 0)).select(id_, F.when(conv % 2 == 1, F.col("nxt")).otherwise(F.lit(999)).alias("round_id"), F.explode(F.array(F.lit("system"), F.lit("assistant"))).alias("role"), F.lit("m").alias("msg_id"), F.lit("t").alias("text"), at)
+    verdicts = {
+        "claim": store.claim(after.select(id_, F.when(conv % 4 == 0, F.lit(0)).otherwise(F.col("nxt")).alias("round_id"), F.lit("m").alias("msg_id"), F.lit("q").alias("text"), at)),
+        "finalize": store.finalize(done),
+        "delete": store.delete_rounds(labels.where("toxic = 1")),
+        "feedback": store.patch_feedback(labels.withColumn("feedback", F.when(F.col("quality") == 1, "good").otherwise("fine"))),
+    }
+    out = store.table("messages").where("NOT is_deleted").select(F.lit("live").alias("op"), F.col("role").alias("status"))
+    for op, df in verdicts.items():
+        out = out.unionByName(df.select(F.lit(op).alias("op"), "status"))
+    return out.groupBy("op", "status").agg(F.count("*").alias("n"))
+
+
 # -- text scalars -------------------------------------------------------------
 @query("SELECT item_id, 'query: ' || text AS prefixed, 'passage: ' || text AS passage, text AS stripped FROM benchmark")
 def prefixes(spark, sf):
