@@ -66,22 +66,16 @@ class Corpus:
     def __init__(self, each: DataFrame, allowed: DataFrame | None = None):
         self.each, self.allowed = each, allowed
 
-    def counts(self, terms: DataFrame) -> tuple[int, int, dict[str, int]]:
-        """(documents, words, document frequency by term) in one scan: each document brings its terms once, and a null for itself."""
-        rows = self.each.select(F.size("tokens").alias("dl"), F.explode(F.array_append(F.array_distinct("tokens"), F.lit(None))).alias("term"))
-        wanted = terms.select(F.col("term").alias("t")).union(terms.sparkSession.range(1).select(F.lit(None).cast("string")))
-        got = rows.join(F.broadcast(wanted), F.col("term").eqNullSafe(F.col("t")), "left_semi").groupBy("term").agg(F.count("*").alias("n"), F.sum("dl").alias("dl")).collect()
-        whole = next(((r["n"], r["dl"]) for r in got if r["term"] is None), (0, 0))
-        return *whole, {r["term"]: r["n"] for r in got if r["term"] is not None}
-
-    def postings(self, terms: DataFrame, of: DataFrame | None = None) -> DataFrame:
-        """(term, doc_id, tf, dl) of these terms, in the documents `of` if given."""
-        each = self.each
-        for ids in (self.allowed, of):
-            if ids is not None:
-                each = each.join(small(ids.select("doc_id").distinct()), "doc_id", "left_semi")
-        rows = each.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(F.broadcast(terms.select("term")), "term", "left_semi")
-        return rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    def read(self, terms: DataFrame) -> tuple[int, int, dict[str, int], DataFrame]:
+        """(documents, words, document frequency by term, written postings (term, doc_id, tf, dl) of these terms)."""
+        n, words, _ = statistics(self.each.select(F.size("tokens").cast("long").alias("dl"))).first()
+        rows = self.each.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(F.broadcast(terms.select("term")), "term", "left_semi")
+        post = stored(rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
+        return n, words, {r["term"]: r["df"] for r in frequencies(post).collect()}, _within(post, self.allowed)
+
+
+def _within(post: DataFrame, ids: DataFrame | None) -> DataFrame:
+    return post if ids is None else post.join(small(ids.select("doc_id").distinct()), "doc_id", "left_semi")
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_id", k1: float = 1.5, b: float = 0.75, delta: float = 1.0,
@@ -112,35 +106,47 @@ def _with_distance(scored: DataFrame, k: int) -> DataFrame:
     return top(scored, k, F.desc("score"), F.col("doc_id")).withColumn("distance", F.round(1 / (F.col("score") + 1), 6))
 
 
-def ranked(terms: DataFrame, corpus, k: int, k1: float, b: float, delta: float, seeds: int = 8) -> DataFrame:
-    """The exact top k, without scoring what cannot be in it. terms: (query_id, term, qn), a small table.
+#: Postings to score, over all queries, up to which they are scored in one pass; beyond, floors and bounds leave most of them out. The rows are the same.
+ONE_PASS = 50_000_000
+
+
+def weighted(rows: list, n: int, df: dict[str, int]) -> dict:
+    """(weight, term) by query, heaviest first, of the query terms that a document holds."""
+    out: dict = {}
+    for r in rows:
+        if df.get(r["term"]):
+            out.setdefault(r["query_id"], []).append((r["qn"] * max(0.0, math.log((n - df[r["term"]] + 0.5) / (df[r["term"]] + 0.5) + 1)), r["term"]))
+    for ts in out.values():
+        ts.sort(reverse=True)
+    return out
+
+
+def ranked(terms: DataFrame, corpus, k: int, k1: float, b: float, delta: float, seeds: int = 8, one_pass: int = ONE_PASS) -> DataFrame:
+    """The exact top k. terms: (query_id, term, qn), a small table; their postings are taken out of the corpus once.
 
-    A term adds at most its weight times k1 + 1 + delta. The rarest terms of a query name seeds; the k-th best full
-    score of these is a floor. Terms that together cannot reach the floor name no document: the others' postings
-    do, and of their documents only those are scored in full whose partial score and the rest's bound reach the floor.
+    Where there is much to score, a floor is found first. A term adds at most its weight times k1 + 1 + delta. The rarest
+    terms of a query name seeds; the k-th best full score of these is the floor. Terms that together cannot reach it name no
+    document: the others' postings do, and of their documents only those are scored in full whose partial score and the
+    rest's bound reach it.
     """
     spark, most, slack = terms.sparkSession, k1 + 1 + delta, 1e-5
     rows = terms.select("query_id", "term", "qn").collect()
     schema = StructType([terms.schema["query_id"], StructField("term", StringType()), StructField("w", DoubleType())])
     frame = lambda rows: F.broadcast(spark.createDataFrame(rows, schema))
-    n, words, df = corpus.counts(spark.createDataFrame(sorted({(r["term"],) for r in rows}), "term string"))
+    n, words, df, post = corpus.read(spark.createDataFrame(sorted({(r["term"],) for r in rows}), "term string"))
     avgdl = F.lit(float(words / n) if n and words else 1.0)
-    by_query: dict = {}
-    for r in rows:
-        if r["term"] in df:
-            by_query.setdefault(r["query_id"], []).append((r["qn"] * max(0.0, math.log((n - df[r["term"]] + 0.5) / (df[r["term"]] + 0.5) + 1)), r["term"]))
-    for ts in by_query.values():
-        ts.sort(reverse=True)
+    by_query = weighted(rows, n, df)
     every = [(q, t, w) for q, ts in by_query.items() for w, t in ts]
 
     def scored(weights: list[tuple], of: DataFrame | None = None) -> DataFrame:
         """(query_id, doc_id, score) by these weights; of: (query_id, doc_id) to score, else all that hold a term."""
-        post = corpus.postings(spark.createDataFrame(sorted({(t,) for _, t, _ in weights}), "term string"), of)
-        both = post.join(frame(weights), "term")
+        both = _within(post, of).join(frame(weights), "term")
         if of is not None:
             both = both.join(small(of.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_semi")
         return both.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * saturation(avgdl, k1, b, delta)).alias("score"))
 
+    if sum(df[t] for _, t, _ in every) <= one_pass:
+        return _with_distance(scored(every).withColumn("score", F.round("score", 6)), k)
     first = []
     for q, ts in by_query.items():
         held = 0

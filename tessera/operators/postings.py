@@ -9,13 +9,11 @@ at any average length. Merging segments takes blocks apart and together again; n
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from .lexical import _with_distance, saturation, small, top
+from .lexical import ONE_PASS, _with_distance, saturation, small, top, weighted
 from .staging import stored
 
 BLOCK = 32
@@ -82,12 +80,14 @@ class Reader:
         return facts, {t: n for t, n in df.items() if n}
 
 
-def ranked(terms: DataFrame, reader: Reader, n: int, words: int, k: int, k1: float, b: float, delta: float, seeds: int = 2) -> DataFrame:
-    """The exact top k of (query_id, term, qn), a small table, over n documents of `words` words.
+def ranked(terms: DataFrame, reader: Reader, n: int, words: int, k: int, k1: float, b: float, delta: float, seeds: int = 2, one_pass: int = ONE_PASS) -> DataFrame:
+    """The exact top k of (query_id, term, qn), a small table, over n documents of `words` words. Up to `one_pass` postings
+    are scored at once.
 
-    The rarest terms of a query name seeds, whose k-th best full score is a floor. Terms that together cannot reach it name no
-    document; blocks of the others are read only if their bound, with all other terms', reaches it. Of the documents
-    named, those are scored in full whose blocks' bounds still reach it, from the blocks that hold them and no others.
+    Beyond, the rarest terms of a query are read whole and name seeds, whose k-th best full score is a floor. Documents without
+    these terms have the rest alone: terms that together cannot reach the floor name none of them, and blocks of the others
+    are read only if their bound, with the rest's, reaches it. Of the documents named, those are scored in full whose
+    blocks' bounds still reach the floor, from the blocks that hold them and no others.
     """
     spark, slack, avg = terms.sparkSession, 1e-5, words / n if n and words else 1.0
     asked = terms.select("query_id", "term", "qn").collect()
@@ -96,12 +96,7 @@ def ranked(terms: DataFrame, reader: Reader, n: int, words: int, k: int, k1: flo
     most: dict[str, float] = {}
     for r in facts:
         most[r["term"]] = max(most.get(r["term"], 0.0), bound(r["tf"], r["dl"]))
-    by_query: dict = {}
-    for r in asked:
-        if r["term"] in df:
-            by_query.setdefault(r["query_id"], []).append((r["qn"] * max(0.0, math.log((n - df[r["term"]] + 0.5) / (df[r["term"]] + 0.5) + 1)), r["term"]))
-    for ts in by_query.values():
-        ts.sort(reverse=True)
+    by_query = weighted(asked, n, df)
     schema = StructType([terms.schema["query_id"], StructField("term", StringType()), StructField("w", DoubleType())])
     frame = lambda rows: F.broadcast(spark.createDataFrame(rows, schema))  # noqa: E731  as small as the queries
     places = F.broadcast(spark.createDataFrame([(r["seg"], r["term"], r["parts"]) for r in facts], StructType([StructField("seg", IntegerType()), StructField("term", StringType()), StructField("parts", LongType())])))
@@ -126,6 +121,8 @@ def ranked(terms: DataFrame, reader: Reader, n: int, words: int, k: int, k1: flo
         post = reader.postings(need.select(KEY))
         return need.join(post, ["seg", "term", "doc_id"]).groupBy("query_id", "doc_id").agg(F.sum(impact).alias("score"))
 
+    if sum(df[t] for _, t, _ in every) <= one_pass:
+        return _with_distance(partial(reader.postings(whole(every)), every).groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score")), k)
     first = []
     for q, ts in by_query.items():
         held = 0
@@ -134,27 +131,37 @@ def ranked(terms: DataFrame, reader: Reader, n: int, words: int, k: int, k1: flo
             held += df[t]
             if held >= seeds * k:
                 break
-    seed = stored(top(partial(reader.postings(whole(first)), first), seeds * k, F.desc("score"), F.col("doc_id")).select("query_id", "seg", "doc_id"))
+    # documents with one of the first terms are all known from here on; the others have the rest of the terms alone
+    known = stored(partial(reader.postings(whole(first)), first))
+    seed = stored(top(known, seeds * k, F.desc("score"), F.col("doc_id")).select("query_id", "seg", "doc_id"))
     kth = top(scored(seed), k, F.desc("score"), F.col("doc_id")).where(F.col("rank") == k)
     floor = {r["query_id"]: r["score"] - slack for r in kth.select("query_id", "score").collect()}
-    naming, needs, rest_of = [], [], []
+    firsts = {(q, t) for q, t, _ in first}
+    rest = [x for x in every if x[:2] not in firsts]
+    naming, needs, leasts = [], [], []
     for q, ts in by_query.items():
-        rest, cut, least, all_most = 0.0, len(ts), floor.get(q, 0.0), sum(w * most[t] for w, t in ts)
-        while cut and rest + ts[cut - 1][0] * most[ts[cut - 1][1]] < least:
+        ts = [(w, t) for w, t in ts if (q, t) not in firsts]
+        light, cut, least, all_most = 0.0, len(ts), floor.get(q, 0.0), sum(w * most[t] for w, t in ts)
+        while cut and light + ts[cut - 1][0] * most[ts[cut - 1][1]] < least:
             cut -= 1
-            rest += ts[cut][0] * most[ts[cut][1]]
+            light += ts[cut][0] * most[ts[cut][1]]
         naming += [(q, t, w) for w, t in ts[:cut]]
         needs += [(q, t, least - (all_most - w * most[t])) for w, t in ts[:cut]]
-        rest_of.append((q, "", least))
-    able = meta.join(frame(naming), "term").join(frame(needs).withColumnRenamed("w", "need"), ["query_id", "term"]).where(block_impact >= F.col("need")).select(KEY)
-    named = partial(reader.postings(able), naming)
-    # what the blocks of a document's other terms can add at most
-    chosen = {(q, t) for q, t, _ in naming}
-    others = [x for x in every if x[:2] not in chosen]
-    least = frame(rest_of).select("query_id", F.col("w").alias("least"))
-    if others:
-        named = stored(named)
-        extra = pieces(named, others).join(meta.select(*KEY, "max_tf", "min_dl"), KEY).groupBy("query_id", "seg", "doc_id").agg(F.sum(block_impact).alias("extra"))
-        named = named.join(extra, ["query_id", "seg", "doc_id"], "left").withColumn("score", F.col("score") + F.coalesce("extra", F.lit(0.0)))
-    found = stored(named.join(least, "query_id").where(F.col("score") >= F.col("least")).select("query_id", "seg", "doc_id"))
+        leasts.append((q, "", least))
+    least = frame(leasts).select("query_id", F.col("w").alias("least"))
+
+    def able(found: DataFrame, others: list[tuple]) -> DataFrame:
+        """Those that reach the floor with what the blocks of their other terms can add at most."""
+        if others:
+            extra = pieces(found, others).join(meta.select(*KEY, "max_tf", "min_dl"), KEY).groupBy("query_id", "seg", "doc_id").agg(F.sum(block_impact).alias("extra"))
+            found = found.join(extra, ["query_id", "seg", "doc_id"], "left").withColumn("score", F.col("score") + F.coalesce("extra", F.lit(0.0)))
+        return found.join(least, "query_id").where(F.col("score") >= F.col("least")).select("query_id", "seg", "doc_id")
+
+    found = able(known, rest)
+    if naming:
+        wanted = meta.join(frame(naming), "term").join(frame(needs).withColumnRenamed("w", "need"), ["query_id", "term"]).where(block_impact >= F.col("need")).select(KEY)
+        named = stored(partial(reader.postings(wanted), naming).join(known.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti"))
+        chosen = {x[:2] for x in naming}
+        found = found.unionByName(able(named, [x for x in rest if x[:2] not in chosen]))
+    found = stored(found)
     return _with_distance(scored(found).withColumn("score", F.round("score", 6)), k)

@@ -309,11 +309,11 @@ class IndexStore:
                 store.delete(s.getPath(), True)
 
     # -- searching
-    def ranked(self, terms: DataFrame, k: int, k1: float, b: float, delta: float, allowed: DataFrame | None = None, trace: dict | None = None) -> DataFrame:
-        """BM25+ top k from the stored blocks; trace: gets `taken`, the postings taken out of blocks, and `held`, those of the terms."""
+    def ranked(self, terms: DataFrame, k: int, k1: float, b: float, delta: float, allowed: DataFrame | None = None, trace: dict | None = None, one_pass: int = lexical.ONE_PASS) -> DataFrame:
+        """BM25+ top k from the stored blocks: all postings of the terms in one pass where they are few, else the blocks that matter; trace: gets `taken`, the postings taken out of blocks, and `held`, those of the terms."""
         reader = self.reader(terms, None if allowed is None else allowed.select("doc_id").distinct(), trace is not None)
         n, words, _ = lexical.statistics(self.table("doc_stats")).first()
-        out = postings.ranked(terms, reader, n, words, k, k1, b, delta)
+        out = postings.ranked(terms, reader, n, words, k, k1, b, delta, one_pass=one_pass)
         if trace is not None:
             out = stored(out)
             trace |= {"taken": reader.taken, "held": reader.meta.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]}
@@ -341,13 +341,11 @@ class Indexed:
     def __init__(self, store: IndexStore, allowed: DataFrame | None = None):
         self.store, self.allowed = store, allowed
 
-    def counts(self, terms: DataFrame) -> tuple[int, int, dict[str, int]]:
+    def read(self, terms: DataFrame) -> tuple[int, int, dict[str, int], DataFrame]:
         n, words, _ = lexical.statistics(self.store.table("doc_stats")).first()
-        return n, words, {r["term"]: r["df"] for r in lexical.frequencies(self.store.postings_of(terms)).collect()}
-
-    def postings(self, terms: DataFrame, of: DataFrame | None = None) -> DataFrame:
-        rows = self.store.postings_of(terms, of)
-        return rows if self.allowed is None else rows.join(self.allowed.select("doc_id").distinct(), "doc_id", "left_semi")
+        post = stored(self.store.postings_of(terms))
+        rows = post if self.allowed is None else post.join(lexical.small(self.allowed.select("doc_id").distinct()), "doc_id", "left_semi")
+        return n, words, {r["term"]: r["df"] for r in lexical.frequencies(post).collect()}, rows
 
 
 class Engine:

@@ -137,19 +137,23 @@ def test_ranking_is_exact(spark):
     words = [f"w{min(int(rnd.expovariate(0.08)), 60)}" for _ in range(6000)]
     docs = [(k, " ".join(rnd.choices(words, k=rnd.randint(1, 30)))) for k in range(300)]
     queries = [(k, " ".join(rnd.choices(words, k=8))) for k in range(12)]
-    got = lexical.search(spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"), 5).collect()
+    asked, corpus = spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    got = lexical.search(asked, corpus, 5).collect()
     n, avg = len(docs), sum(len(t.split()) for _, t in docs) / len(docs)
     df = {w: sum(w in t.split() for _, t in docs) for w in set(words)}
     want = []
-    for q, text in queries:
+    for q, words_asked in queries:
         scores = []
         for d, t in docs:
             ts = t.split()
-            if set(ts) & set(text.split()):
-                parts = [max(0, math.log((n - df[w] + 0.5) / (df[w] + 0.5) + 1)) * (ts.count(w) * 2.5 / (ts.count(w) + 1.5 * (0.25 + 0.75 * len(ts) / avg)) + 1) for w in text.split() if w in ts]
+            if set(ts) & set(words_asked.split()):
+                parts = [max(0, math.log((n - df[w] + 0.5) / (df[w] + 0.5) + 1)) * (ts.count(w) * 2.5 / (ts.count(w) + 1.5 * (0.25 + 0.75 * len(ts) / avg)) + 1) for w in words_asked.split() if w in ts]
                 scores.append((-round(sum(parts), 6), d))
         want += [(q, d, r + 1) for r, (_, d) in enumerate(sorted(scores)[:5])]
     assert sorted((r["query_id"], r["doc_id"], r["rank"]) for r in got) == sorted(want)
+    each = corpus.select("doc_id", text.tokenize("text").alias("tokens"))
+    got = lexical.ranked(lexical.query_terms(asked), lexical.Corpus(each), 5, 1.5, 0.75, 1.0, one_pass=0).collect()
+    assert sorted((r["query_id"], r["doc_id"], r["rank"]) for r in got) == sorted(want)
 
 
 def test_entry(spark):

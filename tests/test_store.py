@@ -51,7 +51,7 @@ def test_chunks_and_vectors_apart(spark, tmp_path):
 
 def test_merges_by_size(spark, tmp_path):
     """Rows are written again once a size, not once a write, and what is merged equals an index built at once."""
-    store, fanout, each, batches = IndexStore(spark, f"file://{tmp_path}/index", fanout=3), 3, 4, 14
+    store, fanout, each, batches = IndexStore(spark, f"file://{tmp_path}/index", fanout=2), 2, 4, 9
     rnd, now, written = random.Random(2), {}, 0
     for k in range(batches):
         rows = {f"d{rnd.randrange(40)}": " ".join(rnd.choices("abcdefg", k=5)) for _ in range(each)}
@@ -97,11 +97,11 @@ def test_rival_writers(spark, tmp_path):
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     rnd = random.Random(5)
-    words = [f"w{min(int(rnd.expovariate(0.03)), 200)}" for _ in range(40_000)]
-    docs = {f"d{k}": " ".join(rnd.choices(words, k=rnd.randint(5, 40)) + ([f"topic{k % 40}"] * (1 + k % 4) if k % 7 == 0 else [])) for k in range(12_000)}
+    words = [f"w{min(int(rnd.expovariate(0.03)), 200)}" for _ in range(20_000)]
+    docs = {f"d{k}": " ".join(rnd.choices(words, k=rnd.randint(5, 40)) + ([f"topic{k % 160}"] * (1 + k % 4) if k % 7 == 0 else [])) for k in range(12_000)}
     store = IndexStore(spark, f"file://{tmp_path_factory.mktemp('blocks')}/index")
     store.write(spark.createDataFrame([(i, i, 0, t, "{}") for i, t in docs.items()], CHUNK))
-    changed = {f"d{k}": "w1 w2 topic3 " + docs[f"d{k}"] for k in range(0, 12_000, 200)}
+    changed = {f"d{k}": "w1 w2 topic3 " + docs[f"d{k}"] for k in range(0, 12_000, 400)}
     store.write(spark.createDataFrame([(i, i, 0, t, "{}") for i, t in changed.items()], CHUNK))
     store.write(dead=spark.createDataFrame([(f"d{k}",) for k in range(0, 12_000, 111)], "doc_id string"))
     now = {i: t for i, t in (docs | changed).items() if int(i[1:]) % 111}
@@ -112,18 +112,21 @@ def test_blocks_leave_postings_unread(spark, corpus):
     """The same rows as scoring every posting, replaced and deleted documents included; most postings stay in their blocks."""
     store, now, words = corpus
     rnd = random.Random(9)
-    queries = [(f"q{k}", " ".join([f"topic{5 * k}", *rnd.choices(words, k=3)])) for k in range(3)]
+    queries = [(f"q{k}", " ".join([f"topic{5 * k}", *rnd.choices(words, k=2)])) for k in range(3)]
     asked = spark.createDataFrame(queries, "query_id string, text string")
     trace: dict = {}
-    got = store.ranked(lexical.query_terms(asked), 5, 1.5, 0.75, 1.0, trace=trace)
+    got = store.ranked(lexical.query_terms(asked), 5, 1.5, 0.75, 1.0, trace=trace, one_pass=0)
     want = lexical.search(asked, spark.createDataFrame(list(now.items()), "doc_id string, text string"), 5)
     columns = ["query_id", "doc_id", "score", "rank"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
     assert trace["taken"] < trace["held"] / 3, trace
     only = spark.createDataFrame([(i,) for i in now if int(i[1:]) % 3 == 0], "doc_id string")
-    got = store.ranked(lexical.query_terms(asked), 10, 1.5, 0.75, 1.0, allowed=only)
+    got = store.ranked(lexical.query_terms(asked), 10, 1.5, 0.75, 1.0, allowed=only, one_pass=0)
     want = lexical.search(asked, spark.createDataFrame(list(now.items()), "doc_id string, text string"), 10, candidates=only)
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    for one_pass in (0, lexical.ONE_PASS):
+        got = store.ranked(lexical.query_terms(asked), 10, 1.5, 0.75, 1.0, allowed=only, one_pass=one_pass)
+        assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
     assert store.ranked(lexical.query_terms(one(spark, "nowhere to be found")), 10, 1.5, 0.75, 1.0).count() == 0
 
 
