@@ -211,6 +211,33 @@ def packed(docs: DataFrame, total: int) -> DataFrame:
     return table(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(pack, PACKED))
 
 
+def answers_by_chunk(replies: DataFrame) -> str:
+    """Answers (chunk, slice, shard, blob) as one file per chunk of a shared folder, so that the chunks themselves need no shuffle: the
+    number of entries, then (slice, shard, bytes) of each, then the blobs. The folder."""
+    folder = shared_dir(replies.sparkSession)
+
+    def note(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(t.column("slice").to_pylist(), t.column("shard").to_pylist(), t.column("blob").to_pylist()))
+        head = np.array([[len(rows), 0, 0], *([a, b, len(c)] for a, b, c in rows)], "<i8")
+        place_file(folder, f"answers-{t.column('chunk')[0].as_py()}", b"".join([head.tobytes(), *(r[2] for r in rows)]))
+        return pa.table({"n": pa.array([len(rows)], pa.int64())})
+
+    table(replies.groupBy("chunk").applyInArrow(note, "n long"))
+    return folder
+
+
+def answers_for(folder: str, chunk: int) -> dict[int, list[tuple[int, bytes]]]:
+    """(shard, blob) of a chunk's answers, by slice."""
+    raw, out = read_if_there(folder, f"answers-{chunk}"), {}
+    if raw:
+        n = int(np.frombuffer(raw, "<i8", 1)[0])
+        at = 24 * (n + 1)
+        for part, shard, size in np.frombuffer(raw, "<i8", 3 * n, 24).reshape(-1, 3).tolist():
+            out.setdefault(part, []).append((shard, raw[at : at + size]))
+            at += size
+    return out
+
+
 def flat_words(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, list[bytes]]:
     """(word ids of all texts one after the other, distinct words by id, bounds of texts, all words); words end at ASCII white space."""
     every, bounds = words_of(texts)

@@ -21,7 +21,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from itertools import compress
+from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MB, NO_ID, arrow_schema, batch, chunk_bytes, hashes, id_array, mix, number, packed, text_bytes, unpack_docs, words_of
+from .common import MB, NO_ID, answers_by_chunk, answers_for, arrow_schema, batch, chunk_bytes, hashes, id_array, mix, number, packed, text_bytes, unpack_docs, words_of
 
 SEGMENTS = "shard long, chunk long, n int, blob binary"
 REPLIES = "chunk long, shard long, blob binary"
@@ -229,10 +229,10 @@ class Passages:
             self.owners.append(owners)
 
     def locate(self, texts: list[bytes]):
-        """(text, end, number) of every occurrence in these texts, words joined by one space; end: of its last byte."""
+        """(text, ends, numbers) of all occurrences that an automaton finds in a text, words joined by one space; ends: of their last bytes."""
         import ahocorasick
 
-        keys, found = list(self.number.items()), []
+        keys = list(self.number.items())
         texts = [t.decode("latin-1") for t in texts]  # a byte a sign, so that automata see bytes
         while keys:
             auto, size = ahocorasick.Automaton(), 0
@@ -242,14 +242,16 @@ class Passages:
                 size += len(key)
             auto.make_automaton()
             for k, t in enumerate(texts):
-                found += [(k, end - 2, n) for end, n in auto.iter(f" {t} ")]
-        return np.array(found, dtype=np.int64).reshape(-1, 3).T
+                found = auto.iter(f" {t} ")
+                while part := list(islice(found, 1 << 18)):  # a passage of equal words is found at every word
+                    ends, numbers = np.array(part, dtype=np.int64).T
+                    yield k, ends - 2, numbers
 
 
-def _apply(width: int, shards: int, hot):
+def _apply(width: int, shards: int, hot, folder: str):
     schema = arrow_schema(RESULT)
 
-    def passages(every: list[bytes], got, right: pa.Table) -> Passages:
+    def passages(every: list[bytes], got, answers: list[tuple[int, bytes]]) -> Passages:
         """From the answers about this chunk's segments."""
         unpress, out = zstandard.ZstdDecompressor(), Passages(width)
         start, doc, at, size, of, reps, shard, _ = got
@@ -257,7 +259,7 @@ def _apply(width: int, shards: int, hot):
         first = np.searchsorted(shard[order], np.arange(shards + 1))
         base = np.cumsum(size[reps]) - size[reps]
         owner = np.full(int(size[reps].sum()), NO_ID)
-        for s, b in zip(right.column("shard").to_pylist(), right.column("blob").to_pylist()):
+        for s, b in answers:
             line, window, own = np.frombuffer(unpress.decompress(b), "<i8").reshape(3, -1)
             owner[base[order[first[s] + line]] + window] = own
         own = owner[np.repeat(base[of], size) + np.arange(len(start)) - np.repeat(at, size)]  # of each window
@@ -269,38 +271,43 @@ def _apply(width: int, shards: int, hot):
                 out.add(every[x : x + len(run) + width - 1], own[run])
         return out
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for blob in left.column("blob").to_pylist():
-            ids, texts = unpack_docs(blob)
-            every, bounds, got = segments(texts, width, shards, hot.value) if right.num_rows else (*words_of(texts), None)
-            joined = [b" ".join(every[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            covered = np.zeros(len(every) + 1, np.int64)
-            if got is not None:
-                known = passages(every, got, right)
-                text, end, number = known.locate(joined)
-                if len(text):
-                    # bytes to words: ends of words, all documents in a row
-                    size = np.fromiter(map(len, every), np.int64, len(every)) + 1
-                    begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)) + 1)])
-                    ends = np.cumsum(size) + np.repeat(begin[:-1] - np.concatenate([[0], np.cumsum(size)])[bounds[:-1]], np.diff(bounds)) - 2
-                    n_windows = np.fromiter(map(len, known.owners), np.int64, len(known.owners))
-                    owners, first = np.concatenate(known.owners), np.cumsum(n_windows) - n_windows
-                    wins = n_windows[number]
-                    nth = np.arange(wins.sum()) - np.repeat(np.cumsum(wins) - wins, wins)
-                    lost = owners[np.repeat(first[number], wins) + nth] < np.repeat(ids[text], wins)
-                    opening = np.searchsorted(ends, begin[text] + end) - (wins + width - 2)
-                    at = (np.repeat(opening, wins) + nth)[lost]
-                    np.add.at(covered, at, 1)
-                    np.subtract.at(covered, at + width, 1)
-            gone = np.cumsum(covered[:-1]) > 0
-            removed = np.concatenate([[0], np.cumsum(gone)])
-            n_removed = removed[bounds[1:]] - removed[bounds[:-1]]
-            shas = []
-            for a, b, r, whole in zip(bounds[:-1].tolist(), bounds[1:].tolist(), n_removed.tolist(), joined):
-                shas.append(hashlib.sha256(b" ".join(compress(every[a:b], (~gone[a:b]).tolist())) if r else whole).hexdigest())
-            out.append(batch(schema, id_array(ids), np.diff(bounds), n_removed, shas))
-        return pa.Table.from_batches(out, schema=schema)
+    def covered(known: Passages, ids: np.ndarray, every: list[bytes], bounds: np.ndarray, joined: list[bytes]) -> np.ndarray:
+        """Whether each word goes. A find brings the runs of windows of one owner in its passage, never the windows one by one."""
+        cut = [np.flatnonzero(np.append(True, o[1:] != o[:-1])) for o in known.owners]
+        n_runs = np.fromiter(map(len, cut), np.int64, len(cut))
+        opening = np.cumsum(n_runs) - n_runs
+        run_first = np.concatenate(cut)
+        run_end = np.concatenate([np.append(c[1:], len(o)) for c, o in zip(cut, known.owners)])
+        run_owner = np.concatenate([o[c] for c, o in zip(cut, known.owners)])
+        n_words = np.fromiter(map(len, known.owners), np.int64, len(cut)) + width - 1
+        begins = np.cumsum(np.fromiter(map(len, every), np.int64, len(every)) + 1)  # of the words after each, in one row of all words
+        out = np.zeros(len(every) + 1, np.int64)
+        for text, end, number in known.locate(joined):
+            base = begins[bounds[text] - 1] if bounds[text] else 0
+            last = np.searchsorted(begins, base + end, side="right")  # the word that holds the byte
+            n = n_runs[number]
+            run = np.repeat(opening[number], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            lost = run_owner[run] < ids[text]
+            at = np.repeat(last + 1 - n_words[number], n)
+            np.add.at(out, (at + run_first[run])[lost], 1)
+            np.subtract.at(out, (at + run_end[run] + width - 1)[lost], 1)
+        return np.cumsum(out[:-1]) > 0
+
+    def run(batches):
+        for b in batches:
+            for chunk, blob in zip(b.column("chunk").to_pylist(), b.column("blob").to_pylist()):
+                ids, texts = unpack_docs(blob)
+                answers = answers_for(folder, chunk).get(0)
+                every, bounds, got = segments(texts, width, shards, hot.value) if answers else (*words_of(texts), None)
+                joined = [b" ".join(every[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                known = passages(every, got, answers) if got is not None else None
+                gone = covered(known, ids, every, bounds, joined) if known and known.owners else np.zeros(len(every), bool)
+                removed = np.concatenate([[0], np.cumsum(gone)])
+                n_removed = removed[bounds[1:]] - removed[bounds[:-1]]
+                shas = []
+                for a, b, r, whole in zip(bounds[:-1].tolist(), bounds[1:].tolist(), n_removed.tolist(), joined):
+                    shas.append(hashlib.sha256(b" ".join(compress(every[a:b], (~gone[a:b]).tolist())) if r else whole).hexdigest())
+                yield batch(schema, id_array(ids), np.diff(bounds), n_removed, shas)
 
     return run
 
@@ -337,4 +344,5 @@ def remove_repeats(docs: DataFrame, width: int = 13, shard_bytes: int = 8 * MB)
     corpus = packed(docs, total)
     hot = docs.sparkSession.sparkContext.broadcast(hot_minimisers(corpus, total, width, shard_bytes))
     replies = corpus.select("chunk", "blob").mapInArrow(_send(width, shards, hot), SEGMENTS).groupBy("shard").applyInArrow(_answer(width), REPLIES)
-    return corpus.select("chunk", "blob").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_apply(width, shards, hot), RESULT)
+    folder = answers_by_chunk(replies.withColumn("slice", F.lit(0)))
+    return corpus.select("chunk", "blob").mapInArrow(_apply(width, shards, hot, folder), RESULT)

@@ -33,8 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MB, NO_ID, arrow_schema, batch, chunk_bytes, id_array, mix, packed, relieve, shared_dir, table, text_bytes, unpack_docs
-from .storage import place_file, read_if_there
+from .common import MB, NO_ID, answers_by_chunk, answers_for, arrow_schema, batch, chunk_bytes, id_array, mix, packed, relieve, text_bytes, unpack_docs
 
 SEGMENTS = "shard long, chunk long, slice int, n int, blob binary"
 REPLIES = "chunk long, slice int, shard long, blob binary"
@@ -320,30 +319,6 @@ def _answer(width: int):
     return run
 
 
-def _note(folder: str):
-    """All answers for a chunk as a file: the number of entries, then (slice, shard, bytes) of each, then the answers."""
-
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t.column("slice").to_pylist(), t.column("shard").to_pylist(), t.column("blob").to_pylist()))
-        head = np.array([[len(rows), 0, 0], *([a, b, len(c)] for a, b, c in rows)], "<i8")
-        place_file(folder, f"runs-{t.column('chunk')[0].as_py()}", b"".join([head.tobytes(), *(r[2] for r in rows)]))
-        return pa.table({"n": pa.array([len(rows)], pa.int64())})
-
-    return run
-
-
-def _notes(raw: bytes) -> dict[int, list[tuple[int, bytes]]]:
-    """(shard, answer) by slice."""
-    out: dict[int, list[tuple[int, bytes]]] = {}
-    if raw:
-        n = int(np.frombuffer(raw, "<i8", 1)[0])
-        at = 24 * (n + 1)
-        for part, shard, size in np.frombuffer(raw, "<i8", 3 * n, 24).reshape(-1, 3).tolist():
-            out.setdefault(part, []).append((shard, raw[at : at + size]))
-            at += size
-    return out
-
-
 def removed_runs(ids: np.ndarray, got, answers: list[tuple[int, bytes]], width: int) -> tuple[np.ndarray, np.ndarray]:
     """(begin, end) of the bytes that go, in a chunk's joined documents, by the answers for one slice; runs may overlap."""
     begin, doc, _, of, shard, lines = got
@@ -379,7 +354,7 @@ def _apply(width: int, shards: int, frequent, folder: str):
         for b in batches:
             for chunk, blob in zip(b.column("chunk").to_pylist(), b.column("blob").to_pylist()):
                 ids, texts = unpack_docs(blob)
-                answers = _notes(read_if_there(folder, f"runs-{chunk}"))
+                answers = answers_for(folder, chunk)
                 found = [removed_runs(ids, got, answers[number], width) for number, _, got in slices(texts, width, shards, hot) if number in answers] if answers else []
                 begin, end = merged(*(np.concatenate(x) for x in zip(*found))) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 size = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -432,6 +407,4 @@ def remove_repeats(docs: DataFrame, width: int = 50, shard_bytes: int = 8 * MB)
     corpus = packed(docs, total).select("chunk", "blob")
     frequent = spark.sparkContext.broadcast(frequent_pieces(corpus, total, shard_bytes // 128))
     replies = corpus.mapInArrow(_send(width, shards, frequent), SEGMENTS).groupBy("shard").applyInArrow(_answer(width), REPLIES)
-    folder = shared_dir(spark)
-    table(replies.groupBy("chunk").applyInArrow(_note(folder), "n long"))
-    return corpus.mapInArrow(_apply(width, shards, frequent, folder), RESULT)
+    return corpus.mapInArrow(_apply(width, shards, frequent, answers_by_chunk(replies)), RESULT)

@@ -90,6 +90,20 @@ def test_substring(docs, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_substring_periodic(spark):
+    """Texts of equal or alternating words, of different lengths: every word but the smallest document's recurs; finds are kept as runs."""
+    rows = [(k, "a " * (4000 - 60 * k)) for k in range(12)] + [(50 + k, "b c " * (900 + 7 * k) + "d") for k in range(4)] + [(90, "c b " * 20 + "e")]
+    got = by_id(substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)))
+    words = {i: t.split() for i, t in rows}
+    owner = {}
+    for i, ws in sorted(words.items(), reverse=True):
+        owner |= {tuple(ws[k : k + 13]): i for k in range(len(ws) - 12)}
+    for i, ws in words.items():
+        gone = {k + j for k in range(len(ws) - 12) if owner[tuple(ws[k : k + 13])] < i for j in range(13)}
+        assert (got[i]["n_words"], got[i]["n_removed"]) == (len(ws), len(gone))
+        assert got[i]["kept_sha256"] == hashlib.sha256(" ".join(w for k, w in enumerate(ws) if k not in gone).encode()).hexdigest()
+
+
 def test_substring_hot(spark, monkeypatch):
     """A frequent phrase, split by window hash: the same answer as brute force, in more than one shard."""
     rng = np.random.default_rng(7)
