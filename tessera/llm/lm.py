@@ -259,7 +259,7 @@ def train(corpus: DataFrame, n_class: np.ndarray, bits: int, rounds: int, rate:
             from pyspark import TaskContext
 
             model, task, used = shared.value, TaskContext.get().partitionId(), False
-            expected, observed = np.zeros(size, np.float32), np.zeros(size if first else 0, np.int64)  # of the latter: went right << 32 | all
+            expected, observed = np.zeros(size), np.zeros(size if first else 0, np.int64)  # of the latter: went right << 32 | all
             for b in batches:
                 for row in zip(*(c.to_pylist() for c in b.columns)):
                     c = Chunk(*row)
@@ -277,9 +277,9 @@ def train(corpus: DataFrame, n_class: np.ndarray, bits: int, rounds: int, rate:
                 for x, name in ((expected, 0), (observed, 1)):
                     for k in range(0, len(x), BLOCK):
                         part = x[k : k + BLOCK]
-                        if name == 0:  # three digits of a sum are enough, and half the bytes
-                            part = (part.view(np.uint32) + np.uint32(0x8000) & np.uint32(0xFFFF0000)).view(np.float32)
-                        yield batch(schema, [2 * (k // BLOCK) + name], [task], [_pack(part.view("<f4").astype("<f8") if name == 0 else _split(part))])
+                        if name == 0:  # of a task's whole sum three digits are enough, and half the bytes
+                            part = (part.astype(np.float32).view(np.uint32) + np.uint32(0x8000) & np.uint32(0xFFFF0000)).view(np.float32)
+                        yield batch(schema, [2 * (k // BLOCK) + name], [task], [_pack(part.astype("<f8") if name == 0 else _split(part))])
             relieve()
 
         rows = corpus.select("docs", "tokens", "keys", "paths").mapInArrow(run, SUMS)
