@@ -96,15 +96,38 @@ def chunk_single(spark, sf):
     return _exploded(read(spark, sf, "documents"), chunk.single(F.col("text")))
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT doc_id, {SENT.format('text')} AS s FROM documents),
+_PACKED = f"""WITH RECURSIVE s AS (SELECT doc_id, {SENT.format('text')} AS s FROM documents),
     r(doc_id, s, i, cur, done) AS (SELECT doc_id, s, 1, '', NULL::VARCHAR FROM s UNION ALL
       SELECT doc_id, s, i + 1, CASE WHEN i > len(s) THEN NULL WHEN length(cur) > 0 AND length(cur) + length(s[i]) > 300 THEN s[i] ELSE cur || s[i] END,
              CASE WHEN i > len(s) THEN nullif(cur, '') WHEN length(cur) > 0 AND length(cur) + length(s[i]) > 300 THEN cur END FROM r WHERE i <= len(s) + 1)
-    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos, done AS chunk FROM r WHERE done IS NOT NULL""")
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos, done AS chunk FROM r WHERE done IS NOT NULL"""
+
+
+@query(_PACKED)
 def chunk_pack(spark, sf):
     return _exploded(read(spark, sf, "documents"), chunk.packed(F.col("text"), 300))
 
 
+@query(_PACKED)
+def chunk_pack_lateral(spark, sf):
+    """The chunker as a table function, called from SQL for each row."""
+    from ..functions import tables
+
+    tables.register(spark)
+    return spark.sql("SELECT d.doc_id, c.pos, c.chunk FROM {documents} d, LATERAL chunk_packed(d.text, 300) c", documents=read(spark, sf, "documents"))
+
+
+@query(r"""WITH t AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\p{L}]+(?:\.[\p{L}]+)*\.?')) AS token FROM documents),
+    c AS (SELECT rtrim(token, '.') AS word, CAST(sum(CASE WHEN token LIKE '%.' THEN 1 ELSE 0 END) AS BIGINT) AS n_period, CAST(sum(CASE WHEN token LIKE '%.' THEN 0 ELSE 1 END) AS BIGINT) AS n_plain FROM t GROUP BY 1),
+    p AS (SELECT sum(n_period) / sum(n_period + n_plain) AS p FROM c), l AS (SELECT *, length(replace(word, '.', '')) AS letters FROM c, p WHERE n_period > 0)
+    SELECT word, n_period, n_plain, round(2 * (n_period * ln(0.99 / p) + n_plain * ln((1 - 0.99) / (1 - p))) * exp(-letters) * (length(word) - letters + 1) * pow(letters, -n_plain), 4) AS score FROM l""")
+def sentence_words(spark, sf):
+    """What tells abbreviations from words that end sentences: counts over all texts and their likelihood ratio."""
+    from ..operators import sentences
+
+    return sentences.scored(sentences.words_and_periods(read(spark, sf, "documents")))
+
+
 @query(f"WITH {CHUNKS} SELECT doc_id, serial_number, CAST(1 AS INTEGER) AS page_number, serial_number AS chunk_index_in_page, text FROM chunks")
 def chunk_rows_ids(spark, sf):
     return natural_chunks(spark, sf).select("doc_id", "serial_number", "page_number", "chunk_index_in_page", "text")
