@@ -30,13 +30,18 @@ def drop_stop_words(tokens: Column, stop: list[str]) -> Column:
     return F.filter(tokens, lambda t: ~F.array_contains(F.array(*map(F.lit, stop)), t))
 
 
-def morphological(c: Column, analyse, keep: tuple[str, ...] = ("名詞", "動詞", "形容詞"), stop: tuple[str, ...] = ()) -> Column:
+def morphological(c: Column, analyse, keep: tuple[str, ...] = ("名詞", "動詞", "形容詞"), stop: tuple[str, ...] = (), batched: bool = False) -> Column:
     """Tokens by a plugged-in analyser: analyse(text) -> [(part of speech, normalised form)], called in Python workers on
-    ASCII-lowered text. Only the parts of speech to keep (all if there are none) and no stop words go on; null text has no token."""
+    ASCII-lowered text; batched: analyse(texts) -> one such list a text, called once a batch. Only the parts of speech to keep (all if there are none) and no stop words go on; null text has no token."""
+
+    def kept(found) -> list[str]:
+        return [w for part, w in found if (not keep or part in keep) and w not in stop]
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda t: [w for part, w in analyse(t) if (not keep or part in keep) and w not in stop] if t is not None else [])
+            there = [t for t in s if t is not None]
+            found = iter(analyse(there) if batched and there else map(analyse, there))
+            yield pd.Series([kept(next(found)) if t is not None else [] for t in s], dtype=object)
 
     return F.pandas_udf(run, ArrayType(StringType()))(ascii_lower(c))
 

@@ -46,6 +46,7 @@ def dedup_trim(hits: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), ord
 
 def fuse(hits: DataFrame, alpha: float = 0.7) -> DataFrame:
     """Adds `rerank`: alpha * lexical + (1 - alpha) * vector score, one side's own score if the other is missing; each list is ranked anew."""
+    hits = stored(hits)  # read twice
     side = lambda name: F.max(F.when(F.col("backend") == name, 1 - F.col("distance")))
     both = hits.groupBy("query_id", "doc_id").agg(side("bm25").alias("b"), side("vector").alias("v"))
     score = F.when(F.col("b").isNull(), F.col("v")).when(F.col("v").isNull(), F.col("b")).otherwise(alpha * F.col("b") + (1 - alpha) * F.col("v"))

@@ -140,7 +140,8 @@ def ranked(terms: DataFrame, corpus, k: int, k1: float, b: float, delta: float,
 
     def scored(weights: list[tuple], of: DataFrame | None = None) -> DataFrame:
         """(query_id, doc_id, score) by these weights; of: (query_id, doc_id) to score, else all that hold a term."""
-        both = _within(post, of).join(frame(weights), "term")
+        # postings are dealt by document, so that what queries make of them is summed where it arises; a query keeps k rows a task
+        both = _within(post, of).repartition("doc_id").join(frame(weights), "term")
         if of is not None:
             both = both.join(small(of.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_semi")
         return both.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * saturation(avgdl, k1, b, delta)).alias("score"))

@@ -109,7 +109,7 @@ def ranked(terms: DataFrame, reader: Reader, n: int, words: int, k: int, k1: flo
         return meta.join(frame(sorted({(None, t, 0.0) for _, t, _ in weights})).select("term"), "term", "left_semi").select(KEY)
 
     def partial(post: DataFrame, weights: list[tuple]) -> DataFrame:
-        return post.join(frame(weights), "term").groupBy("query_id", "seg", "doc_id").agg(F.sum(impact).alias("score"))
+        return post.repartition("doc_id").join(frame(weights), "term").groupBy("query_id", "seg", "doc_id").agg(F.sum(impact).alias("score"))
 
     def pieces(found: DataFrame, weights: list[tuple]) -> DataFrame:
         """(query_id, seg, doc_id, term, w, part) of the blocks that can hold these documents' terms."""

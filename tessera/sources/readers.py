@@ -98,6 +98,18 @@ def pptx_units(raw: bytes) -> list[tuple[int, str]]:
     return out
 
 
+def pages(of, text) -> list[tuple[int, str]]:
+    """(page, text) by text(page); a page that cannot be read is left empty, the rest goes on."""
+    out = []
+    for k, page in enumerate(of):
+        try:
+            out.append((k, text(page) or ""))
+        except Exception as e:  # whatever the library raises on a broken page
+            LOG.warning("page %d left empty: %s", k, e)
+            out.append((k, ""))
+    return out
+
+
 def pdf_units(raw: bytes) -> list[tuple[int, str]]:
     """(page, text), empty pages kept; needs a PDF library."""
     try:
@@ -107,9 +119,9 @@ def pdf_units(raw: bytes) -> list[tuple[int, str]]:
             from pypdf import PdfReader
         except ImportError as e:
             raise FileError("reading PDF needs PyMuPDF or pypdf") from e
-        return [(k, p.extract_text() or "") for k, p in enumerate(PdfReader(BytesIO(raw)).pages)]
+        return pages(PdfReader(BytesIO(raw)).pages, lambda p: p.extract_text())
     with fitz.open(stream=raw, filetype="pdf") as doc:
-        return [(k, p.get_text("text")) for k, p in enumerate(doc)]
+        return pages(doc, lambda p: p.get_text("text"))
 
 
 READERS = {"txt": lambda raw: [(0, decode(raw))], "html": lambda raw: [(0, html_to_text(decode(raw)))], "docx": docx_units, "pptx": pptx_units, "pdf": pdf_units}
