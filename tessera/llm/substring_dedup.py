@@ -21,7 +21,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from itertools import compress, islice
+from itertools import batched, chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -229,7 +229,7 @@ class Passages:
             self.owners.append(owners)
 
     def locate(self, texts: list[bytes]):
-        """(text, ends, numbers) of all occurrences that an automaton finds in a text, words joined by one space; ends: of their last bytes."""
+        """(texts, ends, numbers) of all occurrences that the automata find, some at a time, words joined by one space; ends: of their last bytes."""
         import ahocorasick
 
         keys = list(self.number.items())
@@ -241,11 +241,10 @@ class Passages:
                 auto.add_word(f" {key.decode('latin-1')} ", n)
                 size += len(key)
             auto.make_automaton()
-            for k, t in enumerate(texts):
-                found = auto.iter(f" {t} ")
-                while part := list(islice(found, 1 << 18)):  # a passage of equal words is found at every word
-                    ends, numbers = np.array(part, dtype=np.int64).T
-                    yield k, ends - 2, numbers
+            held = chain.from_iterable(zip(repeat(k), *zip(*found)) for k, t in enumerate(texts) for found in batched(auto.iter(f" {t} "), 1 << 16))
+            for part in batched(held, 1 << 18):  # a passage of equal words is found at every word
+                text, end, number = np.array(part, dtype=np.int64).T
+                yield text, end - 2, number
 
 
 def _apply(width: int, shards: int, hot, folder: str):
@@ -281,13 +280,13 @@ def _apply(width: int, shards: int, hot, folder: str):
         run_owner = np.concatenate([o[c] for c, o in zip(cut, known.owners)])
         n_words = np.fromiter(map(len, known.owners), np.int64, len(cut)) + width - 1
         begins = np.cumsum(np.fromiter(map(len, every), np.int64, len(every)) + 1)  # of the words after each, in one row of all words
+        opens = np.concatenate([[0], begins])[bounds[:-1]]
         out = np.zeros(len(every) + 1, np.int64)
         for text, end, number in known.locate(joined):
-            base = begins[bounds[text] - 1] if bounds[text] else 0
-            last = np.searchsorted(begins, base + end, side="right")  # the word that holds the byte
+            last = np.searchsorted(begins, opens[text] + end, side="right")  # the word that holds the byte
             n = n_runs[number]
             run = np.repeat(opening[number], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            lost = run_owner[run] < ids[text]
+            lost = run_owner[run] < np.repeat(ids[text], n)
             at = np.repeat(last + 1 - n_words[number], n)
             np.add.at(out, (at + run_first[run])[lost], 1)
             np.subtract.at(out, (at + run_end[run] + width - 1)[lost], 1)
