@@ -16,7 +16,6 @@ segment. `vacuum` deletes segments that no version names any longer.
 
 from __future__ import annotations
 
-import base64
 import math
 import time
 import uuid
@@ -120,9 +119,18 @@ class IndexStore:
 
     def _filters(self, segments: list[dict], kind: str) -> dict[int, object]:
         """Bloom filter of the ids, by segment number; one small file a segment."""
-        bits = {k: x["bloom"][kind] for k, x in enumerate(segments) if kind in x.get("bloom", {})}
-        jvm = self.spark._jvm
-        return {k: jvm.org.apache.spark.util.sketch.BloomFilter.readFrom(bytearray(base64.b64decode(self.spark.read.text(f"{self.path}/segments/{segments[k]['segment']}/{name}", wholetext=True).first()[0]))) for k, name in bits.items()}
+        read, out = self.spark._jvm.org.apache.spark.util.sketch.BloomFilter.readFrom, {}
+        for k, x in enumerate(segments):
+            if kind in x["bloom"]:
+                path, store = self._file(x, f"bloom_{kind}")
+                stream = store.open(path)
+                out[k] = read(stream)
+                stream.close()
+        return out
+
+    def _file(self, segment: dict, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/segments/{segment['segment']}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def by_ids(self, ids: DataFrame, name: str = "chunks") -> DataFrame:
         """Live rows of these ids (doc_id). Few ids are tested on the segments' filters, and only segments that may hold one are opened."""
@@ -199,12 +207,12 @@ class IndexStore:
         remove(self.spark, post.inputFiles()[0].rsplit("/", 1)[0]) if post.inputFiles() else None
 
     def _put_filter(self, made: dict, kind: str, ids: DataFrame, n: int) -> None:
-        found, out = ids._jdf.stat().bloomFilter("doc_id", max(1, min(n, BLOOM_IDS)), 0.01), self.spark._jvm.java.io.ByteArrayOutputStream()
-        found.writeTo(out)
-        name = f"bloom_{kind}"
-        rows = self.spark.createDataFrame([(base64.b64encode(bytes(out.toByteArray())).decode(),)], "bits string")
-        rows.coalesce(1).write.text(f"{self.path}/segments/{made['segment']}/{name}")
-        made["bloom"][kind] = name
+        found = ids._jdf.stat().bloomFilter("doc_id", max(1, min(n, BLOOM_IDS)), 0.01)
+        path, store = self._file(made, f"bloom_{kind}")
+        stream = store.create(path, True)
+        found.writeTo(stream)
+        stream.close()
+        made["bloom"].append(kind)
 
     def _put_vectors(self, made: dict, rows: DataFrame) -> DataFrame:
         kept = self._put(made, "vectors", rows)
@@ -223,7 +231,7 @@ class IndexStore:
         return kept
 
     def _new(self) -> dict:
-        return {"segment": uuid.uuid4().hex[:16], "at": time.time(), "tables": {}, "rows": {}, "bloom": {}}
+        return {"segment": uuid.uuid4().hex[:16], "at": time.time(), "tables": {}, "rows": {}, "bloom": []}
 
     def write(self, chunks: DataFrame | None = None, dead: DataFrame | None = None, vectors: DataFrame | None = None, of: tuple[str, ...] = KINDS) -> int:
         """Add a segment: these rows replace stored ones of their ids and kind. With an embedder, chunks bring their vectors.
