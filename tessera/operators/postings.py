@@ -9,6 +9,8 @@ at any average length. Merging segments takes blocks apart and together again; n
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
@@ -49,7 +51,16 @@ class Reader:
 
     def __init__(self, rows: DataFrame, dead: DataFrame | None, allowed: DataFrame | None, count: bool = False):
         self.rows, self.dead, self.allowed, self.count, self.taken = rows, dead, allowed, count, 0
-        self.meta = stored(rows.select("seg", "term", "parts", "part", "n", "max_tf", "min_dl"))
+
+    @cached_property
+    def meta(self) -> DataFrame:
+        """The blocks without their postings, written once."""
+        return stored(self.rows.select("seg", "term", "parts", "part", "n", "max_tf", "min_dl"))
+
+    def everything(self) -> DataFrame:
+        """All live postings (seg, term, doc_id, tf, dl)."""
+        post = self._live(decoded(self.rows, "seg"))
+        return post.join(small(self.allowed), "doc_id", "left_semi") if self.allowed is not None else post
 
     def _live(self, post: DataFrame) -> DataFrame:
         if self.dead is not None:

@@ -109,7 +109,7 @@ class IndexStore:
         if name == "postings":
             rows = self._rows(segments, "postings")
             if rows is not None:
-                return self._reader(segments, rows).postings(rows.select(postings.KEY)).select("term", "doc_id", "tf", "dl")
+                return self._reader(segments, rows).everything().select("term", "doc_id", "tf", "dl")
         elif (rows := self._live(segments, name)) is not None:
             return rows.drop("seg")
         raise ValueError(f"the index holds no {name}")
@@ -189,7 +189,7 @@ class IndexStore:
     def postings_of(self, terms: DataFrame, of: DataFrame | None = None) -> DataFrame:
         """Live postings (term, doc_id, tf, dl) of these terms, in the documents `of` if given."""
         reader = self.reader(terms, None if of is None else of.select("doc_id").distinct())
-        return reader.postings(reader.meta.select(postings.KEY)).select("term", "doc_id", "tf", "dl")
+        return reader.everything().select("term", "doc_id", "tf", "dl")
 
     # -- writing
     def _put(self, made: dict, table: str, df: DataFrame, by: str | None = None) -> DataFrame:
@@ -281,8 +281,7 @@ class IndexStore:
         made = self._new()
         if (rows := self._live(old, "chunks")) is not None:
             self._put_chunks(made, rows.drop("seg"))
-            blocks = self._rows(old, "postings")
-            self._put_postings(made, self._reader(old, blocks).postings(blocks.select(postings.KEY)).drop("seg"))
+            self._put_postings(made, self._reader(old, self._rows(old, "postings")).everything().drop("seg"))
             self._put(made, "doc_stats", self._live(old, "doc_stats").drop("seg"))
         if (rows := self._live(old, "vectors")) is not None:
             self._put_vectors(made, rows.drop("seg"))

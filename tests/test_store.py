@@ -51,7 +51,7 @@ def test_chunks_and_vectors_apart(spark, tmp_path):
 
 def test_merges_by_size(spark, tmp_path):
     """Rows are written again once a size, not once a write, and what is merged equals an index built at once."""
-    store, fanout, each, batches = IndexStore(spark, f"file://{tmp_path}/index", fanout=2), 2, 4, 9
+    store, fanout, each, batches = IndexStore(spark, f"file://{tmp_path}/index", fanout=2), 2, 4, 6
     rnd, now, written = random.Random(2), {}, 0
     for k in range(batches):
         rows = {f"d{rnd.randrange(40)}": " ".join(rnd.choices("abcdefg", k=5)) for _ in range(each)}
