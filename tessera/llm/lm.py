@@ -268,7 +268,7 @@ def train(corpus: DataFrame, n_class: np.ndarray, bits: int, rounds: int, rate:
                     used = used or len(at) > 0
                     for k in range(0, len(at), STEP):
                         rows, odds, bit = model.decisions(paths[k : k + STEP], [f[k : k + STEP] for f in features])
-                        p, one = (1 / (1 + np.exp(-odds))).ravel(), (bit.astype(np.int64) << 32 | 1).ravel()
+                        p, one = (1 / (1 + np.exp(-odds))).ravel().astype(float), (bit.astype(np.int64) << 32 | 1).ravel()
                         for r in rows:
                             np.add.at(expected, r.ravel(), p)
                             if first:
