@@ -42,7 +42,7 @@ REPLIES = "chunk long, shard long, blob binary"
 SUMS = "block int, task int, blob binary"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 END = b"\n"  # no word is it; number 0 of every chunk
-FAN, STEP, BLOCK = 64, 4096, 1 << 16
+FAN, STEP, BLOCK, FLUSH = 64, 4096, 1 << 16, 32
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -258,8 +258,8 @@ def train(corpus: DataFrame, n_class: np.ndarray, bits: int, rounds: int, rate:
         def run(batches, shared=shared, first=first):
             from pyspark import TaskContext
 
-            model, task, used = shared.value, TaskContext.get().partitionId(), False
-            expected, observed = np.zeros(size), np.zeros(size if first else 0, np.int64)  # of the latter: went right << 32 | all
+            model, task, used, steps = shared.value, TaskContext.get().partitionId(), False, 0
+            expected, few, observed = np.zeros(size), np.zeros(size, np.float32), np.zeros(size if first else 0, np.int64)  # of the latter: went right << 32 | all
             for b in batches:
                 for row in zip(*(c.to_pylist() for c in b.columns)):
                     c = Chunk(*row)
@@ -268,11 +268,16 @@ def train(corpus: DataFrame, n_class: np.ndarray, bits: int, rounds: int, rate:
                     used = used or len(at) > 0
                     for k in range(0, len(at), STEP):
                         rows, odds, bit = model.decisions(paths[k : k + STEP], [f[k : k + STEP] for f in features])
-                        p, one = (1 / (1 + np.exp(-odds))).ravel().astype(float), (bit.astype(np.int64) << 32 | 1).ravel()
+                        p, one = (1 / (1 + np.exp(-odds))).ravel(), (bit.astype(np.int64) << 32 | 1).ravel()
                         for r in rows:
-                            np.add.at(expected, r.ravel(), p)
+                            np.add.at(few, r.ravel(), p)
                             if first:
                                 np.add.at(observed, r.ravel(), one)
+                        steps += 1
+                        if steps % FLUSH == 0:  # a single-precision sum stays so small that no probability is lost in it
+                            expected += few
+                            few[:] = 0
+            expected += few
             if used:
                 for x, name in ((expected, 0), (observed, 1)):
                     for k in range(0, len(x), BLOCK):
