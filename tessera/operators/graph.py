@@ -193,3 +193,30 @@ def search(graphs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id"
         part = graphs.mapInArrow(run, f"query_id {kind}, {id_col} string, distance double, {keep} int, cost double")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def within(graphs: DataFrame, queries: DataFrame, floors: dict, id_col: str = "doc_id", m: int = 16, keep: str = "seg") -> DataFrame:
+    """(query_id, keep, id_col, distance) of all vectors no farther than the query's floor; a query without a floor finds every vector.
+    One matrix product per shard and 256 queries names them, as single-precision products are right to 1e-5; distances are exact."""
+    out, kind = None, kind_of(queries.schema["query_id"])
+    for ids, q in asked_blocks(queries):
+        shared = graphs.sparkSession.sparkContext.broadcast((ids, q, np.array([floors.get(i, np.inf) for i in ids], float)))
+
+        def run(batches, shared=shared):
+            ids, q, floor = shared.value
+            for b in batches:
+                for row in b.to_pylist():
+                    if not row["n"] or not len(q):
+                        continue
+                    names, x, g = _load(row, m)
+                    for a in range(0, len(q), 256):
+                        r, c = np.nonzero(q[a : a + 256].astype(np.float32) @ g.x.T >= (1 - floor[a : a + 256] - 1e-5)[:, None])
+                        v = x[c].astype(float)
+                        distance = np.round(1 - np.einsum("nd,nd->n", q[a + r], v) / np.linalg.norm(v, axis=1), 6) + 0.0
+                        near = distance <= floor[a + r]
+                        r, c = r[near], c[near]
+                        yield found_rows(kind, ids[a : a + 256][r], "string", names[c], distance[near], id_col, {keep: [row[keep]] * len(r)})
+
+        part = graphs.mapInArrow(run, f"query_id {kind}, {id_col} string, distance double, {keep} int")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -20,7 +20,7 @@ import math
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -326,9 +326,10 @@ class IndexStore:
             trace |= {"taken": reader.taken, "held": reader.meta.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]}
         return out
 
-    def near(self, queries: DataFrame, k: int, beam: int = 64, trace: dict | None = None) -> DataFrame:
+    def near(self, queries: DataFrame, k: int, beam: int = 64, trace: dict | None = None, checked: bool = False, ties: Column | None = None) -> DataFrame:
         """(query_id, doc_id, distance, rank) by the proximity graphs, approximate. A shard brings its `beam` best, so that replaced
-        rows among them leave room; trace: gets `cost`, the distances computed."""
+        rows among them leave room; checked: the k-th hit is a floor, and all vectors that are no farther are brought, so the hits are
+        exact; ties: order of equal distances, else by doc_id; trace: gets `cost`, the distances computed."""
         segments = self.segments()
         rows = self._rows(segments, "graph")
         if rows is None or any("vectors" in x["tables"] and "graph" not in x["tables"] for x in segments):
@@ -337,9 +338,17 @@ class IndexStore:
         if trace is not None:
             trace["cost"] = found.agg(F.coalesce(F.sum("cost"), F.lit(0.0))).first()[0]
         dead = self._dead(segments, "vectors")
-        if dead is not None:
-            found = found.join(lexical.small(dead), "doc_id", "left").where(F.col("dead").isNull() | (F.col("dead") <= F.col("seg")))
-        return lexical.top(found.select("query_id", "doc_id", "distance"), k, F.col("distance"), F.col("doc_id"))
+
+        def best(found: DataFrame) -> DataFrame:
+            if dead is not None:
+                found = found.join(lexical.small(dead), "doc_id", "left").where(F.col("dead").isNull() | (F.col("dead") <= F.col("seg")))
+            return lexical.top(found.select("query_id", "doc_id", "distance"), k, F.col("distance"), F.col("doc_id") if ties is None else ties)
+
+        if not checked:
+            return best(found)
+        # as many floors as queries, which are broadcast anyway
+        floors = {r["query_id"]: r["distance"] for r in best(found).where(F.col("rank") == k).select("query_id", "distance").collect()}
+        return best(graph.within(rows, queries, floors))
 
 
 class Indexed:
@@ -410,15 +419,15 @@ class Engine:
         found = self.store.ranked(terms, k, get("K1"), get("B"), get("DELTA"), self.where(**where) if where else None)
         return hybrid.union(found, vector)
 
-    def search_vectors(self, queries: DataFrame, k: int | None = None, where: dict | None = None, approximate: bool = False, beam: int = 64) -> DataFrame:
+    def search_vectors(self, queries: DataFrame, k: int | None = None, where: dict | None = None, approximate: bool = False, beam: int = 64, checked: bool = False, ties: Column | None = None) -> DataFrame:
         """(query_id, doc_id, distance, rank) of the stored vectors; queries with an `embedding`, or with a text that the engine's embedder takes.
-        approximate: by the proximity graphs, with a beam of this width; with a filter the search is exact, over the rows that pass."""
+        approximate: by the proximity graphs, with a beam of this width, checked and ties as in `IndexStore.near`; with a filter the search is exact, over the rows that pass."""
         if "embedding" not in queries.columns:
             if self.embedder is None:
                 raise ValueError("queries need an embedding, or the engine an embedder")
             queries = queries.select("query_id", models.embed(F.concat(F.lit(self.prefixes[0]), "text"), self.embedder).alias("embedding"))
         if approximate and not where:
-            return self.store.near(queries, k or int(self.config.get("SEARCH", "TOP_K")), beam)
+            return self.store.near(queries, k or int(self.config.get("SEARCH", "TOP_K")), beam, checked=checked, ties=ties)
         rows = self.store.table("vectors")
         for name, value in (where or {}).items():
             rows = rows.where(lexical.metadata_equals(F.col("metadata"), name, value))
