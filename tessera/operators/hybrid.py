@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.models import Evaluator
-from .lexical import query_terms, small, top
+from . import rows
+from .lexical import is_small, numbered_queries, query_terms, small, top
 from .staging import stored
 
 
@@ -15,7 +17,16 @@ def set_cosine(queries: DataFrame, docs: DataFrame, k: int = 10, tokens=None) ->
     from ..functions.text import tokenize
 
     tokens = tokens or tokenize
-    q = small(query_terms(queries, tokens=tokens).select("query_id", "term"))
+    terms = query_terms(queries, tokens=tokens)
+    if is_small(terms) and docs.schema["doc_id"].dataType.simpleString() in ("string", "bigint", "int") and not rows.repeats(docs, "doc_id"):
+        names, asked_by, asked = numbered_queries(terms)
+        nq = np.array([[len(ts)] for ts in asked], float).reshape(-1, 1)
+        # negative, since the largest is taken; documents without a token are found by no query
+        score = lambda sums, tf, nd: np.ones(len(tf)) if sums is None else -(np.round(1 - sums / np.sqrt(nq * np.maximum(nd, 1)), 6) + 0.0)
+        each = docs.select("doc_id", F.coalesce(F.array_distinct(tokens(F.col("text"))), F.array().cast("array<string>")).alias("tokens"))
+        found = rows.best(each, names, [[(t, 1.0) for t in ts] for ts in asked], k, score)
+        return top(found.join(asked_by, "query").select("query_id", "doc_id", (F.lit(0.0) - F.col("score")).alias("distance")), k, F.col("distance"), F.col("doc_id"))
+    q = small(terms.select("query_id", "term"))
     nq = F.broadcast(q.groupBy("query_id").agg(F.count("*").alias("nq")))
     each = docs.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("terms"))
     post = each.select("doc_id", F.size("terms").alias("nd"), F.explode("terms").alias("term"))
@@ -59,7 +70,8 @@ def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, model: Evaluato
     if text_col in hits.columns:
         texts = hits
     elif text_col in docs.columns:
-        texts = hits.join(docs.select("doc_id", text_col), "doc_id")
+        hits = stored(hits)
+        texts = docs.select("doc_id", text_col).join(small(hits), "doc_id").select(*hits.columns, text_col)
     else:
         raise ValueError(f"no column {text_col!r} in hits or documents")
     scored = texts.join(small(queries.select("query_id", F.col("text").alias("query"))), "query_id").withColumn("rerank", model.score(F.col("query"), F.col(text_col)))
@@ -98,5 +110,5 @@ def flatten(hits: DataFrame, docs: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set("backend")), ", ").alias("source"),
         F.max(F.when(F.col("backend") == "bm25", F.col("distance"))).alias("distance_bm25"), F.max(F.when(F.col("backend") == "vector", F.col("distance"))).alias("distance_vector"),
         first("enhanced_text").alias("enhanced_text"), first("rerank").alias("rerank_score"))
-    taken = {*wide.columns} - {"doc_id"}
-    return wide.join(docs.select(*[F.col(c).alias(f"meta_{c}") if c in taken else F.col(c) for c in docs.columns]), "doc_id")
+    taken, wide = {*wide.columns} - {"doc_id"}, stored(wide)  # its size tells whether texts need a shuffle
+    return docs.select(*[F.col(c).alias(f"meta_{c}") if c in taken else F.col(c) for c in docs.columns]).join(small(wide), "doc_id").select(*wide.columns, *[f"meta_{c}" if c in taken else c for c in docs.columns if c != "doc_id"])

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions.text import tokenize
+from . import rows
 from .staging import stored
 
 #: Queries whose term list is below this many rows are broadcast; more are joined by shuffle.
@@ -69,8 +71,8 @@ class Corpus:
     def read(self, terms: DataFrame) -> tuple[int, int, dict[str, int], DataFrame]:
         """(documents, words, document frequency by term, written postings (term, doc_id, tf, dl) of these terms)."""
         n, words, _ = statistics(self.each.select(F.size("tokens").cast("long").alias("dl"))).first()
-        rows = self.each.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(F.broadcast(terms.select("term")), "term", "left_semi")
-        post = stored(rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
+        every = self.each.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(F.broadcast(terms.select("term")), "term", "left_semi")
+        post = stored(every.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
         return n, words, {r["term"]: r["df"] for r in frequencies(post).collect()}, _within(post, self.allowed)
 
 
@@ -82,12 +84,17 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_
            candidates: DataFrame | None = None, text_col: str = "text", tokens=tokenize) -> DataFrame:
     """Top k per query: (query_id, doc_id, score, distance, rank).
 
-    Texts are tokenised once. Statistics come from the whole corpus, also when `candidates` (doc_id)
-    limits what may be found. Ties go to the smaller doc_id.
+    Statistics come from the whole corpus, also when `candidates` (doc_id) limits what may be found. Ties go to the smaller
+    doc_id. Texts are tokenised where they lie, once for the statistics and once for the scores, so that no tokens are written or
+    shuffled. Where an id has several rows, which count as one document, or terms are many, postings are grouped instead.
     """
     terms = query_terms(queries, text_col="text", tokens=tokens)
-    each = stored(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("tokens")))
-    if is_small(terms):
+    each = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("tokens"))
+    few = is_small(terms)
+    if few and each.schema["doc_id"].dataType.simpleString() in ("string", "bigint", "int") and not rows.repeats(docs, id_col):
+        return _in_place(terms, each, each if candidates is None else _within(docs.withColumnRenamed(id_col, "doc_id"), candidates).select("doc_id", F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("tokens")), k, k1, b, delta)
+    each = stored(each)
+    if few:
         return ranked(terms, Corpus(each, candidates), k, k1, b, delta)
     # so many queries that their terms are no small side: every posting meets every query that has its term
     stats = F.broadcast(statistics(each.select(F.size("tokens").cast("long").alias("dl"))))
@@ -98,6 +105,32 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_
     return _with_distance(scored, k)
 
 
+def numbered_queries(terms: DataFrame) -> tuple[list[str], DataFrame, list[dict[int, int]]]:
+    """Of a small (query_id, term, qn): distinct terms, (query, query_id) to broadcast, and qn by number of the term for each query."""
+    names, of, asked = {}, {}, []
+    for r in terms.select("query_id", "term", "qn").collect():
+        q = of.setdefault(r["query_id"], len(of))
+        if q == len(asked):
+            asked.append({})
+        asked[q][names.setdefault(r["term"], len(names))] = r["qn"]
+    schema = StructType([StructField("query", IntegerType()), terms.schema["query_id"]])
+    return list(names), F.broadcast(terms.sparkSession.createDataFrame([(n, q) for q, n in of.items()], schema)), asked
+
+
+def _in_place(terms: DataFrame, each: DataFrame, allowed: DataFrame, k: int, k1: float, b: float, delta: float) -> DataFrame:
+    """The exact top k of `allowed` (doc_id, tokens), with the statistics of `each`."""
+    names, queries, asked = numbered_queries(terms)
+    n, words, df = rows.totals(each.select("tokens"), names)
+    avgdl = words / n if n and words else 1.0
+    weight = [max(0.0, math.log((n - d + 0.5) / (d + 0.5) + 1)) if d else 0.0 for d in df.tolist()]
+
+    def score(sums, tf, dl):
+        return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)) + delta if sums is None else np.round(sums, 6)
+
+    found = rows.best(allowed, names, [[(t, qn * weight[t]) for t, qn in ts.items()] for ts in asked], k, score)
+    return _with_distance(found.join(queries, "query").select("query_id", "doc_id", "score"), k)
+
+
 def saturation(avgdl: Column, k1: float, b: float, delta: float) -> Column:
     return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl)) + delta
 
@@ -110,10 +143,10 @@ def _with_distance(scored: DataFrame, k: int) -> DataFrame:
 ONE_PASS = 50_000_000
 
 
-def weighted(rows: list, n: int, df: dict[str, int]) -> dict:
+def weighted(asked: list, n: int, df: dict[str, int]) -> dict:
     """(weight, term) by query, heaviest first, of the query terms that a document holds."""
     out: dict = {}
-    for r in rows:
+    for r in asked:
         if df.get(r["term"]):
             out.setdefault(r["query_id"], []).append((r["qn"] * max(0.0, math.log((n - df[r["term"]] + 0.5) / (df[r["term"]] + 0.5) + 1)), r["term"]))
     for ts in out.values():
@@ -130,12 +163,12 @@ def ranked(terms: DataFrame, corpus, k: int, k1: float, b: float, delta: float,
     rest's bound reach it.
     """
     spark, most, slack = terms.sparkSession, k1 + 1 + delta, 1e-5
-    rows = terms.select("query_id", "term", "qn").collect()
+    asked = terms.select("query_id", "term", "qn").collect()
     schema = StructType([terms.schema["query_id"], StructField("term", StringType()), StructField("w", DoubleType())])
     frame = lambda rows: F.broadcast(spark.createDataFrame(rows, schema))
-    n, words, df, post = corpus.read(spark.createDataFrame(sorted({(r["term"],) for r in rows}), "term string"))
+    n, words, df, post = corpus.read(spark.createDataFrame(sorted({(r["term"],) for r in asked}), "term string"))
     avgdl = F.lit(float(words / n) if n and words else 1.0)
-    by_query = weighted(rows, n, df)
+    by_query = weighted(asked, n, df)
     every = [(q, t, w) for q, ts in by_query.items() for w, t in ts]
 
     def scored(weights: list[tuple], of: DataFrame | None = None) -> DataFrame:
