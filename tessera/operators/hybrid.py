@@ -17,7 +17,7 @@ def set_cosine(queries: DataFrame, docs: DataFrame, k: int = 10, tokens=None) ->
     from ..functions.text import tokenize
 
     tokens = tokens or tokenize
-    terms = query_terms(queries, tokens=tokens)
+    terms = query_terms(queries, tokens=tokens).where("query_id IS NOT NULL")
     if is_small(terms) and docs.schema["doc_id"].dataType.simpleString() in ("string", "bigint", "int") and not rows.repeats(docs, "doc_id"):
         names, asked_by, asked = numbered_queries(terms)
         nq = np.array([[len(ts)] for ts in asked], float).reshape(-1, 1)

@@ -56,6 +56,15 @@ def small(df: DataFrame, rows: int = BROADCAST_TERMS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+#: Replaced ids below this many are broadcast, so that postings and texts need no shuffle to leave them out.
+BROADCAST_IDS = 2_000_000
+
+
+def small_ids(ids: DataFrame) -> DataFrame:
+    """ids to broadcast, if they are no more than `BROADCAST_IDS`; counted by the executors."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def counted(each: DataFrame) -> DataFrame:
     """(doc_id, tokens) -> (term, doc_id, tf, dl)."""
     return (each.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))

@@ -9,13 +9,17 @@ at any average length. Merging segments takes blocks apart and together again; n
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from .lexical import ONE_PASS, _with_distance, saturation, small, top, weighted
+from .lexical import ONE_PASS, _with_distance, saturation, small, small_ids, top, weighted
 from .staging import stored
 
 BLOCK = 32
@@ -27,15 +31,42 @@ def part_of(doc_id: Column, parts: Column) -> Column:
     return F.xxhash64(doc_id).bitwiseAND(parts - 1)
 
 
-def blocks(post: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, dl) -> (term, parts, part, n, max_tf, min_dl, docs, tfs, dls); post is read twice."""
-    often = post.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= 2 * BLOCK)
+def blocks(post: DataFrame, often: DataFrame, bucket: Callable[[Column], Column]) -> DataFrame:
+    """(term, doc_id, tf, dl) -> (term, parts, part, n, max_tf, min_dl, docs, tfs, dls, bucket), sorted in each task; postings are shuffled once.
+    often: (term, df), how many postings terms have; those with fewer than two blocks of them may be left out."""
+    often = often.where(F.col("df") >= 2 * BLOCK)
     parts = F.when(F.col("df").isNull(), F.lit(1).cast("long")).otherwise(F.expr(f"shiftleft(1L, cast(floor(log2(df / {BLOCK})) as int))"))
-    rows = post.join(small(often), "term", "left").withColumn("parts", parts)
-    grouped = rows.groupBy("term", "parts", part_of(F.col("doc_id"), F.col("parts")).alias("part")).agg(
-        F.count("*").cast("int").alias("n"), F.max("tf").cast("int").alias("max_tf"), F.min("dl").cast("int").alias("min_dl"), F.array_sort(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("p"))
-    each = lambda name, kind: F.transform("p", lambda x: x[name].cast(kind))
-    return grouped.select("term", "parts", "part", "n", "max_tf", "min_dl", each("doc_id", "string").alias("docs"), each("tf", "int").alias("tfs"), each("dl", "int").alias("dls"))
+    rows = post.join(small(often), "term", "left").withColumn("parts", parts).withColumn("part", part_of(F.col("doc_id"), F.col("parts")))
+    dealt = rows.select("term", F.col("doc_id").cast("string").alias("doc_id"), F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"), "parts", "part", bucket(F.col("term")).alias("bucket"), F.pmod(F.xxhash64("term", "part"), F.lit(4096)).alias("place")).repartition("bucket", "place")
+    fields = {"term": pa.string(), "parts": pa.int64(), "part": pa.int64(), "n": pa.int32(), "max_tf": pa.int32(), "min_dl": pa.int32(), "docs": pa.list_(pa.string()), "tfs": pa.list_(pa.int32()), "dls": pa.list_(pa.int32()), "bucket": pa.int32()}
+    schema = pa.schema(list(fields.items()))
+
+    def made(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        ends, first = pa.array(np.append(starts, t.num_rows), pa.int32()), pa.array(starts)
+        tf, dl = t.column("tf").to_numpy(), t.column("dl").to_numpy()
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (t.column("doc_id").combine_chunks(), pa.array(tf), pa.array(dl))]
+        head = {c: t.column(c).combine_chunks().take(first) for c in ("term", "parts", "part", "bucket")}
+        facts = [np.diff(np.append(starts, t.num_rows)).astype(np.int32), np.maximum.reduceat(tf, starts), np.minimum.reduceat(dl, starts)]
+        return pa.RecordBatch.from_arrays([head["term"], head["parts"], head["part"], *map(pa.array, facts), *lists, head["bucket"]], schema=schema)
+
+    def cut(batches):
+        """Blocks of sorted postings; the last of a batch may go on in the next."""
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            if not t.num_rows:
+                continue
+            term, part = pc.dictionary_encode(t.column("term").combine_chunks()).indices.to_numpy(), t.column("part").to_numpy()
+            starts = np.append(0, np.flatnonzero((np.diff(term) != 0) | (np.diff(part) != 0)) + 1)
+            if len(starts) > 1:
+                yield made(t.slice(0, starts[-1]), starts[:-1])
+            rest = t.slice(starts[-1])
+        if rest is not None:
+            yield made(rest, np.array([0]))
+
+    ddl = "term string, parts long, part long, n int, max_tf int, min_dl int, docs array<string>, tfs array<int>, dls array<int>, bucket int"
+    return dealt.sortWithinPartitions("bucket", "term", "part", "doc_id").drop("place").mapInArrow(cut, ddl).sortWithinPartitions("bucket", "term", "part")
 
 
 def decoded(rows: DataFrame, *keep: str) -> DataFrame:
@@ -64,7 +95,7 @@ class Reader:
 
     def _live(self, post: DataFrame) -> DataFrame:
         if self.dead is not None:
-            post = post.join(small(self.dead), "doc_id", "left").where(F.col("dead").isNull() | (F.col("dead") <= F.col("seg"))).drop("dead")
+            post = post.join(small_ids(self.dead), "doc_id", "left").where(F.col("dead").isNull() | (F.col("dead") <= F.col("seg"))).drop("dead")
         return post
 
     def postings(self, wanted: DataFrame, filtered: bool = True) -> DataFrame:
@@ -85,7 +116,7 @@ class Reader:
             # only blocks that hold a replaced document are looked into
             sizes = self.meta.select("parts").distinct()
             hit = self.dead.crossJoin(F.broadcast(sizes)).select("parts", part_of(F.col("doc_id"), F.col("parts")).alias("part")).distinct()
-            gone = decoded(self.rows.join(small(hit), ["parts", "part"], "left_semi"), "seg").join(small(self.dead), "doc_id").where(F.col("dead") > F.col("seg"))
+            gone = decoded(self.rows.join(small(hit), ["parts", "part"], "left_semi"), "seg").join(small_ids(self.dead), "doc_id").where(F.col("dead") > F.col("seg"))
             for r in gone.groupBy("term").agg(F.count("*").alias("n")).collect():
                 df[r["term"]] -= r["n"]
         return facts, {t: n for t, n in df.items() if n}

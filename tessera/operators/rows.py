@@ -35,6 +35,24 @@ def held(column: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.
     return key // max(1, len(terms)), key % max(1, len(terms)), tf, sizes
 
 
+def counted(each: DataFrame) -> DataFrame:
+    """(doc_id string, tokens) -> (term, doc_id, tf, dl), ids unique: a row's postings arise where it lies."""
+    bounded_batches(each.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            column = b.column(1)
+            flat = pc.dictionary_encode(column.flatten())
+            sizes, n = np.diff(column.offsets.to_numpy()), max(1, len(flat.dictionary))
+            key, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            doc = key // n
+            yield pa.record_batch([flat.dictionary.take(pa.array(key % n)), b.column(0).take(pa.array(doc)), pa.array(tf, pa.int64()), pa.array(sizes[doc], pa.int32())], names=["term", "doc_id", "tf", "dl"])
+
+    return each.select("doc_id", "tokens").mapInArrow(run, "term string, doc_id string, tf long, dl int")
+
+
 def totals(tokens: DataFrame, terms: list[str]) -> tuple[int, int, np.ndarray]:
     """(rows, tokens of all rows, rows that hold each term) of a column `tokens` without nulls."""
     bounded_batches(tokens.sparkSession)

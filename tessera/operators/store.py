@@ -28,7 +28,7 @@ from ..config import EngineConfig
 from ..functions import models
 from ..functions.models import OverlapEvaluator
 from ..functions.text import tokenize
-from . import graph, hybrid, ingest, lexical, postings, vector
+from . import graph, hybrid, ingest, lexical, postings, rows, vector
 from .manifest import VersionLog
 from .staging import remove, stored
 
@@ -84,7 +84,15 @@ class IndexStore:
         gone = parts[0]
         for x in parts[1:]:
             gone = gone.unionByName(x)
-        return gone.groupBy("doc_id").agg(F.max("dead").alias("dead"))
+        gone = gone.groupBy("doc_id").agg(F.max("dead").alias("dead"))
+        if lexical.is_small(gone):
+            return gone
+        # a write names all its ids: those that no older segment holds hide nothing
+        ids = self._rows(segments, "doc_stats" if kind == "chunks" else "vectors")
+        if ids is None:
+            return gone
+        first = ids.groupBy("doc_id").agg(F.min("seg").alias("first"))
+        return stored(gone.join(first, "doc_id").where(F.col("first") < F.col("dead")).select("doc_id", "dead"))
 
     def _rows(self, segments: list[dict], name: str, only: set[int] | None = None) -> DataFrame | None:
         """Rows of these segments with `seg`, replaced ones too; only: numbers of the segments to open."""
@@ -100,7 +108,7 @@ class IndexStore:
         rows = self._rows(segments, name, only)
         dead = None if rows is None else self._dead(segments, OF[name])
         if dead is not None:
-            rows = rows.join(lexical.small(dead), "doc_id", "left").where(F.col("dead").isNull() | (F.col("dead") <= F.col("seg"))).drop("dead")
+            rows = rows.join(lexical.small_ids(dead), "doc_id", "left").where(F.col("dead").isNull() | (F.col("dead") <= F.col("seg"))).drop("dead")
         return rows
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
@@ -198,13 +206,10 @@ class IndexStore:
         made["tables"][table] = df.schema.jsonValue()
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _put_postings(self, made: dict, post: DataFrame) -> None:
-        """post: (term, doc_id, tf, dl)."""
-        post = stored(post)
+    def _put_postings(self, made: dict, post: DataFrame, often: DataFrame) -> None:
+        """post: (term, doc_id, tf, dl); often: (term, df), the numbers of postings."""
         made["buckets"] = 1 << int(math.log2(max(1, min(BUCKETS, made["rows"]["chunks"] // BUCKET_CHUNKS))))
-        rows = postings.blocks(post).withColumn("bucket", bucket(F.col("term"), made["buckets"]))
-        self._put(made, "postings", rows.repartition("bucket", F.pmod(F.xxhash64("term", "part"), F.lit(4096))).sortWithinPartitions("bucket", "term", "part"), "bucket")
-        remove(self.spark, post.inputFiles()[0].rsplit("/", 1)[0]) if post.inputFiles() else None
+        self._put(made, "postings", postings.blocks(post, stored(often), lambda term: bucket(term, made["buckets"])), "bucket")
 
     def _put_filter(self, made: dict, kind: str, ids: DataFrame, n: int) -> None:
         found = ids._jdf.stat().bloomFilter("doc_id", max(1, min(n, BLOOM_IDS)), 0.01)
@@ -240,7 +245,8 @@ class IndexStore:
         if chunks is not None:
             kept = self._put_chunks(made, chunks)
             each = kept.select("doc_id", F.coalesce(self.tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
-            self._put_postings(made, lexical.counted(each))
+            df = each.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+            self._put_postings(made, rows.counted(each), df)
             self._put(made, "doc_stats", lexical.lengths(kept, tokens=self.tokens))
             ids["chunks"] = kept.select("doc_id")
             if self.embedder is not None and vectors is None:
@@ -281,7 +287,8 @@ class IndexStore:
         made = self._new()
         if (rows := self._live(old, "chunks")) is not None:
             self._put_chunks(made, rows.drop("seg"))
-            self._put_postings(made, self._reader(old, self._rows(old, "postings")).everything().drop("seg"))
+            post = self._reader(old, self._rows(old, "postings")).everything().drop("seg")
+            self._put_postings(made, post, lexical.frequencies(post))
             self._put(made, "doc_stats", self._live(old, "doc_stats").drop("seg"))
         if (rows := self._live(old, "vectors")) is not None:
             self._put_vectors(made, rows.drop("seg"))
@@ -341,7 +348,7 @@ class IndexStore:
 
         def best(found: DataFrame) -> DataFrame:
             if dead is not None:
-                found = found.join(lexical.small(dead), "doc_id", "left").where(F.col("dead").isNull() | (F.col("dead") <= F.col("seg")))
+                found = found.join(lexical.small_ids(dead), "doc_id", "left").where(F.col("dead").isNull() | (F.col("dead") <= F.col("seg")))
             return lexical.top(found.select("query_id", "doc_id", "distance"), k, F.col("distance"), F.col("doc_id") if ties is None else ties)
 
         if not checked:
@@ -388,7 +395,8 @@ class Engine:
         return self.upsert(rows.select("doc_id", F.col("doc_id").alias("source_id"), F.lit(0).alias("serial_number"), F.lit(1).alias("page_number"), F.lit(0).alias("chunk_index_in_page"), "text", "metadata"))
 
     def upsert(self, chunks: DataFrame) -> int:
-        return self.store.write(chunks.dropDuplicates(["doc_id"]))
+        # texts are shuffled only if an id repeats
+        return self.store.write(chunks.dropDuplicates(["doc_id"]) if rows.repeats(chunks, "doc_id") else chunks)
 
     def insert(self, chunks: DataFrame) -> int:
         """Ids that are stored stay as they are; filters tell which segments to look into."""
