@@ -4,12 +4,12 @@ A word that the model knows scores its per-language log frequency; an unseen wor
 falls back to its character 5-grams, then 4-, 3-, 2- and 1-grams, whichever length
 is the first of which the model knows any. A text's score is the sum over its words.
 
-The model is a classifier, fitted on about `sample` labelled rows at most (chosen by a hash
-of the id; documented bound): languages with few rows are learned whole, the others share
-the rest evenly, so none is too rare to be learned; of more than `most_langs` labels those
-with most rows are learned. It keeps at most `most_words` words and `most_grams`
-n-grams, the most frequent and those alone that the sample holds `least` times: its size,
+The model is a classifier whose counts are those of all labelled rows and their whole texts; of
+more than `most_langs` labels those with most rows are learned. It keeps at most `most_words` words and
+`most_grams` n-grams, the most frequent and those alone that the rows hold `least` times: its size,
 and what is broadcast, is bounded by those parameters. Every row is then predicted over its whole text.
+A caller may give `sample` to learn from about that many rows only (chosen by a hash of the id): languages with few
+rows are then learned whole, the others share the rest evenly. No query does.
 
 `und` with score 0 for a null text, a text without a letter, or an untrained model.
 Null ids count as not held out, and are not learned from. Ties go to the language
@@ -25,6 +25,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -50,58 +51,108 @@ def shares(totals: dict[str, int], sample: int) -> dict[str, float]:
     return out
 
 
-def learn(docs: DataFrame, sample: int = 20_000, most_words: int = 150_000, most_grams: int = 60_000, longest: int = 5, least: int = 3, most_langs: int = 1_000) -> dict:
-    """Model from the rows' text and lang: {'langs', 'prior', 'words': {w: counts}, 'grams': {g: counts}}; prior counts all labelled rows."""
+def cut_words(words: list[str], owners: np.ndarray, counts: np.ndarray, longest: int):
+    """For n = 1 .. longest: (n, owner, n-gram, sum of its words' counts) of all n-grams that occur, as arrays.
+
+    A rank stands for an owner and the n characters from a place on; with the next character it gives that of n + 1."""
+    codes = np.frombuffer("".join([f" {w} " for w in words]).encode("utf-32-le"), "<u4")
+    alphabet, letters = np.unique(codes, return_inverse=True)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    word, left = np.repeat(np.arange(len(words)), sizes), np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))
+    at, rank = np.arange(len(codes)), owners[word]
+    for n in range(1, longest + 1):
+        fits = left[at] >= n
+        at = at[fits]
+        _, first, rank = np.unique(rank[fits] * len(alphabet) + letters[at + n - 1], return_index=True, return_inverse=True)
+        total, start = np.bincount(rank, weights=counts[word[at]], minlength=len(first)).astype(np.int64), at[first]
+        if n == 1:  # a single character is never the padding
+            real = codes[start] != 32
+            total, start = total[real], start[real]
+        yield n, owners[word[start]], np.ascontiguousarray(codes[start[:, None] + np.arange(n)]).view(f"<U{n}").ravel(), total
+
+
+def most_frequent(rows: DataFrame, most: int, *order: str) -> DataFrame:
+    """The `most` rows of largest `all`, ties by the order; only the last count's ties are sorted."""
+    last, room = None, most
+    for r in rows.groupBy("all").count().orderBy(F.desc("all")).toLocalIterator():
+        last = r["all"]
+        if r["count"] >= room:
+            break
+        room -= r["count"]
+    else:
+        return rows
+    return rows.where(F.col("all") > last).union(rows.where(F.col("all") == last).orderBy(*order).limit(room))
+
+
+def learn(docs: DataFrame, sample: int | None = None, most_words: int = 150_000, most_grams: int = 60_000, longest: int = 5, least: int = 3, most_langs: int = 1_000) -> dict:
+    """Model from the rows' text and lang: {'langs', 'prior', 'words': (words, counts by language), 'grams': the same of n-grams}; prior counts all labelled rows."""
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null and doc_id is not null")
     totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
-    parts = shares(totals, sample)
+    parts = shares(totals, sample or sum(totals.values()))
     limits = docs.sparkSession.createDataFrame(list(parts.items()), "lang string, share double")
-    picked = sampled(rows.join(F.broadcast(limits), "lang"), "doc_id", F.col("share"), 7)
+    picked = rows.join(F.broadcast(limits), "lang")
+    if sample:
+        picked = sampled(picked, "doc_id", F.col("share"), 7)
     schema = arrow_schema(COUNTS)
 
     def count(batches):
+        """Words by language, added up until there are many."""
+        found: dict[str, Counter] = {}
         for b in batches:
-            by_lang: dict[str, Counter] = {}
-            n_docs: Counter = Counter()
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by_lang.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
-                n_docs[lang] += 1
-            out = [(lang, 6, "", n) for lang, n in n_docs.items()] + [(lang, 0, w, c) for lang, ws in by_lang.items() for w, c in ws.items()]
-            if out:
-                yield batch(schema, *zip(*out))
+                found.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+            n_docs = Counter(b.column(1).to_pylist())
+            yield batch(schema, list(n_docs), [6] * len(n_docs), [""] * len(n_docs), list(n_docs.values()))
+            if sum(map(len, found.values())) > 300_000:
+                yield from rows_of(found)
+                found.clear()
+        yield from rows_of(found)
+        relieve()
+
+    def rows_of(found):
+        for lang, c in found.items():
+            yield batch(schema, pa.repeat(lang, len(c)), pa.repeat(pa.scalar(0, pa.int32()), len(c)), list(c), list(c.values()))
 
     def cut(batches):
-        """n-grams of the words, added up until there are many."""
-        found: Counter = Counter()
+        """n-grams of the words, many at a time."""
+        def flush():
+            t = pa.Table.from_batches(held)
+            owners = pc.index_in(t.column(0), pa.array(langs, pa.string())).to_numpy()
+            for n, owner, gram, total in cut_words(t.column(1).to_pylist(), owners.astype(np.int64), t.column(2).to_numpy(), longest):
+                yield batch(schema, pa.array(langs, pa.string()).take(pa.array(owner)), pa.repeat(pa.scalar(n, pa.int32()), len(gram)), gram.tolist(), total)
+
+        held, size = [], 0
         for b in batches:
-            for lang, w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                for n in range(1, longest + 1):
-                    for g in grams(w, n):
-                        found[lang, n, g] += c
-            if len(found) > 300_000:
-                yield batch(schema, *zip(*((*k, c) for k, c in found.items())))
-                found.clear()
-        if found:
-            yield batch(schema, *zip(*((*k, c) for k, c in found.items())))
+            held, size = [*held, b], size + b.nbytes
+            if size > 2 << 20:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+        relieve()
 
     def add(rows: DataFrame) -> DataFrame:
         return rows.groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
 
     tune(docs.sparkSession)
     words = table(add(picked.select("text", "lang").mapInArrow(count, COUNTS)))
-    counts = words.unionByName(add(words.where("kind = 0").select("lang", "gram", "n").mapInArrow(cut, COUNTS)))
-    counts = table(counts)
-    each = counts.groupBy("kind", "gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    words = each.where(f"kind = 0 and all >= {least}").orderBy(F.desc("all"), "gram").limit(most_words)
-    parts = each.where(f"kind between 1 and 5 and all >= {least}").orderBy(F.desc("all"), "kind", "gram").limit(most_grams)
-    got = words.union(parts).union(each.where("kind = 6")).select("kind", "gram", "by").collect()
-    langs = sorted(next((r["by"] for r in got if r["kind"] == 6), {}))
-
-    def side(kinds) -> tuple[list[str], np.ndarray]:
-        rows = [r for r in got if r["kind"] in kinds]
-        return [r["gram"] for r in rows], np.array([[r["by"].get(x, 0) for x in langs] for r in rows], np.int64).reshape(len(rows), len(langs))
-
-    return {"langs": langs, "prior": [totals[x] for x in langs], "words": side({0}), "grams": side(range(1, 6)), "longest": longest}
+    langs = sorted(r["lang"] for r in words.where("kind = 6").select("lang").collect())
+    tasks = 1 + words.count() // 100_000
+    grams = add(words.where("kind = 0").select("lang", "gram", "n").repartition(tasks).mapInArrow(cut, COUNTS))
+    by = F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
+    each = table(words.where("kind = 0").unionByName(grams).groupBy("kind", "gram").agg(F.sum("n").alias("all"), by).where(F.col("all") >= least))
+
+    def side(rows: DataFrame) -> tuple[list[str], np.ndarray]:
+        t = rows.select("gram", F.map_keys("by").alias("langs"), F.map_values("by").alias("ns")).toArrow().combine_chunks()
+        counts = np.zeros((t.num_rows, len(langs)), np.int64)
+        if t.num_rows:
+            names = t.column("langs").chunk(0)
+            at = np.repeat(np.arange(t.num_rows), np.diff(names.offsets.to_numpy()))
+            counts[at, pc.index_in(names.flatten(), pa.array(langs, pa.string())).to_numpy()] = t.column("ns").chunk(0).flatten().to_numpy()
+        return t.column("gram").to_pylist(), counts
+
+    known = side(most_frequent(each.where("kind = 0"), most_words, "gram"))
+    return {"langs": langs, "prior": [totals[x] for x in langs], "words": known, "grams": side(most_frequent(each.where("kind > 0"), most_grams, "kind", "gram")), "longest": longest}
 
 
 class Scorer(dict):

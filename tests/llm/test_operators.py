@@ -385,6 +385,42 @@ def test_samples(spark):
     assert 0 < found < 30
 
 
+def test_language_counts_all_rows(spark):
+    """Counts are those of all rows, however many: words, n-grams and the cuts by frequency as from plain counters."""
+    texts = [("en", "The House"), ("de", "das Haus ß"), ("en", "a über-house 7x"), ("xx", "12 34"), ("el", "ΟΔΟΣ 你好")]
+    rows = [(k, f"{texts[k % 5][1]} w{chr(97 + k % 23)}{chr(97 + k % 19)}", texts[k % 5][0]) for k in range(25_000)] + [(None, "gone", "en"), (1, None, "en"), (2, "gone", None)]
+    want = Counter()
+    for i, text, lang in rows:
+        if None not in (i, text, lang):
+            for w in language_id.WORD.findall(text.lower()):
+                want[0, w, lang] += 1
+                want.update((n, g, lang) for n in range(1, 6) for g in language_id.grams(w, n))
+    total = Counter()
+    for (n, g, _), c in want.items():
+        total[n, g] += c
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    for most_words, most_grams in ((10_000, 10_000), (50, 333)):
+        model = language_id.learn(docs, most_words=most_words, most_grams=most_grams)
+        assert model["langs"] == ["de", "el", "en", "xx"] and model["prior"] == [5000, 5000, 10_000, 5000]
+        for name, most, kinds in (("words", most_words, {0}), ("grams", most_grams, set(range(1, 6)))):
+            best = sorted((k for k in total if k[0] in kinds and total[k] >= 3), key=lambda k: (-total[k], k[0], k[1].encode()))[:most]
+            got, counts = model[name]
+            assert Counter(got) == Counter(g for _, g in best)
+            assert sorted(zip(got, counts.tolist())) == sorted((g, [want[n, g, x] for x in model["langs"]]) for n, g in best)
+
+
+def test_cut_words():
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abé你𝔘"), n)) for n in rng.integers(1, 9, 300)]
+    owners, counts, want = rng.integers(0, 3, 300), rng.integers(1, 2**50, 300) // 300, Counter()
+    for w, o, c in zip(words, owners.tolist(), counts.tolist()):
+        for n in range(1, 6):
+            for g in language_id.grams(w, n):
+                want[n, o, g] += c
+    got = [(n, o, g, c) for n, os, gs, cs in language_id.cut_words(words, owners, counts, 5) for o, g, c in zip(os.tolist(), gs.tolist(), cs.tolist())]
+    assert len(got) == len(want) and {k[:3]: k[3] for k in got} == want
+
+
 def test_long_pieces():
     """One matrix over many rows gives what the library gives."""
     import tiktoken
