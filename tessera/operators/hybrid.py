@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.models import Evaluator
+from ..functions.rounding import rounded, rounded_array
 from . import rows
 from .lexical import is_small, numbered_queries, query_terms, small, top
 from .staging import stored
@@ -22,7 +25,7 @@ def set_cosine(queries: DataFrame, docs: DataFrame, k: int = 10, tokens=None) ->
         names, asked_by, asked = numbered_queries(terms)
         nq = np.array([[len(ts)] for ts in asked], float).reshape(-1, 1)
         # negative, since the largest is taken; documents without a token are found by no query
-        score = lambda sums, tf, nd: np.ones(len(tf)) if sums is None else -(np.round(1 - sums / np.sqrt(nq * np.maximum(nd, 1)), 6) + 0.0)
+        score = lambda sums, tf, nd: np.ones(len(tf)) if sums is None else -rounded_array(1 - sums / np.sqrt(nq * np.maximum(nd, 1)))
         each = docs.select("doc_id", F.coalesce(F.array_distinct(tokens(F.col("text"))), F.array().cast("array<string>")).alias("tokens"))
         found = rows.best(each, names, [[(t, 1.0) for t in ts] for ts in asked], k, score)
         return top(found.join(asked_by, "query").select("query_id", "doc_id", (F.lit(0.0) - F.col("score")).alias("distance")), k, F.col("distance"), F.col("doc_id"))
@@ -31,7 +34,7 @@ def set_cosine(queries: DataFrame, docs: DataFrame, k: int = 10, tokens=None) ->
     each = docs.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("terms"))
     post = each.select("doc_id", F.size("terms").alias("nd"), F.explode("terms").alias("term"))
     both = post.join(q, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("both"), F.first("nd").alias("nd"))
-    scored = both.join(nq, "query_id").select("query_id", "doc_id", F.round(1 - F.col("both") / F.sqrt(F.col("nq") * F.col("nd").cast("double")), 6).alias("distance"))
+    scored = both.join(nq, "query_id").select("query_id", "doc_id", rounded(1 - F.col("both") / F.sqrt(F.col("nq") * F.col("nd").cast("double"))).alias("distance"))
     return top(scored, k, F.col("distance"), F.col("doc_id"))
 
 
@@ -60,8 +63,8 @@ def fuse(hits: DataFrame, alpha: float = 0.7) -> DataFrame:
     hits = stored(hits)  # read twice
     side = lambda name: F.max(F.when(F.col("backend") == name, 1 - F.col("distance")))
     both = hits.groupBy("query_id", "doc_id").agg(side("bm25").alias("b"), side("vector").alias("v"))
-    score = F.when(F.col("b").isNull(), F.col("v")).when(F.col("v").isNull(), F.col("b")).otherwise(alpha * F.col("b") + (1 - alpha) * F.col("v"))
-    scored = hits.withColumnRenamed("rank", "old_rank").join(both.select("query_id", "doc_id", F.round(score, 6).alias("rerank")), ["query_id", "doc_id"])
+    score = F.when(F.col("b").isNull(), F.col("v")).when(F.col("v").isNull(), F.col("b")).otherwise(alpha * F.col("b") + float(1 - Decimal(str(alpha))) * F.col("v"))  # 1 - 0.7 is 0.3, as in SQL
+    scored = hits.withColumnRenamed("rank", "old_rank").join(both.select("query_id", "doc_id", rounded(score).alias("rerank")), ["query_id", "doc_id"])
     return top(scored, 1 << 30, F.desc("rerank"), F.col("old_rank"), by=("query_id", "backend")).drop("old_rank")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
+from ..functions.rounding import rounded, rounded_array
 from ..functions.text import tokenize
 from . import rows
 from .staging import stored
@@ -110,7 +111,7 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_
     post = counted(each.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi") if candidates is not None else each)
     df = each.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     weights = terms.join(df, "term").crossJoin(stats).select("query_id", "term", F.col("avgdl"), (F.col("qn") * idf(F.col("n"), F.col("df"))).alias("w"))
-    scored = post.join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * saturation(F.col("avgdl"), k1, b, delta)), 6).alias("score"))
+    scored = post.join(weights, "term").groupBy("query_id", "doc_id").agg(rounded(F.sum(F.col("w") * saturation(F.col("avgdl"), k1, b, delta))).alias("score"))
     return _with_distance(scored, k)
 
 
@@ -134,7 +135,7 @@ def _in_place(terms: DataFrame, each: DataFrame, allowed: DataFrame, k: int, k1:
     weight = [max(0.0, math.log((n - d + 0.5) / (d + 0.5) + 1)) if d else 0.0 for d in df.tolist()]
 
     def score(sums, tf, dl):
-        return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)) + delta if sums is None else np.round(sums, 6)
+        return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)) + delta if sums is None else rounded_array(sums)
 
     found = rows.best(allowed, names, [[(t, qn * weight[t]) for t, qn in ts.items()] for ts in asked], k, score)
     return _with_distance(found.join(queries, "query").select("query_id", "doc_id", "score"), k)
@@ -145,7 +146,7 @@ def saturation(avgdl: Column, k1: float, b: float, delta: float) -> Column:
 
 
 def _with_distance(scored: DataFrame, k: int) -> DataFrame:
-    return top(scored, k, F.desc("score"), F.col("doc_id")).withColumn("distance", F.round(1 / (F.col("score") + 1), 6))
+    return top(scored, k, F.desc("score"), F.col("doc_id")).withColumn("distance", rounded(1 / (F.col("score") + 1)))
 
 
 #: Postings to score, over all queries, up to which they are scored in one pass; beyond, floors and bounds leave most of them out. The rows are the same.
@@ -189,7 +190,7 @@ def ranked(terms: DataFrame, corpus, k: int, k1: float, b: float, delta: float,
         return both.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * saturation(avgdl, k1, b, delta)).alias("score"))
 
     if sum(df[t] for _, t, _ in every) <= one_pass:
-        return _with_distance(scored(every).withColumn("score", F.round("score", 6)), k)
+        return _with_distance(scored(every).withColumn("score", rounded(F.col("score"))), k)
     first = []
     for q, ts in by_query.items():
         held = 0
@@ -211,7 +212,7 @@ def ranked(terms: DataFrame, corpus, k: int, k1: float, b: float, delta: float,
         bounds.append((q, "", floor.get(q, 0.0) - rest - slack))
     able = scored(naming).join(frame(bounds).select("query_id", F.col("w").alias("least")), "query_id").where(F.col("score") >= F.col("least"))
     able = stored(able.select("query_id", "doc_id"))
-    return _with_distance(scored(every, able).withColumn("score", F.round("score", 6)), k)
+    return _with_distance(scored(every, able).withColumn("score", rounded(F.col("score"))), k)
 
 
 def top(scored: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("query_id",)) -> DataFrame:

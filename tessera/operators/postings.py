@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from ..functions.rounding import rounded
 from .lexical import ONE_PASS, _with_distance, saturation, small, small_ids, top, weighted
 from .staging import stored
 
@@ -164,7 +165,7 @@ def ranked(terms: DataFrame, reader: Reader, n: int, words: int, k: int, k1: flo
         return need.join(post, ["seg", "term", "doc_id"]).groupBy("query_id", "doc_id").agg(F.sum(impact).alias("score"))
 
     if sum(df[t] for _, t, _ in every) <= one_pass:
-        return _with_distance(partial(reader.postings(whole(every)), every).groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score")), k)
+        return _with_distance(partial(reader.postings(whole(every)), every).groupBy("query_id", "doc_id").agg(rounded(F.sum("score")).alias("score")), k)
     first = []
     for q, ts in by_query.items():
         held = 0
@@ -206,4 +207,4 @@ def ranked(terms: DataFrame, reader: Reader, n: int, words: int, k: int, k1: flo
         chosen = {x[:2] for x in naming}
         found = found.unionByName(able(named, [x for x in rest if x[:2] not in chosen]))
     found = stored(found)
-    return _with_distance(scored(found).withColumn("score", F.round("score", 6)), k)
+    return _with_distance(scored(found).withColumn("score", rounded(F.col("score"))), k)
