@@ -9,6 +9,7 @@ at any average length. Merging segments takes blocks apart and together again; n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import cached_property
 
@@ -20,10 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.rounding import rounded
-from .lexical import ONE_PASS, _with_distance, saturation, small, small_ids, top, weighted
+from . import rows
+from .lexical import BROADCAST_IDS, ONE_PASS, _with_distance, saturation, small, small_ids, top, weighted
 from .staging import stored
 
 BLOCK = 32
+#: Postings of a term that one task gets; of terms with more, groups of about as many.
+BIG = 1 << 16
 KEY = ["seg", "term", "part"]
 
 
@@ -32,42 +36,158 @@ def part_of(doc_id: Column, parts: Column) -> Column:
     return F.xxhash64(doc_id).bitwiseAND(parts - 1)
 
 
+def packed(post: DataFrame, least: int = 1 << 18) -> DataFrame:
+    """(term, doc_id, tf, dl) -> packs: postings of a term that are read together in one row."""
+    rows.bounded_batches(post.sparkSession)
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= least:
+                yield pack(held)
+                held, n = [], 0
+        if n:
+            yield pack(held)
+
+    def pack(held) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        flat = pc.dictionary_encode(t.column("term").combine_chunks())
+        term = flat.indices.to_numpy()
+        order = np.argsort(term, kind="stable")
+        starts = np.flatnonzero(np.diff(term[order], prepend=-1))
+        ends, order = pa.array(np.append(starts, len(term)), pa.int32()), pa.array(order)
+        lists = [pa.ListArray.from_arrays(ends, t.column(c).combine_chunks().take(order)) for c in ("doc_id", "hash", "tf", "dl")]
+        return pa.record_batch([flat.dictionary.take(pa.array(term[order.to_numpy()][starts])), *lists], names=["term", "docs", "hashes", "tfs", "dls"])
+
+    each = post.select("term", F.col("doc_id").cast("string").alias("doc_id"), F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))
+    return each.withColumn("hash", F.xxhash64("doc_id")).mapInArrow(run, rows.PACK)
+
+
+def repacked(stored_blocks: DataFrame, dead: DataFrame | None) -> DataFrame:
+    """Blocks (seg, term, docs, tfs, dls) -> packs of their live postings; dead: (doc_id, dead), few enough to broadcast."""
+    rows.bounded_batches(stored_blocks.sparkSession)
+    shared = None
+    if dead is not None:
+        gone = dead.select(F.xxhash64("doc_id").alias("hash"), "doc_id", "dead").toArrow().sort_by("hash").combine_chunks()
+        found = gone.column("hash").to_numpy()
+        most = int(np.unique(found, return_counts=True)[1].max(initial=0))  # ids of one hash
+        shared = stored_blocks.sparkSession.sparkContext.broadcast((found, gone.column("doc_id").combine_chunks(), gone.column("dead").to_numpy(), most)) if most else None
+
+    def live(docs: pa.Array, hashes: np.ndarray, seg: np.ndarray) -> np.ndarray:
+        known, ids, since, most = shared.value
+        keep, first = np.ones(len(docs), bool), np.searchsorted(known, hashes)
+        for k in range(most):
+            at = np.minimum(first + k, len(known) - 1)
+            hit = np.flatnonzero((known[at] == hashes) & (since[at] > seg))
+            same = pc.equal(docs.take(pa.array(hit)), ids.take(pa.array(at[hit]))).to_numpy(zero_copy_only=False).astype(bool)
+            keep[hit[same]] = False
+        return keep
+
+    def run(batches):
+        for t in rows._tables(batches, 1 << 18):
+            docs = t.column("docs").combine_chunks()
+            sizes, term = np.diff(docs.offsets.to_numpy()), pc.dictionary_encode(t.column("term").combine_chunks())
+            one = term.indices.to_numpy()
+            flat = [t.column(c).combine_chunks().flatten() for c in ("docs", "hashes", "tfs", "dls")]
+            of = np.repeat(np.arange(len(one)), sizes)
+            if shared is not None:
+                keep = live(flat[0], flat[1].to_numpy(), t.column("seg").to_numpy()[of])
+                of, flat = of[keep], [x.filter(pa.array(keep)) for x in flat]
+            of = one[of]
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            if len(starts):
+                ends = pa.array(np.append(starts, len(of)), pa.int32())
+                yield pa.record_batch([term.dictionary.take(pa.array(of[starts])), *[pa.ListArray.from_arrays(ends, x) for x in flat]], names=["term", "docs", "hashes", "tfs", "dls"])
+
+    return stored_blocks.select("term", "docs", F.transform("docs", lambda d: F.xxhash64(d)).alias("hashes"), "tfs", "dls", "seg").mapInArrow(run, rows.PACK)
+
+
 def blocks(post: DataFrame, often: DataFrame, bucket: Callable[[Column], Column]) -> DataFrame:
-    """(term, doc_id, tf, dl) -> (term, parts, part, n, max_tf, min_dl, docs, tfs, dls, bucket), sorted in each task; postings are shuffled once.
-    often: (term, df), how many postings terms have; those with fewer than two blocks of them may be left out."""
-    often = often.where(F.col("df") >= 2 * BLOCK)
-    parts = F.when(F.col("df").isNull(), F.lit(1).cast("long")).otherwise(F.expr(f"shiftleft(1L, cast(floor(log2(df / {BLOCK})) as int))"))
-    rows = post.join(small(often), "term", "left").withColumn("parts", parts).withColumn("part", part_of(F.col("doc_id"), F.col("parts")))
-    dealt = rows.select("term", F.col("doc_id").cast("string").alias("doc_id"), F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"), "parts", "part", bucket(F.col("term")).alias("bucket"), F.pmod(F.xxhash64("term", "part"), F.lit(4096)).alias("place")).repartition("bucket", "place")
+    """(term, doc_id, tf, dl) -> blocks, as `blocks_of` packs."""
+    return blocks_of(packed(post), often, bucket)
+
+
+def blocks_of(packs: DataFrame, often: DataFrame | None, bucket: Callable[[Column], Column], big: int = BIG) -> DataFrame:
+    """Packs -> (term, parts, part, n, max_tf, min_dl, docs, tfs, dls, bucket), sorted in each task; postings are shuffled once.
+
+    A term's postings meet in one task, which counts them and cuts them to blocks. Those of terms that `often` (term, df) gives `big`
+    postings or more, which may be a bound, are dealt to tasks in groups by the documents' hashes, about `big` to a group."""
+    # at most one term for `big` postings
+    many = {} if often is None else {r["term"]: 1 << int(math.log2(r["df"] / BLOCK)) for r in often.where(F.col("df") >= big).select("term", "df").collect()}
+    groups = {t: max(1, parts * BLOCK // big) for t, parts in many.items()}
     fields = {"term": pa.string(), "parts": pa.int64(), "part": pa.int64(), "n": pa.int32(), "max_tf": pa.int32(), "min_dl": pa.int32(), "docs": pa.list_(pa.string()), "tfs": pa.list_(pa.int32()), "dls": pa.list_(pa.int32()), "bucket": pa.int32()}
     schema = pa.schema(list(fields.items()))
+    LISTS = ["docs", "hashes", "tfs", "dls"]  # noqa: N806
 
-    def made(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        ends, first = pa.array(np.append(starts, t.num_rows), pa.int32()), pa.array(starts)
-        tf, dl = t.column("tf").to_numpy(), t.column("dl").to_numpy()
-        lists = [pa.ListArray.from_arrays(ends, x) for x in (t.column("doc_id").combine_chunks(), pa.array(tf), pa.array(dl))]
-        head = {c: t.column(c).combine_chunks().take(first) for c in ("term", "parts", "part", "bucket")}
-        facts = [np.diff(np.append(starts, t.num_rows)).astype(np.int32), np.maximum.reduceat(tf, starts), np.minimum.reduceat(dl, starts)]
-        return pa.RecordBatch.from_arrays([head["term"], head["parts"], head["part"], *map(pa.array, facts), *lists, head["bucket"]], schema=schema)
-
-    def cut(batches):
-        """Blocks of sorted postings; the last of a batch may go on in the next."""
-        rest = None
+    def split(batches):
+        """Packs of frequent terms by group; parts: 0 if the task that gets them is to count."""
+        names, known, by = pa.array(list(groups), pa.string()), np.array([*many.values(), 0]), np.array([*groups.values(), 1])
+        for b in batches:
+            at = pc.index_in(b.column(0), value_set=names).fill_null(len(names)).to_numpy(zero_copy_only=False)
+            sizes = np.diff(b.column(1).offsets.to_numpy())
+            pack = np.repeat(np.arange(b.num_rows), sizes)
+            group = b.column(2).flatten().to_numpy() & (np.repeat(by[at], sizes) - 1)
+            order = np.lexsort((group, pack)) if group.any() else None
+            flat = [c.flatten() for c in b.columns[1:]]
+            if order is not None:
+                pack, group, flat = pack[order], group[order], [x.take(pa.array(order)) for x in flat]
+            starts = np.flatnonzero((np.diff(pack, prepend=-1) != 0) | (np.diff(group, prepend=-1) != 0))
+            ends = pa.array(np.append(starts, len(pack)), pa.int32())
+            yield pa.record_batch([b.column(0).take(pa.array(pack[starts])), pa.array(known[at[pack[starts]]], pa.int64()), pa.array(group[starts], pa.int64()), *[pa.ListArray.from_arrays(ends, x) for x in flat]], names=["term", "parts", "grp", *LISTS])
+
+    def made(t: pa.Table) -> pa.RecordBatch:
+        """Blocks of whole groups, whose packs are next to each other."""
+        docs = t.column("docs").combine_chunks()
+        sizes, run = np.diff(docs.offsets.to_numpy()), np.cumsum(_starts(t)) - 1
+        first = np.flatnonzero(_starts(t))
+        run_of, parts = np.repeat(run, sizes), t.column("parts").to_numpy()[first]
+        count = np.bincount(run_of, minlength=len(first))
+        counted = np.left_shift(1, np.floor(np.log2(np.maximum(count, BLOCK) / BLOCK)).astype(np.int64))
+        parts = np.where(parts > 0, parts, counted)
+        part = t.column("hashes").combine_chunks().flatten().to_numpy() & (parts[run_of] - 1)
+        named = pc.dictionary_encode(docs.flatten())
+        place = np.empty(len(named.dictionary), np.int64)
+        place[pc.array_sort_indices(named.dictionary).to_numpy()] = np.arange(len(place))
+        order = np.lexsort((place[named.indices.to_numpy()], part, run_of))
+        run_of, part = run_of[order], part[order]
+        starts = np.flatnonzero((np.diff(run_of, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+        ends, taken = np.append(starts, len(order)), pa.array(order)
+        tf, dl = (t.column(c).combine_chunks().flatten().to_numpy()[order] for c in ("tfs", "dls"))
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (docs.flatten().take(taken), pa.array(tf), pa.array(dl))]
+        head = {c: t.column(c).combine_chunks().take(pa.array(first[run_of[starts]])) for c in ("term", "bucket")}
+        facts = [np.diff(ends).astype(np.int32), np.maximum.reduceat(tf, starts), np.minimum.reduceat(dl, starts)]
+        return pa.RecordBatch.from_arrays([head["term"], pa.array(parts[run_of[starts]]), pa.array(part[starts]), *map(pa.array, facts), *lists, head["bucket"]], schema=schema)
+
+    def cut(batches, least: int = 1 << 17):
+        """The last group of what is held may go on in the next batch."""
+        held, n = [], 0
         for b in batches:
-            t = pa.Table.from_batches([b])
-            t = t if rest is None else pa.concat_tables([rest, t])
-            if not t.num_rows:
+            held.append(b)
+            n += len(b.column(3).flatten())
+            if n < least:
                 continue
-            term, part = pc.dictionary_encode(t.column("term").combine_chunks()).indices.to_numpy(), t.column("part").to_numpy()
-            starts = np.append(0, np.flatnonzero((np.diff(term) != 0) | (np.diff(part) != 0)) + 1)
-            if len(starts) > 1:
-                yield made(t.slice(0, starts[-1]), starts[:-1])
-            rest = t.slice(starts[-1])
-        if rest is not None:
-            yield made(rest, np.array([0]))
-
+            t = pa.Table.from_batches(held).combine_chunks()
+            last = int(np.flatnonzero(_starts(t))[-1])
+            if last:
+                yield made(t.slice(0, last).combine_chunks())
+            held = t.slice(last).combine_chunks().to_batches()
+            n = sum(len(b.column(3).flatten()) for b in held)
+        if n:
+            yield made(pa.Table.from_batches(held).combine_chunks())
+
+    every = "term string, parts long, grp long, docs array<string>, hashes array<long>, tfs array<int>, dls array<int>"
+    one = (packs.mapInArrow(split, every) if groups else packs.select("term", F.lit(0).cast("long").alias("parts"), F.lit(0).cast("long").alias("grp"), *LISTS)).withColumn("bucket", bucket(F.col("term")))
+    dealt = one.withColumn("place", F.pmod(F.xxhash64("term", "grp"), F.lit(4096))).repartition("bucket", "place")
     ddl = "term string, parts long, part long, n int, max_tf int, min_dl int, docs array<string>, tfs array<int>, dls array<int>, bucket int"
-    return dealt.sortWithinPartitions("bucket", "term", "part", "doc_id").drop("place").mapInArrow(cut, ddl).sortWithinPartitions("bucket", "term", "part")
+    return dealt.sortWithinPartitions("bucket", "term", "grp").drop("place").mapInArrow(cut, ddl).sortWithinPartitions("bucket", "term", "part")
+
+
+def _starts(t: pa.Table) -> np.ndarray:
+    """Whether a pack is of another term or group than the one before it."""
+    term, group = pc.dictionary_encode(t.column("term").combine_chunks()).indices.to_numpy(), t.column("grp").to_numpy()
+    return (np.diff(term, prepend=-1) != 0) | (np.diff(group, prepend=-1) != 0)
 
 
 def decoded(rows: DataFrame, *keep: str) -> DataFrame:
@@ -94,6 +214,12 @@ class Reader:
         post = self._live(decoded(self.rows, "seg"))
         return post.join(small(self.allowed), "doc_id", "left_semi") if self.allowed is not None else post
 
+    def packs(self) -> DataFrame:
+        """All live postings as packs; taken out of packs only where too many documents are replaced to broadcast them."""
+        if self.dead is not None and self.dead.limit(BROADCAST_IDS + 1).count() > BROADCAST_IDS:
+            return packed(self.everything())
+        return repacked(self.rows, self.dead)
+
     def _live(self, post: DataFrame) -> DataFrame:
         if self.dead is not None:
             post = post.join(small_ids(self.dead), "doc_id", "left").where(F.col("dead").isNull() | (F.col("dead") <= F.col("seg"))).drop("dead")

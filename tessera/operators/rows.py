@@ -53,6 +53,68 @@ def counted(each: DataFrame) -> DataFrame:
     return each.select("doc_id", "tokens").mapInArrow(run, "term string, doc_id string, tf long, dl int")
 
 
+def _tables(batches, least: int):
+    """Arrow batches put together until their second column's lists hold `least` items."""
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += len(b.column(1).flatten())
+        if n >= least:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _postings(tokens: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, number of the term, row, times) of rows' tokens, by term and row, and the tokens of each row."""
+    flat, sizes = pc.dictionary_encode(tokens.flatten()), np.diff(tokens.offsets.to_numpy())
+    n = max(1, len(sizes))
+    key, tf = np.unique(flat.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(len(sizes)), sizes), return_counts=True)
+    return flat.dictionary, key // n, key % n, tf, sizes
+
+
+#: Columns of packs: postings of one term that arose together; hashes are those of the documents' ids.
+PACK = "term string, docs array<string>, hashes array<long>, tfs array<int>, dls array<int>"
+
+
+def packs(each: DataFrame, least: int = 1 << 20) -> DataFrame:
+    """(doc_id string, tokens), ids unique -> packs of about `least` tokens' documents: a row for each term, not for each posting."""
+    bounded_batches(each.sparkSession)
+
+    def run(batches):
+        for t in _tables(batches, least):
+            ids, hashes = t.column(0).combine_chunks(), t.column(2).to_numpy()
+            terms, term, doc, tf, sizes = _postings(t.column(1).combine_chunks())
+            starts = np.flatnonzero(np.diff(term, prepend=-1))
+            ends = pa.array(np.append(starts, len(term)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (ids.take(pa.array(doc)), pa.array(hashes[doc]), pa.array(tf, pa.int32()), pa.array(sizes[doc], pa.int32()))]
+            yield pa.record_batch([terms.take(pa.array(term[starts])), *lists], names=["term", "docs", "hashes", "tfs", "dls"])
+
+    return each.select("doc_id", "tokens", F.xxhash64("doc_id")).mapInArrow(run, PACK)
+
+
+def lengths_and_frequent(each: DataFrame, share: float, least: int = 1 << 20) -> DataFrame:
+    """(doc_id, dl, null, null) of each document and (null, null, term, n): how many of the documents read together hold a term,
+    of terms that are in at least this share of them. A term's sum is short of its frequency by less than that share of all documents."""
+    bounded_batches(each.sparkSession)
+
+    def run(batches):
+        for t in _tables(batches, least):
+            tokens = t.column(1).combine_chunks()
+            sizes = np.diff(tokens.offsets.to_numpy())
+            none = lambda n, kind: pa.nulls(n, kind)
+            yield pa.record_batch([t.column(0).combine_chunks(), pa.array(sizes, pa.int64()), none(len(sizes), pa.string()), none(len(sizes), pa.int64())], names=["doc_id", "dl", "term", "n"])
+            if share < 1:
+                terms, term, *_ = _postings(tokens)
+                n = np.bincount(term, minlength=len(terms))
+                often = np.flatnonzero(n >= share * len(sizes))
+                yield pa.record_batch([none(len(often), pa.string()), none(len(often), pa.int64()), terms.take(pa.array(often)), pa.array(n[often], pa.int64())], names=["doc_id", "dl", "term", "n"])
+
+    return each.select("doc_id", "tokens").mapInArrow(run, "doc_id string, dl long, term string, n long")
+
+
 def totals(tokens: DataFrame, terms: list[str]) -> tuple[int, int, np.ndarray]:
     """(rows, tokens of all rows, rows that hold each term) of a column `tokens` without nulls."""
     bounded_batches(tokens.sparkSession)

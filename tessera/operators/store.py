@@ -206,10 +206,10 @@ class IndexStore:
         made["tables"][table] = df.schema.jsonValue()
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _put_postings(self, made: dict, post: DataFrame, often: DataFrame) -> None:
-        """post: (term, doc_id, tf, dl); often: (term, df), the numbers of postings."""
+    def _put_postings(self, made: dict, packs: DataFrame, often: DataFrame | None) -> None:
+        """packs: as `rows.PACK`; often: (term, df), about how many postings frequent terms have."""
         made["buckets"] = 1 << int(math.log2(max(1, min(BUCKETS, made["rows"]["chunks"] // BUCKET_CHUNKS))))
-        self._put(made, "postings", postings.blocks(post, stored(often), lambda term: bucket(term, made["buckets"])), "bucket")
+        self._put(made, "postings", postings.blocks_of(packs, often, lambda term: bucket(term, made["buckets"])), "bucket")
 
     def _put_filter(self, made: dict, kind: str, ids: DataFrame, n: int) -> None:
         found = ids._jdf.stat().bloomFilter("doc_id", max(1, min(n, BLOOM_IDS)), 0.01)
@@ -245,9 +245,11 @@ class IndexStore:
         if chunks is not None:
             kept = self._put_chunks(made, chunks)
             each = kept.select("doc_id", F.coalesce(self.tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
-            df = each.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-            self._put_postings(made, rows.counted(each), df)
-            self._put(made, "doc_stats", lexical.lengths(kept, tokens=self.tokens))
+            share = postings.BIG / max(1, made["rows"]["chunks"])
+            facts = stored(rows.lengths_and_frequent(each, share))
+            often = facts.where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("df")) if share < 1 else None
+            self._put_postings(made, rows.packs(each), often)
+            self._put(made, "doc_stats", facts.where("term IS NULL").select("doc_id", "dl"))
             ids["chunks"] = kept.select("doc_id")
             if self.embedder is not None and vectors is None:
                 vectors = kept.select("doc_id", models.embed(F.concat(F.lit(self.prefix), F.coalesce("text", F.lit(""))), self.embedder).alias("embedding"), "metadata" if "metadata" in kept.columns else F.lit("{}").alias("metadata"))
@@ -287,8 +289,10 @@ class IndexStore:
         made = self._new()
         if (rows := self._live(old, "chunks")) is not None:
             self._put_chunks(made, rows.drop("seg"))
-            post = self._reader(old, self._rows(old, "postings")).everything().drop("seg")
-            self._put_postings(made, post, lexical.frequencies(post))
+            # what replaced rows add to the frequencies makes some blocks smaller
+            held = self._rows(old, "postings")
+            often = held.groupBy("term").agg(F.sum("n").alias("df")) if made["rows"]["chunks"] >= postings.BIG else None
+            self._put_postings(made, self._reader(old, held).packs(), often)
             self._put(made, "doc_stats", self._live(old, "doc_stats").drop("seg"))
         if (rows := self._live(old, "vectors")) is not None:
             self._put_vectors(made, rows.drop("seg"))
